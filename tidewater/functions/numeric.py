@@ -6,20 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_NUDGE = 0.000314159
+
+
 def fixed(c: Column | str, digits: int = 6) -> Column:
     """Round half-up to ``digits`` decimals as ``floor(x * 10^d + 0.5) / 10^d``.
 
     Written with plain IEEE multiply/floor/divide so that any engine running the
-    same arithmetic lands on the same double; also clears negative zero.
+    same arithmetic lands on the same double; also clears negative zero. The
+    boundary sits a little off the exact half (``+ 0.5 + _NUDGE``): data with
+    few decimals often averages to an exact ``...5`` at digit d+1, and there
+    the last-ulp noise of a different summation order would decide the digit.
     """
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10 ** digits)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    return (F.floor(c * F.lit(scale) + F.lit(0.5 + _NUDGE)) / F.lit(scale)).cast("double")
 
 
 def fixed_sql(expr: str, digits: int = 6) -> str:
     """SQL text of :func:`fixed` for an oracle query."""
-    return f"CAST(FLOOR(({expr}) * {10 ** digits}.0 + 0.5) / {10 ** digits}.0 AS DOUBLE)"
+    return f"CAST(FLOOR(({expr}) * {10 ** digits}.0 + {0.5 + _NUDGE!r}) / {10 ** digits}.0 AS DOUBLE)"
 
 
 def sq(c: Column) -> Column:

@@ -9,8 +9,10 @@ from __future__ import annotations
 V_RUNS = """
 SELECT p_brand AS model, CASE WHEN l_linestatus = 'F' THEN 'grid' ELSE 'cloud' END AS domain,
        p_type AS equation, l_returnflag AS resolution,
-       AVG(l_discount) * 40 AS loss1, AVG(l_quantity) / 12 AS loss16,
-       AVG(l_extendedprice) AS test_time, CAST(COUNT(*) AS BIGINT) AS n
+       CAST(SUM(CAST(l_discount AS DECIMAL(15,2))) AS DOUBLE) * 40 / COUNT(*) AS loss1,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(15,2))) AS DOUBLE) / COUNT(*) / 12 AS loss16,
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS test_time,
+       CAST(COUNT(*) AS BIGINT) AS n
 FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= 40
 """
@@ -30,7 +32,7 @@ FROM embeddings
 
 V_GRID = """
 SELECT l_returnflag AS sample_id, CAST(l_partkey % 15 AS INT) AS gx, CAST(l_suppkey % 15 AS INT) AS gy,
-       AVG(l_quantity) AS value
+       CAST(SUM(CAST(l_quantity AS DECIMAL(15,2))) AS DOUBLE) / COUNT(*) AS value
 FROM lineitem GROUP BY 1, 2, 3
 """
 

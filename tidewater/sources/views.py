@@ -23,16 +23,18 @@ GRID_N = 15
 
 
 def v_runs(spark: SparkSession, sf_dir: str, min_rows: int = 40) -> DataFrame:
-    """One result row per (model, domain, equation, resolution).
+    """One result row per (model, domain, equation, resolution); metrics are
+    means (exact decimal sums divided by the count).
 
     lineitem is reduced per (part, status, flag) before the join with part, so
     the join and its shuffle see one row per part combination instead of one
     per line, and a hot part collapses in the map-side partial aggregate.
     """
+    dec = lambda c, p=15: F.col(c).cast(f"decimal({p},2)")
     li = (table(spark, sf_dir, "lineitem")
           .groupBy("l_partkey", "l_linestatus", "l_returnflag")
-          .agg(F.sum("l_discount").alias("s_disc"), F.sum("l_quantity").alias("s_qty"),
-               F.sum("l_extendedprice").alias("s_price"), F.count(F.lit(1)).alias("n")))
+          .agg(F.sum(dec("l_discount")).alias("s_disc"), F.sum(dec("l_quantity")).alias("s_qty"),
+               F.sum(dec("l_extendedprice", 18)).alias("s_price"), F.count(F.lit(1)).alias("n")))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     j = li.join(part, li.l_partkey == part.p_partkey)
     g = (j.groupBy(F.col("p_brand").alias("model"),
@@ -41,11 +43,14 @@ def v_runs(spark: SparkSession, sf_dir: str, min_rows: int = 40) -> DataFrame:
                    F.col("l_returnflag").alias("resolution"))
           .agg(F.sum("s_disc").alias("s_disc"), F.sum("s_qty").alias("s_qty"),
                F.sum("s_price").alias("s_price"), F.sum("n").alias("n")))
+    # sums are exact decimals, so every engine and every summation order
+    # reaches the same doubles below (ties such as a loss of exactly 2.0 stay ties)
+    d = lambda c: F.col(c).cast("double")
     return (g.where(F.col("n") >= min_rows)
              .select("model", "domain", "equation", "resolution",
-                     (F.col("s_disc") / F.col("n") * 40).alias("loss1"),
-                     (F.col("s_qty") / F.col("n") / 12).alias("loss16"),
-                     (F.col("s_price") / F.col("n")).alias("test_time"),
+                     (d("s_disc") * 40 / F.col("n")).alias("loss1"),
+                     (d("s_qty") / F.col("n") / 12).alias("loss16"),
+                     (d("s_price") / F.col("n")).alias("test_time"),
                      F.col("n").cast("bigint").alias("n")))
 
 
@@ -74,7 +79,9 @@ def v_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (li.groupBy(F.col("l_returnflag").alias("sample_id"),
                        F.pmod(F.col("l_partkey"), F.lit(GRID_N)).cast("int").alias("gx"),
                        F.pmod(F.col("l_suppkey"), F.lit(GRID_N)).cast("int").alias("gy"))
-              .agg(F.avg("l_quantity").alias("value")))
+              .agg(F.sum(F.col("l_quantity").cast("decimal(15,2)")).cast("double").alias("_s"),
+                   F.count(F.lit(1)).alias("_n"))
+              .select("sample_id", "gx", "gy", (F.col("_s") / F.col("_n")).alias("value")))
 
 
 def v_log(spark: SparkSession, sf_dir: str) -> DataFrame:
