@@ -22,33 +22,42 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
-            out: str = "ordinal", partitions: int | None = None) -> DataFrame:
-    """1-based ``row_number() over (partition by by order by order)`` as BIGINT.
-
-    ``order`` must make rows unique inside a group (add an id tie-break);
-    with an empty ``by`` the numbering is global.
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: Column | str,
+                out: str = "running", partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` inside ``by`` groups in ``order``
+    (``sum(value) over (partition by by order by order rows unbounded
+    preceding)``), computed slice-wise so no group is one task.
 
     The range bounds of ``repartitionByRange`` are sampled per execution, so
-    the slice numbering is written once with a reliable ``checkpoint()`` (in
-    the shared checkpoint folder) before slice sizes are derived from it:
-    both uses then see the same slices, also after a lost executor.
+    the slice sums are written once with a reliable ``checkpoint()`` (in the
+    shared checkpoint folder) before slice totals are derived from them: both
+    uses then see the same slices, also after a lost executor.
+    ``order`` must make rows unique inside a group.
     """
     by = list(by)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    val = F.col(value) if isinstance(value, str) else value
     n = _num_partitions(df, partitions)
     ranged = (df.repartitionByRange(n, *[F.col(b) for b in by], *order_cols)
-                .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order_cols)))
-    local = local.checkpoint(eager=True)
-    slices = local.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"))
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_val", val))
+    w = Window.partitionBy("_pid", *by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.sum("_val").over(w)).checkpoint(eager=True)
+    slices = local.groupBy("_pid", *by).agg(F.sum("_val").alias("_tot"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("_pid", *by,
-                            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    offsets = slices.select("_pid", *by, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
     return (local.join(offsets, ["_pid", *by])
-                 .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
-                 .drop("_pid", "_local", "_off"))
+                 .withColumn(out, F.col("_off") + F.col("_local"))
+                 .drop("_pid", "_local", "_off", "_val"))
+
+
+def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
+            out: str = "ordinal", partitions: int | None = None) -> DataFrame:
+    """1-based ``row_number() over (partition by by order by order)`` as
+    BIGINT: a :func:`running_sum` of ones. ``order`` must make rows unique
+    inside a group; with an empty ``by`` the numbering is global."""
+    r = running_sum(df, by, order, F.lit(1).cast("bigint"), out=out, partitions=partitions)
+    return r.withColumn(out, F.col(out).cast("bigint"))
 
 
 def dense_ordinal(df: DataFrame, by: Sequence[str], key: str, out: str = "dense",

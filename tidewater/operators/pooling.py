@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import curves as cv
-from tidewater.operators.ordinal import ordinal
+from tidewater.operators.ordinal import ordinal, running_sum
 
 REDUCERS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 
@@ -172,11 +172,10 @@ def unique_clusters(df: DataFrame, code: str = "code", by: Sequence[str] = ("bat
 
 def batch_counts(df: DataFrame, batch: str = "batch") -> DataFrame:
     """AGG13: counts per batch (bincount) and the offsets they imply
-    (``start`` inclusive, ``end`` exclusive). The running sum runs over the
-    per-batch table, one row per batch."""
+    (``start`` inclusive, ``end`` exclusive), via a distributed running sum
+    over the per-batch table."""
     c = df.groupBy(batch).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("end", F.sum("n").over(w).cast("bigint"))
+    c = running_sum(c, [], [batch], "n", out="end").withColumn("end", F.col("end").cast("bigint"))
     return c.withColumn("start", (F.col("end") - F.col("n")).cast("bigint"))
 
 
