@@ -1,6 +1,6 @@
 """Query plans. Importing this package registers every plan module."""
 
-from tidewater.plans import codes, frames, graphs, leaderboard, points  # noqa: F401
+from tidewater.plans import codes, frames, graphs, leaderboard, points, spectral  # noqa: F401
 from tidewater.plans.registry import OPERATORS, ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "OPERATORS"]
