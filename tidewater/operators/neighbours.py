@@ -4,16 +4,15 @@ pairs, farthest-point sampling and the compositions built on them.
 Points are rows ``(by..., id, x, y, ...)``. No search compares all pairs of a
 cloud: points are bucketed into square cells per cloud (cell side chosen so
 that a cell holds about ``k`` points) and a query is joined only with the
-cells of a ring around its own cell (equi-join on ``(by, cell)``). A kNN
-answer is exact once its k-th distance is below the ring's inner radius;
-queries that are not settled go to a wider ring in the next round, until the
-ring spans the cloud. Candidate groups are per query, so a large cloud is
+3 x 3 block of cells around its own cell (equi-join on ``(by, cell)``). A
+kNN answer is exact once its k-th distance is below the cell side; queries
+that are not settled go to the next round with cells twice as wide, until a
+block spans the cloud. Candidate groups are per query, so a large cloud is
 spread over all tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -34,71 +33,76 @@ def pairwise_sqdist(a: Column, b: Column, ax: str = "x", ay: str = "y", bx: str
 
 
 def cloud_stats(points: DataFrame, by: Sequence[str], k: int, x: str = "x", y: str = "y",
-                periodic: bool = False) -> DataFrame:
-    """Per cloud: bounding box, count and the cell side ``_h`` (about ``k``
-    points per cell). On the unit torus the side divides 1 exactly."""
-    s = points.groupBy(*by).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"),
-                                F.min(y).alias("_y0"), F.max(y).alias("_y1"),
-                                F.count(F.lit(1)).alias("_n"))
+                periodic: bool = False, queries: DataFrame | None = None) -> DataFrame:
+    """Per cloud: bounding box (of points and queries), point count and the
+    base cell side ``_h`` (about ``k`` points per cell). On the unit torus
+    the side divides 1 exactly (``_g`` cells per axis)."""
+    by = list(by)
+    pos = points.select(*by, F.col(x).alias("_px"), F.col(y).alias("_py"), F.lit(1).alias("_isp"))
+    if queries is not None:
+        pos = pos.unionByName(queries.select(*by, F.col(x).alias("_px"), F.col(y).alias("_py"),
+                                             F.lit(0).alias("_isp")))
+    s = pos.groupBy(*by).agg(F.min("_px").alias("_x0"), F.max("_px").alias("_x1"),
+                             F.min("_py").alias("_y0"), F.max("_py").alias("_y1"),
+                             F.sum("_isp").alias("_n"))
     ex = F.greatest(F.col("_x1") - F.col("_x0"), F.lit(1e-9))
     ey = F.greatest(F.col("_y1") - F.col("_y0"), F.lit(1e-9))
-    h = F.sqrt(ex * ey * F.lit(float(max(k, 1))) / F.col("_n"))
-    h = F.greatest(h, F.greatest(ex, ey) * F.lit(float(max(k, 1))) / F.col("_n") / 8, F.lit(1e-9))
+    n = F.greatest(F.col("_n"), F.lit(1))
+    h = F.sqrt(ex * ey * F.lit(float(max(k, 1))) / n)
+    h = F.greatest(h, F.greatest(ex, ey) * F.lit(float(max(k, 1))) / n / 8, F.lit(1e-9))
     if periodic:
         g = F.greatest(F.floor(F.lit(1.0) / h), F.lit(1))
         return s.select(*by, F.lit(0.0).alias("_x0"), F.lit(0.0).alias("_y0"), "_n",
-                        (F.lit(1.0) / g).alias("_h"), g.cast("bigint").alias("_g"),
-                        (g - 1).cast("bigint").alias("_cmx"), (g - 1).cast("bigint").alias("_cmy"))
+                        (F.lit(1.0) / g).alias("_h"), g.cast("bigint").alias("_g"), F.lit(1.0).alias("_ext"))
     return s.select(*by, "_x0", "_y0", "_n", h.alias("_h"), F.lit(None).cast("bigint").alias("_g"),
-                    F.floor((F.col("_x1") - F.col("_x0")) / h).cast("bigint").alias("_cmx"),
-                    F.floor((F.col("_y1") - F.col("_y0")) / h).cast("bigint").alias("_cmy"))
+                    F.greatest(ex, ey).alias("_ext"))
 
 
-def _cells(df: DataFrame, x: str, y: str) -> tuple[Column, Column]:
-    cx = F.floor((F.col(x) - F.col("_x0")) / F.col("_h")).cast("bigint")
-    cy = F.floor((F.col(y) - F.col("_y0")) / F.col("_h")).cast("bigint")
-    return cx, cy
+def _levels_needed(stats: DataFrame, periodic: bool) -> int:
+    """Coarsening levels until a 3 x 3 block of cells covers every cloud (one
+    tiny aggregate over the per-cloud table)."""
+    if periodic:
+        need = F.ceil(F.log2(F.greatest(F.col("_g") / 3.0, F.lit(1.0))))
+    else:
+        need = F.ceil(F.log2(F.greatest(F.col("_ext") / F.col("_h"), F.lit(1.0))))
+    v = stats.agg(F.max(need).cast("int")).first()[0]
+    return int(v or 0)
 
 
-def _offsets(r: int) -> Column:
-    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                     for dx in range(-r, r + 1) for dy in range(-r, r + 1)])
+def _level_cells(df: DataFrame, x: str, y: str, level: int, periodic: bool, prefix: str) -> DataFrame:
+    """Cell side ``h * 2^level`` (on the torus: ``1 / floor(g / 2^level)``)
+    and the cell of (x, y) at that side."""
+    if periodic:
+        g = F.greatest(F.floor(F.col("_g") / F.lit(float(2 ** level))), F.lit(1)).cast("bigint")
+        hl = F.lit(1.0) / g
+    else:
+        g = F.lit(None).cast("bigint")
+        hl = F.col("_h") * F.lit(float(2 ** level))
+    df = df.withColumn(f"{prefix}gl", g).withColumn(f"{prefix}hl", hl)
+    cx = F.floor((F.col(x) - F.col("_x0")) / F.col(f"{prefix}hl")).cast("bigint")
+    cy = F.floor((F.col(y) - F.col("_y0")) / F.col(f"{prefix}hl")).cast("bigint")
+    if periodic:
+        cx, cy = F.pmod(cx, F.col(f"{prefix}gl")), F.pmod(cy, F.col(f"{prefix}gl"))
+    return df.withColumn(f"{prefix}cx", cx).withColumn(f"{prefix}cy", cy)
 
 
-def _prepare(queries: DataFrame, points: DataFrame, by: list[str], qid: str, pid: str,
-             x: str, y: str, stats: DataFrame):
-    pts = points.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
-    pts = pts.join(stats, by)
-    pcx, pcy = _cells(pts, "_nx", "_ny")
-    pts = pts.select(*by, "_nid", "_nx", "_ny", pcx.alias("_cx"), pcy.alias("_cy"))
-    q = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
-    q = q.join(stats, by)
-    qcx, qcy = _cells(q, "_qx", "_qy")
-    q = q.select(*by, "_qid", "_qx", "_qy", "_h", "_g", "_n", "_cmx", "_cmy",
-                 qcx.alias("_qcx"), qcy.alias("_qcy"))
-    return q, pts
+_RING = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
-def _candidates(q: DataFrame, pts: DataFrame, by: list[str], r: int, periodic: bool) -> DataFrame:
-    ex = q.select("*", F.explode(_offsets(r)).alias("_o"))
-    tcx = F.col("_qcx") + F.col("_o.dx")
-    tcy = F.col("_qcy") + F.col("_o.dy")
+def _block(periodic: bool) -> Column:
+    """Target cells of the 3 x 3 block around the query cell (distinct, so a
+    torus with fewer than 3 cells per axis is not visited twice)."""
+    cells = [F.struct(F.col("_qcx") + dx, F.col("_qcy") + dy) for dx, dy in _RING]
     if periodic:
-        tcx, tcy = F.pmod(tcx, F.col("_g")), F.pmod(tcy, F.col("_g"))
-        ex = ex.select(*by, "_qid", "_qx", "_qy", "_h", "_g", "_n", "_cmx", "_cmy", "_qcx", "_qcy",
-                       tcx.alias("_tcx"), tcy.alias("_tcy")).dropDuplicates([*by, "_qid", "_tcx", "_tcy"])
-    else:
-        ex = ex.select(*by, "_qid", "_qx", "_qy", "_h", "_g", "_n", "_cmx", "_cmy", "_qcx", "_qcy",
-                       tcx.alias("_tcx"), tcy.alias("_tcy"))
-    j = ex.join(pts, [*[ex[b] == pts[b] for b in by], ex["_tcx"] == pts["_cx"], ex["_tcy"] == pts["_cy"]])
-    j = j.select(*[ex[b] for b in by], "_qid", "_qx", "_qy", "_h", "_g", "_n", "_cmx", "_cmy", "_qcx", "_qcy",
-                 "_nid", "_nx", "_ny")
-    return j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"), periodic))
+        cells = [F.struct(F.pmod(F.col("_qcx") + dx, F.col("_qgl")), F.pmod(F.col("_qcy") + dy, F.col("_qgl")))
+                 for dx, dy in _RING]
+    arr = F.array(*[F.struct(c.getField("col1").alias("tx"), c.getField("col2").alias("ty")) for c in cells])
+    return F.array_distinct(arr) if periodic else arr
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("cloud",),
         qid: str = "point_id", pid: str = "point_id", x: str = "x", y: str = "y",
-        include_self: bool = True, periodic: bool = False, max_rounds: int = 32) -> DataFrame:
+        include_self: bool = True, periodic: bool = False) -> DataFrame:
     """JN5 / JN9: the ``k`` nearest points of every query in the same cloud.
 
     Returns ``(by..., qid, nid, rank, d2)`` with rank 1..k ordered by (squared
@@ -106,42 +110,43 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
     id (the reference's behaviour); ``periodic`` measures on the unit torus
     (minimum image, cells wrap). Fewer than k rows only when the cloud has
     fewer than k eligible points.
+
+    Round L searches the 3 x 3 block of cells of side h 2^L around the query:
+    a query is settled once its k-th distance is below h 2^L (nothing outside
+    the block can be closer); the rest go to round L + 1. The last round's
+    block covers the whole cloud, so every query is settled exactly, and the
+    plan is built without running any job but one tiny aggregate.
     """
     by = list(by)
-    spark = queries.sparkSession
-    stats = cloud_stats(points, by, k, x, y, periodic)
-    q, pts = _prepare(queries, points, by, qid, pid, x, y, stats)
-    pending = q
+    stats = cloud_stats(points, by, k, x, y, periodic, queries=queries)
+    levels = _levels_needed(stats, periodic)
+    q0 = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
+    q0 = q0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by)
+    p0 = points.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
+    p0 = p0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by)
+    qcols = [*by, "_qid", "_qx", "_qy", "_x0", "_y0", "_h", "_g"]
+    pending = q0
     done: list[DataFrame] = []
-    r = 1
     wq = Window.partitionBy(*by, "_qid")
-    for _ in range(max_rounds):
-        cand = _candidates(pending, pts, by, r, periodic)
+    for level in range(levels + 1):
+        q = _level_cells(pending.select(*qcols), "_qx", "_qy", level, periodic, "_q")
+        q = q.select(*qcols, "_qhl", "_qgl", "_qcx", "_qcy", F.explode(_block(periodic)).alias("_t"))
+        p = _level_cells(p0, "_nx", "_ny", level, periodic, "_p").select(*by, "_nid", "_nx", "_ny", "_pcx", "_pcy")
+        cond = [q[b] == p[b] for b in by] + [q["_t.tx"] == p["_pcx"], q["_t.ty"] == p["_pcy"]]
         if not include_self:
-            cand = cand.where(F.col("_qid") != F.col("_nid"))
-        ranked = cand.withColumn("_rank", F.row_number().over(wq.orderBy("_d2", "_nid"))).where(F.col("_rank") <= k)
-        ranked = ranked.withColumn("_kept", F.count(F.lit(1)).over(wq)).withColumn("_dk", F.max("_d2").over(wq))
-        inner = F.lit(float(r)) * F.col("_h")
-        if periodic:
-            spans = F.lit(2 * r + 1) >= F.col("_g")
-        else:
-            spans = ((F.col("_qcx") - r <= 0) & (F.col("_qcx") + r >= F.col("_cmx")) &
-                     (F.col("_qcy") - r <= 0) & (F.col("_qcy") + r >= F.col("_cmy")))
-        settled = spans | ((F.col("_kept") == k) & (F.col("_dk") < inner * inner))
-        ranked = ranked.withColumn("_ok", settled).persist(StorageLevel.MEMORY_AND_DISK)
-        done.append(ranked.where("_ok"))
-        # queries whose ring found nothing are not in `ranked` at all
-        hit = ranked.select(*by, "_qid").distinct()
-        missing = pending.join(hit, [*by, "_qid"], "left_anti")
-        spans_q = ((F.lit(2 * r + 1) >= F.col("_g")) if periodic else
-                   ((F.col("_qcx") - r <= 0) & (F.col("_qcx") + r >= F.col("_cmx")) &
-                    (F.col("_qcy") - r <= 0) & (F.col("_qcy") + r >= F.col("_cmy"))))
-        missing = missing.where(~spans_q)
-        unsettled = ranked.where(~F.col("_ok")).select(*pending.columns).distinct()
-        pending = unsettled.unionByName(missing)
-        if pending.isEmpty():
-            break
-        r *= 2
+            cond.append(q["_qid"] != p["_nid"])
+        j = q.join(p, cond, "left").select(*[q[c] for c in qcols], "_qhl", "_nid", "_nx", "_ny")
+        j = j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"), periodic))
+        r = j.withColumn("_rank", F.row_number().over(wq.orderBy(F.col("_d2").asc_nulls_last(), "_nid")))
+        r = r.where(F.col("_rank") <= k)
+        r = r.withColumn("_kept", F.count("_nid").over(wq)).withColumn("_dk", F.max("_d2").over(wq))
+        last = level == levels
+        settled = F.lit(True) if last else (F.col("_kept") == k) & (F.col("_dk") < F.col("_qhl") * F.col("_qhl"))
+        # referenced by this round's answer and by every later round: keep it
+        r = r.withColumn("_ok", settled).persist(StorageLevel.MEMORY_AND_DISK)
+        done.append(r.where(F.col("_ok") & F.col("_nid").isNotNull()))
+        if not last:
+            pending = r.where(~F.col("_ok") & (F.col("_rank") == 1)).select(*qcols)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -149,6 +154,33 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
                       F.col("_rank").cast("bigint").alias("rank"), F.col("_d2").alias("d2"))
 
 
+def _prepare(queries: DataFrame, points: DataFrame, by: list[str], qid: str, pid: str,
+             x: str, y: str, stats: DataFrame):
+    pts = points.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
+    pts = pts.join(stats, by)
+    pts = pts.select(*by, "_nid", "_nx", "_ny",
+                     F.floor((F.col("_nx") - F.col("_x0")) / F.col("_h")).cast("bigint").alias("_cx"),
+                     F.floor((F.col("_ny") - F.col("_y0")) / F.col("_h")).cast("bigint").alias("_cy"))
+    q = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
+    q = q.join(stats, by)
+    q = q.select(*by, "_qid", "_qx", "_qy",
+                 F.floor((F.col("_qx") - F.col("_x0")) / F.col("_h")).cast("bigint").alias("_qcx"),
+                 F.floor((F.col("_qy") - F.col("_y0")) / F.col("_h")).cast("bigint").alias("_qcy"))
+    return q, pts
+
+
+def _radius_candidates(q: DataFrame, pts: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """Pairs within ``radius``: cells of side ``radius``, 3 x 3 block."""
+    ex = q.select("*", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                                           for dx, dy in _RING])).alias("_o"))
+    ex = ex.select(*by, "_qid", "_qx", "_qy", (F.col("_qcx") + F.col("_o.dx")).alias("_tcx"),
+                   (F.col("_qcy") + F.col("_o.dy")).alias("_tcy"))
+    j = ex.join(pts, [*[ex[b] == pts[b] for b in by], ex["_tcx"] == pts["_cx"], ex["_tcy"] == pts["_cy"]])
+    j = j.select(*[ex[b] for b in by], "_qid", "_qx", "_qy", "_nid", "_nx", "_ny")
+    j = j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny")))
+    return j.where(F.col("_d2") <= F.lit(float(radius) ** 2))
+
+
 def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: int,
                by: Sequence[str] = ("cloud",), qid: str = "point_id", pid: str = "point_id",
                x: str = "x", y: str = "y") -> DataFrame:
@@ -161,9 +193,8 @@ def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: in
     exact round."""
     by = list(by)
     stats = cloud_stats(points, by, 1, x, y).withColumn("_h", F.lit(float(radius)))
-    stats = stats.withColumn("_cmx", F.lit(None).cast("bigint")).withColumn("_cmy", F.lit(None).cast("bigint"))
     q, pts = _prepare(queries, points, by, qid, pid, x, y, stats)
-    cand = _candidates(q, pts, by, 1, False).where(F.col("_d2") <= F.lit(float(radius) ** 2))
+    cand = _radius_candidates(q, pts, by, radius)
     w = Window.partitionBy(*by, "_qid")
     hits = (cand.withColumn("_rank", F.row_number().over(w.orderBy("_nid"))).where(F.col("_rank") <= nsample)
                 .withColumn("_cnt", F.count(F.lit(1)).over(w))
@@ -187,7 +218,7 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float, by: Sequence[str] =
     by = list(by)
     stats = cloud_stats(b, by, 1, x, y).withColumn("_h", F.lit(float(radius)))
     q, pts = _prepare(a, b, by, aid, bid, x, y, stats)
-    cand = _candidates(q, pts, by, 1, False).where(F.col("_d2") <= F.lit(float(radius) ** 2))
+    cand = _radius_candidates(q, pts, by, radius)
     return cand.select(*by, F.col("_qid").alias("qid"), F.col("_nid").alias("nid"), F.col("_d2").alias("d2"))
 
 
@@ -316,7 +347,3 @@ def group_softmax(df: DataFrame, by: Sequence[str], score: str, scale: float = 1
     s = F.col(score) * F.lit(float(scale))
     e = F.exp(s - F.max(s).over(w))
     return df.withColumn(out, e / F.sum(e).over(w))
-
-
-def cells_for_radius(radius: float) -> int:
-    return max(1, math.ceil(1.0 / radius))
