@@ -335,7 +335,9 @@ def idw3(targets: DataFrame, sources: DataFrame, feats: Sequence[str], by: Seque
     nn = knn(targets, sources, k, by, tid, sid, x, y)
     g = gather(nn, sources, feats, by, pid=sid)
     g = g.withColumn("_w", F.lit(1.0) / (F.col("d2") + F.lit(eps)))
-    out = g.groupBy(*by, "qid").agg(*[(F.sum(F.col("_w") * F.col(f)) / F.sum("_w")).alias(f) for f in feats])
+    out = g.groupBy(*by, "qid").agg(*[
+        F.when(F.count(F.lit(1)) == 1, F.first(f)).otherwise(F.sum(F.col("_w") * F.col(f)) / F.sum("_w")).alias(f)
+        for f in feats])
     return out.withColumnRenamed("qid", tid)
 
 
