@@ -65,7 +65,7 @@ RUN_DOMAINS = ["cloud", "grid"]
 
 
 def map_dim(c: Column | str, mapping: Mapping[str, str]) -> Column:
-    """Case-insensitive lookup with pass-through of unknown values."""
+    """PRJ5 / EX2: case-insensitive lookup with pass-through of unknown values."""
     c = F.col(c) if isinstance(c, str) else c
     if not mapping:
         return c

@@ -20,12 +20,12 @@ def _c(c: Column | str) -> Column:
 
 
 def persistence(x: Column | str, horizon: int) -> Column:
-    """Repeat the newest input frame for every target step."""
+    """FC1: repeat the newest input frame for every target step."""
     return F.array_repeat(F.element_at(_c(x), -1), horizon)
 
 
 def zero(x: Column | str, horizon: int) -> Column:
-    """Zeros with the shape of ``horizon`` frames."""
+    """FC2: zeros with the shape of ``horizon`` frames."""
     newest = F.element_at(_c(x), -1)
     return F.array_repeat(F.transform(newest, lambda v: v * 0.0), horizon)
 
@@ -37,7 +37,7 @@ def linear_step(buf: Column) -> Column:
 
 def rollout(x: Column | str, step_fn: Callable[[Column], Column], steps: int,
             lookback: int) -> Column:
-    """Autoregressive rollout: predict, drop the oldest frame, append the
+    """FC3 / EX4: autoregressive rollout: predict, drop the oldest frame, append the
     prediction, repeat ``steps`` times. ``step_fn`` maps the lookback buffer
     (ARRAY<ARRAY<DOUBLE>>) to the next frame. Runs as one higher-order
     ``aggregate`` per row."""
@@ -52,7 +52,7 @@ def rollout(x: Column | str, step_fn: Callable[[Column], Column], steps: int,
 
 
 def residual_update(newest: Column, increment: Column) -> Column:
-    """Next frame = newest frame + increment (element-wise)."""
+    """FC8: next frame = newest frame + increment (element-wise)."""
     return F.zip_with(newest, increment, lambda a, d: a + d)
 
 
@@ -78,7 +78,7 @@ def step_errors(windows: DataFrame, pred: str = "pred", target: str = "y",
 
 
 def step_mse(windows: DataFrame, pred: str = "pred", target: str = "y") -> DataFrame:
-    """MSE for every horizon: (horizon, mse, n_windows). The headline number
+    """FC5: MSE for every horizon: (horizon, mse, n_windows). The headline number
     of a run is the last horizon."""
     e = step_errors(windows, pred, target)
     return e.groupBy("horizon").agg(F.avg("se").alias("mse"),
@@ -87,7 +87,7 @@ def step_mse(windows: DataFrame, pred: str = "pred", target: str = "y") -> DataF
 
 def last_step_scores(windows: DataFrame, batch: str = "batch_id", pred: str = "pred",
                      target: str = "y") -> DataFrame:
-    """Scores at the last horizon: L1, RMSE averaged over batches (sqrt of each
+    """FC6 / FC7: scores at the last horizon: L1, RMSE averaged over batches (sqrt of each
     batch's MSE, then mean, as logged per batch) and RMSE over all windows."""
     last = windows.select(batch, F.element_at(_c(pred), -1).alias("p"), F.element_at(_c(target), -1).alias("t"))
     last = last.select(batch, _frame_sqerr(F.col("p"), F.col("t")).alias("se"),

@@ -202,7 +202,7 @@ def expected_combinations(spark, domains, resolutions, models, equations) -> Dat
 
 def missing_combinations(runs: DataFrame, domains, resolutions, models, equations,
                          impossible: Column) -> DataFrame:
-    """JN1: expected combinations minus observed (anti join) minus impossible."""
+    """JN1 / SET2: expected combinations minus observed (anti join) minus impossible."""
     exp = expected_combinations(runs.sparkSession, domains, resolutions, models, equations)
     seen = runs.select("domain", "resolution", "model", "equation").distinct()
     return (exp.join(seen, ["domain", "resolution", "model", "equation"], "left_anti")

@@ -11,21 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import curves as cv
+from tidewater.operators.common import attach_scalars
 from tidewater.operators.ordinal import ordinal, running_sum
 
 REDUCERS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 
 
-def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Join a one-row DataFrame of constants to every row (broadcast)."""
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one"))
-
-
 def voxelise(points: DataFrame, grid_size: float = 0.01, x: str = "x", y: str = "y",
              z: str | None = None) -> DataFrame:
     """PC1: ``trunc((coord - min) / grid_size)`` with the minimum over the
@@ -152,7 +147,7 @@ def serial_pool(coded: DataFrame, stride: int, feats: Sequence[str], reduce: str
 
 def segment_reduce(df: DataFrame, key: Sequence[str], feats: Sequence[str], reduce: str,
                    coords: Sequence[str] = ()) -> DataFrame:
-    """AGG11: reduce features by cluster key with a named reducer; coordinates
+    """AGG11 / EX3: reduce features by cluster key with a named reducer; coordinates
     are always averaged."""
     if reduce not in REDUCERS:
         raise ValueError(f"reduce must be one of {sorted(REDUCERS)}")

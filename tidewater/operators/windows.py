@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.common import attach_scalars
 from tidewater.operators.ordinal import ordinal
 
 
@@ -23,7 +24,7 @@ def frame_features(df: DataFrame, cols: Sequence[str], out: str = "feat") -> Dat
 
 def sample_windows(frames: DataFrame, lookback: int = 4, rollout: int = 16,
                    key: str = "traj", step: str = "step", feat: str = "feat") -> DataFrame:
-    """All complete windows with stride 1.
+    """WIN9: all complete windows with stride 1.
 
     Each frame is sent to the ``lookback + rollout`` windows it belongs to and
     windows are assembled by ``groupBy(key, start)``: the shuffle key is the
@@ -44,14 +45,14 @@ def sample_windows(frames: DataFrame, lookback: int = 4, rollout: int = 16,
 
 
 def stack_lookback(x: Column | str) -> Column:
-    """Flatten (lookback, feature) lookback-major: the last C entries are the
+    """WIN10: flatten (lookback, feature) lookback-major: the last C entries are the
     newest frame."""
     x = F.col(x) if isinstance(x, str) else x
     return F.flatten(x)
 
 
 def unstack_lookback(flat: Column | str, channels: int) -> Column:
-    """Inverse of :func:`stack_lookback` for ``channels`` features per frame."""
+    """WIN10: inverse of :func:`stack_lookback` for ``channels`` features per frame."""
     flat = F.col(flat) if isinstance(flat, str) else flat
     n = F.size(flat) / channels
     return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
@@ -69,7 +70,7 @@ def shuffle_key(id_col: Column | str, seed: int = 0) -> Column:
 
 def batches(df: DataFrame, size: int, order: Sequence[str], shuffle: bool = False,
             seed: int = 0, id_col: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Cut rows into batches of ``size`` (the last may be short).
+    """WIN11: cut rows into batches of ``size`` (the last may be short).
 
     Without shuffle rows keep ``order``; with shuffle they are ordered by
     :func:`shuffle_key` of ``id_col`` (ties by ``order``). Numbering uses the
@@ -90,7 +91,7 @@ def batches(df: DataFrame, size: int, order: Sequence[str], shuffle: bool = Fals
 
 
 def limit_batches(df: DataFrame, limit: int | float, by: Sequence[str] = ()) -> DataFrame:
-    """Keep the first ``limit`` batches (int) or that fraction of batches
+    """WIN12: keep the first ``limit`` batches (int) or that fraction of batches
     (float in (0, 1], rounded up), per ``by`` group."""
     if isinstance(limit, int) and not isinstance(limit, bool):
         return df.where(F.col("batch_id") < limit)
@@ -98,6 +99,6 @@ def limit_batches(df: DataFrame, limit: int | float, by: Sequence[str] = ()) ->
         raise ValueError("fraction must be in (0, 1]")
     by = list(by)
     nb = df.groupBy(*by).agg((F.max("batch_id") + 1).alias("_nb"))
-    j = df.join(nb, by) if by else df.crossJoin(F.broadcast(nb))
+    j = df.join(nb, by) if by else attach_scalars(df, nb)
     return (j.where(F.col("batch_id") < F.ceil(F.col("_nb") * F.lit(float(limit))))
              .drop("_nb"))

@@ -26,7 +26,8 @@ _WINDOWS_SQL = {
 
 
 def frame_windows(spark: SparkSession, sf_dir: str, channels=("value",)) -> DataFrame:
-    fr = win.frame_features(v_frames(spark, sf_dir), list(channels))
+    fr = win.frame_features(v_frames(spark, sf_dir, tuple(channels)), list(channels))
+    fr = fr.select("traj", "step", "feat")
     return win.sample_windows(fr, L, R)
 
 
@@ -41,7 +42,7 @@ GROUP BY w.h
 """, "v_frames", extra=_WINDOWS_SQL)
 
 
-@register("fc_persistence_mse", FLAGSHIP_SQL, ops=("WIN9", "FC1", "FC5", "SRC5"))
+@register("fc_persistence_mse", FLAGSHIP_SQL, ops=("WIN9", "FC1", "FC5"))
 def persistence_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: persistence forecast scored per horizon over every window."""
     w = frame_windows(spark, sf_dir).withColumn("pred", fc.persistence("x", R))

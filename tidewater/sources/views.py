@@ -54,13 +54,17 @@ def v_runs(spark: SparkSession, sf_dir: str, min_rows: int = 40) -> DataFrame:
                      F.col("n").cast("bigint").alias("n")))
 
 
-def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames (traj, kind, value, event_id, step); step is 1-based in (ts, event_id)
-    order per trajectory, numbered by :func:`ordinal` so that one long
-    trajectory is spread over many tasks."""
+def v_frames(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("kind", "value", "event_id")) -> DataFrame:
+    """Frames (traj, step, columns...) with kind, value, event_id available;
+    step is 1-based in (ts, event_id) order per trajectory, numbered by
+    :func:`ordinal` so that one long trajectory is spread over many tasks.
+    Only the requested columns are carried into the numbering (it is
+    checkpointed, and pruning cannot reach past a checkpoint)."""
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("traj"), F.col("event_type").alias("kind"), "value", "event_id", "ts")
-    return ordinal(ev, ["traj"], ["ts", "event_id"], out="step").drop("ts")
+    keep = ["traj", *dict.fromkeys([*columns, "event_id", "ts"])]
+    return ordinal(ev.select(*keep), ["traj"], ["ts", "event_id"], out="step").select(
+        "traj", *columns, "step")
 
 
 def v_points(spark: SparkSession, sf_dir: str) -> DataFrame:

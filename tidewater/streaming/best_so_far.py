@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 
 def best_so_far(stream: DataFrame, metric: str = "val_loss", run: str = "run", seq: str = "seq") -> DataFrame:
-    """The streaming aggregate: per run the row with the smallest ``metric``
+    """ST1: the streaming aggregate: per run the row with the smallest ``metric``
     seen so far (ties: earliest ``seq``)."""
     cols = [c for c in stream.columns if c != run]
     agg = (stream.where(F.col(metric).isNotNull())
@@ -26,7 +26,7 @@ def best_so_far(stream: DataFrame, metric: str = "val_loss", run: str = "run", s
 def run_best_so_far(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                     metric: str = "val_loss", run: str = "run", seq: str = "seq",
                     max_files_per_trigger: int = 1) -> DataFrame:
-    """Process every file present in ``source`` (``availableNow``), keep the
+    """ST1: process every file present in ``source`` (``availableNow``), keep the
     best row per run in ``sink`` (Parquet) and return a scan of it."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
                    .parquet(source))
