@@ -102,14 +102,15 @@ def _block(periodic: bool) -> Column:
 
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("cloud",),
         qid: str = "point_id", pid: str = "point_id", x: str = "x", y: str = "y",
-        include_self: bool = True, periodic: bool = False) -> DataFrame:
+        include_self: bool = True, periodic: bool = False, with_round: bool = False) -> DataFrame:
     """JN5 / JN9: the ``k`` nearest points of every query in the same cloud.
 
     Returns ``(by..., qid, nid, rank, d2)`` with rank 1..k ordered by (squared
     distance, point id). ``include_self`` keeps the point with the query's own
     id (the reference's behaviour); ``periodic`` measures on the unit torus
     (minimum image, cells wrap). Fewer than k rows only when the cloud has
-    fewer than k eligible points.
+    fewer than k eligible points. ``with_round`` adds the round that settled
+    each query (for diagnostics).
 
     Round L searches the 3 x 3 block of cells of side h 2^L around the query:
     a query is settled once its k-th distance is below h 2^L (nothing outside
@@ -144,14 +145,15 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
         settled = F.lit(True) if last else (F.col("_kept") == k) & (F.col("_dk") < F.col("_qhl") * F.col("_qhl"))
         # referenced by this round's answer and by every later round: keep it
         r = r.withColumn("_ok", settled).persist(StorageLevel.MEMORY_AND_DISK)
-        done.append(r.where(F.col("_ok") & F.col("_nid").isNotNull()))
+        done.append(r.where(F.col("_ok") & F.col("_nid").isNotNull()).withColumn("_round", F.lit(level)))
         if not last:
             pending = r.where(~F.col("_ok") & (F.col("_rank") == 1)).select(*qcols)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    extra = ["_round"] if with_round else []
     return out.select(*by, F.col("_qid").alias("qid"), F.col("_nid").alias("nid"),
-                      F.col("_rank").cast("bigint").alias("rank"), F.col("_d2").alias("d2"))
+                      F.col("_rank").cast("bigint").alias("rank"), F.col("_d2").alias("d2"), *extra)
 
 
 def _prepare(queries: DataFrame, points: DataFrame, by: list[str], qid: str, pid: str,

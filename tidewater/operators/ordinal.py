@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,12 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_val", val))
     w = Window.partitionBy("_pid", *by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_local", F.sum("_val").over(w)).checkpoint(eager=True)
+    local = ranged.withColumn("_local", F.sum("_val").over(w))
+    # persist first so the checkpoint job reads the numbered slices instead of
+    # recomputing them; the checkpoint files then carry the lineage
+    cached = local.persist(StorageLevel.MEMORY_AND_DISK)
+    local = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
     slices = local.groupBy("_pid", *by).agg(F.sum("_val").alias("_tot"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("_pid", *by, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
