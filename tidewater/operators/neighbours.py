@@ -244,11 +244,16 @@ def gather(index: DataFrame, points: DataFrame, cols: Sequence[str], by: Sequenc
 
 
 def edge_list(points: DataFrame, k: int = 16, by: Sequence[str] = ("cloud",), pid: str = "point_id",
-              x: str = "x", y: str = "y", periodic: bool = False) -> DataFrame:
+              x: str = "x", y: str = "y", periodic: bool = False, materialize: bool = True) -> DataFrame:
     """JN8: k-nearest-neighbour graph without self loops, as (by..., src, dst):
-    ``src`` is the neighbour, ``dst`` the point that receives its message."""
+    ``src`` is the neighbour, ``dst`` the point that receives its message.
+
+    Graph operators join the edge table several times per round, so by
+    default it is written once (reliable checkpoint in the shared folder) and
+    every later use reads that copy instead of re-running the search."""
     nn = knn(points, points, k, by, pid, pid, x, y, include_self=False, periodic=periodic)
-    return nn.select(*by, F.col("nid").alias("src"), F.col("qid").alias("dst"))
+    edges = nn.select(*by, F.col("nid").alias("src"), F.col("qid").alias("dst"))
+    return edges.checkpoint(eager=True) if materialize else edges
 
 
 def farthest_points(points: DataFrame, n: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",

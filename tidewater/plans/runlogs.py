@@ -206,6 +206,13 @@ def phase_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ AGG9 / AGG10
+def _epoch_seconds(ts):
+    """Seconds since 1970-01-01 of a local (NTZ) timestamp, independent of the
+    session time zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("double")
+    return days * 86400.0 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 @register("agg9_gpu_hours_summary", f"""
 SELECT {fixed_sql('SUM(CASE WHEN s > 0 THEN s END) / 3600.0')} AS hours,
        CAST(COUNT(CASE WHEN s > 0 THEN 1 END) AS BIGINT) AS n_with,
@@ -224,13 +231,16 @@ SELECT {fixed_sql('SUM(CASE WHEN m > 0 THEN span ELSE 0 END) / 3600.0')} AS hour
        CAST(COUNT(CASE WHEN m > 0 THEN 1 END) AS BIGINT) AS n_with,
        CAST(COUNT(CASE WHEN m = 0 THEN 1 END) AS BIGINT) AS n_without
 FROM (SELECT CAST(o_custkey % 50 AS INT) AS run,
-             ARG_MAX(CAST(EPOCH(o_orderdate) AS DOUBLE), o_orderkey) - ARG_MIN(CAST(EPOCH(o_orderdate) AS DOUBLE), o_orderkey) AS span,
+             ARG_MAX(CAST(EPOCH(o_orderdate) AS DOUBLE), CAST(EPOCH(o_orderdate) AS DOUBLE))
+               - ARG_MIN(CAST(EPOCH(o_orderdate) AS DOUBLE), CAST(EPOCH(o_orderdate) AS DOUBLE)) AS span,
              COUNT(CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 1 END) AS m
       FROM orders GROUP BY 1) t""", ops=("AGG10",))
 def gpu_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    hist = o.select(F.pmod("o_custkey", F.lit(50)).cast("int").alias("run"), F.col("o_orderkey").alias("seq"),
-                    F.col("o_orderdate").cast("timestamp").cast("double").alias("_timestamp"),
+    # the history is logged in time order: its step is the timestamp itself
+    hist = o.select(F.pmod("o_custkey", F.lit(50)).cast("int").alias("run"),
+                    _epoch_seconds(F.col("o_orderdate")).alias("seq"),
+                    _epoch_seconds(F.col("o_orderdate")).alias("_timestamp"),
                     F.when(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "F"),
                            F.col("o_totalprice")).alias("power"))
     h = rn.gpu_hours_history(hist)
