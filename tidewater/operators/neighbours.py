@@ -6,8 +6,8 @@ cloud: points are bucketed into square cells per cloud (cell side chosen so
 that a cell holds about ``k`` points) and a query is joined only with the
 3 x 3 block of cells around its own cell (equi-join on ``(by, cell)``). A
 kNN answer is exact once its k-th distance is below the cell side; queries
-that are not settled go to the next round with cells twice as wide, until a
-block spans the cloud. Candidate groups are per query, so a large cloud is
+that are not settled go to the next round with cells four times as wide,
+until a block spans the cloud. Candidate groups are per query, so a large cloud is
 spread over all tasks.
 """
 
@@ -58,26 +58,26 @@ def cloud_stats(points: DataFrame, by: Sequence[str], k: int, x: str = "x", y: s
                     F.greatest(ex, ey).alias("_ext"))
 
 
-def _levels_needed(stats: DataFrame, periodic: bool) -> int:
-    """Coarsening levels until a 3 x 3 block of cells covers every cloud (one
-    tiny aggregate over the per-cloud table)."""
+def _levels_expr(periodic: bool) -> Column:
+    """Coarsening levels until a 3 x 3 block of cells covers the cloud."""
     if periodic:
-        need = F.ceil(F.log2(F.greatest(F.col("_g") / 3.0, F.lit(1.0))))
-    else:
-        need = F.ceil(F.log2(F.greatest(F.col("_ext") / F.col("_h"), F.lit(1.0))))
-    v = stats.agg(F.max(need).cast("int")).first()[0]
-    return int(v or 0)
+        return F.ceil(F.log(float(STEP), F.greatest(F.col("_g") / 3.0, F.lit(1.0))))
+    return F.ceil(F.log(float(STEP), F.greatest(F.col("_ext") / F.col("_h"), F.lit(1.0))))
 
 
 def _level_cells(df: DataFrame, x: str, y: str, level: int, periodic: bool, prefix: str) -> DataFrame:
-    """Cell side ``h * 2^level`` (on the torus: ``1 / floor(g / 2^level)``)
-    and the cell of (x, y) at that side."""
+    """Cell side ``h * STEP^level`` (on the torus: ``1 / floor(g /
+    STEP^level)``), ``level`` may be negative (finer cells), and the cell of
+    (x, y) at that side."""
     if periodic:
-        g = F.greatest(F.floor(F.col("_g") / F.lit(float(2 ** level))), F.lit(1)).cast("bigint")
+        if level >= 0:
+            g = F.greatest(F.floor(F.col("_g") / F.lit(float(STEP ** level))), F.lit(1)).cast("bigint")
+        else:
+            g = (F.col("_g") * F.lit(STEP ** -level)).cast("bigint")
         hl = F.lit(1.0) / g
     else:
         g = F.lit(None).cast("bigint")
-        hl = F.col("_h") * F.lit(float(2 ** level))
+        hl = F.col("_h") * F.lit(float(STEP) ** level)
     df = df.withColumn(f"{prefix}gl", g).withColumn(f"{prefix}hl", hl)
     cx = F.floor((F.col(x) - F.col("_x0")) / F.col(f"{prefix}hl")).cast("bigint")
     cy = F.floor((F.col(y) - F.col("_y0")) / F.col(f"{prefix}hl")).cast("bigint")
@@ -87,6 +87,8 @@ def _level_cells(df: DataFrame, x: str, y: str, level: int, periodic: bool, pref
 
 
 _RING = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+STEP = 4         # cell side grows (or shrinks) by this factor per level
+MAX_REFINE = 6   # at most STEP^6 finer than the average-density cell side
 
 
 def _block(periodic: bool) -> Column:
@@ -112,26 +114,49 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
     fewer than k eligible points. ``with_round`` adds the round that settled
     each query (for diagnostics).
 
-    Round L searches the 3 x 3 block of cells of side h 2^L around the query:
-    a query is settled once its k-th distance is below h 2^L (nothing outside
+    Round L searches the 3 x 3 block of cells of side h 4^L around the query:
+    a query is settled once its k-th distance is below h 4^L (nothing outside
     the block can be closer); the rest go to round L + 1. The last round's
-    block covers the whole cloud, so every query is settled exactly, and the
-    plan is built without running any job but one tiny aggregate.
+    block covers the whole cloud, so every query is settled exactly. Queries
+    in dense cells start at finer levels (L < 0, from a per-cell count), so
+    a tight cluster inside a wide cloud still sees about k candidates per
+    cell rather than the whole cluster. Only two tiny aggregates run while
+    the plan is built.
     """
     by = list(by)
-    stats = cloud_stats(points, by, k, x, y, periodic, queries=queries)
-    levels = _levels_needed(stats, periodic)
+    stats = cloud_stats(points, by, k, x, y, periodic, queries=queries).persist(StorageLevel.MEMORY_AND_DISK)
     q0 = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
     q0 = q0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by)
     p0 = points.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
-    p0 = p0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by)
-    qcols = [*by, "_qid", "_qx", "_qy", "_x0", "_y0", "_h", "_g"]
+    p0 = p0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by).persist(StorageLevel.MEMORY_AND_DISK)
+    # density per base cell: a query in a cell holding c points starts
+    # ceil(log_{STEP^2}(c / k)) levels finer, where its cells hold about k points
+    dens = (_level_cells(p0, "_nx", "_ny", 0, periodic, "_b").groupBy(*by, "_bcx", "_bcy")
+            .agg(F.count(F.lit(1)).alias("_cnt")))
+    refine = F.least(F.ceil(F.log(float(STEP * STEP), F.greatest(F.col("_cnt") / float(max(k, 1)), F.lit(1.0)))),
+                     F.lit(MAX_REFINE)).cast("int")
+    dens = dens.select(*by, "_bcx", "_bcy", refine.alias("_ref"))
+    # both loop bounds from one small job over the per-cloud and per-cell tables
+    bounds = (stats.select(F.lit(0).alias("_w"), _levels_expr(periodic).cast("int").alias("_v"))
+                   .unionByName(dens.select(F.lit(1).alias("_w"), F.col("_ref").alias("_v")))
+                   .groupBy("_w").agg(F.max("_v").alias("_v")).collect())
+    got = {r["_w"]: int(r["_v"] or 0) for r in bounds}
+    levels, down = got.get(0, 0), got.get(1, 0)
+    qb = _level_cells(q0, "_qx", "_qy", 0, periodic, "_b")
+    q0 = qb.join(dens, [*by, "_bcx", "_bcy"], "left").select(
+        *q0.columns, (-F.coalesce(F.col("_ref"), F.lit(0))).alias("_start"))
+    # read by every round (active and waiting queries): keep it
+    q0 = q0.persist(StorageLevel.MEMORY_AND_DISK)
+    qcols = [*by, "_qid", "_qx", "_qy", "_x0", "_y0", "_h", "_g", "_start"]
     pending = q0
     done: list[DataFrame] = []
     wq = Window.partitionBy(*by, "_qid")
-    for level in range(levels + 1):
-        q = _level_cells(pending.select(*qcols), "_qx", "_qy", level, periodic, "_q")
-        q = q.select(*qcols, "_qhl", "_qgl", "_qcx", "_qcy", F.explode(_block(periodic)).alias("_t"))
+    block = _block(periodic)
+    for level in range(-down, levels + 1):
+        active = pending.where(F.col("_start") <= level) if level < 0 else pending
+        waiting = pending.where(F.col("_start") > level) if level < 0 else None
+        q = _level_cells(active.select(*qcols), "_qx", "_qy", level, periodic, "_q")
+        q = q.select(*qcols, "_qhl", "_qgl", "_qcx", "_qcy", F.explode(block).alias("_t"))
         p = _level_cells(p0, "_nx", "_ny", level, periodic, "_p").select(*by, "_nid", "_nx", "_ny", "_pcx", "_pcy")
         cond = [q[b] == p[b] for b in by] + [q["_t.tx"] == p["_pcx"], q["_t.ty"] == p["_pcy"]]
         if not include_self:
@@ -148,6 +173,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
         done.append(r.where(F.col("_ok") & F.col("_nid").isNotNull()).withColumn("_round", F.lit(level)))
         if not last:
             pending = r.where(~F.col("_ok") & (F.col("_rank") == 1)).select(*qcols)
+            if waiting is not None:
+                pending = pending.unionByName(waiting)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
