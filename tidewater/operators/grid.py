@@ -67,6 +67,9 @@ def lattice(samples: DataFrame, nx: int, ny: int, sample: str = "sample_id") ->
     every sample row: (sample, ix, iy, x, y)."""
     s = samples.select(sample).distinct()
     s = s.select(sample, F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("ix"))
+    # spread the lattice rows before expanding them, so a large lattice is not
+    # generated by the single task that holds its sample row
+    s = s.repartition(sample, "ix")
     s = s.select(sample, "ix", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("iy"))
     return s.select(sample, "ix", "iy", (F.col("ix") / F.lit(float(nx - 1))).alias("x"),
                     (F.col("iy") / F.lit(float(ny - 1))).alias("y"))

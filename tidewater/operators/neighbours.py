@@ -19,6 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.common import BROADCAST_MAX_ROWS
+
 
 def _sqdist(ax: Column, ay: Column, bx: Column, by_: Column, periodic: bool = False) -> Column:
     dx, dy = F.abs(ax - bx), F.abs(ay - by_)
@@ -284,14 +286,16 @@ def edge_list(points: DataFrame, k: int = 16, by: Sequence[str] = ("cloud",), pi
 
 
 def farthest_points(points: DataFrame, n: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",
-                    x: str = "x", y: str = "y", checkpoint_every: int = 1) -> DataFrame:
+                    x: str = "x", y: str = "y", checkpoint_every: int = 8) -> DataFrame:
     """WIN17: ``n`` farthest-point picks per cloud, starting at the lowest id.
 
     Each round updates every point's distance to the pick set and takes the
     arg-max per cloud (ties: lowest id) with a partial aggregate, so a large
     cloud is spread over all tasks; picks are sequential by nature, so there is
-    one round per pick. The per-point state is checkpointed (reliable, shared
-    folder) to keep the plan linear. Returns (by..., pick, point_id, x, y).
+    one round per pick. The per-cloud pick (one row per cloud) is checkpointed
+    every round, which keeps the plan linear; the per-point state is persisted
+    and its lineage cut with a reliable checkpoint every ``checkpoint_every``
+    rounds. Returns (by..., pick, point_id, x, y).
     """
     by = list(by)
     state = points.select(*by, F.col(pid).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"),
@@ -300,15 +304,30 @@ def farthest_points(points: DataFrame, n: int, by: Sequence[str] = ("cloud",), p
         F.max_by(F.struct("_id", "_x", "_y"), order).alias("_p")).select(
         *by, F.col("_p._id").alias("_lid"), F.col("_p._x").alias("_lx"), F.col("_p._y").alias("_ly"))
     last = pick_of(state, F.struct(F.lit(0.0), -F.col("_id"))).checkpoint(eager=True)
+    # one row per cloud, the same count every round: check the size once and
+    # broadcast the picks to the point table only when it is small
+    small = last.count() <= BROADCAST_MAX_ROWS
+    if small:
+        last = F.broadcast(last)
     picks = [last.withColumn("pick", F.lit(0))]
+    cached = None
     for i in range(1, n):
-        state = state.join(last, by).select(
+        nxt = state.join(last, by).select(
             *by, "_id", "_x", "_y",
             F.least(F.col("_dist"), _sqdist(F.col("_x"), F.col("_y"), F.col("_lx"), F.col("_ly"))).alias("_dist"))
         if checkpoint_every and i % checkpoint_every == 0:
-            state = state.checkpoint(eager=True)
-        last = pick_of(state, F.struct(F.col("_dist"), -F.col("_id"))).checkpoint(eager=True)
+            nxt = nxt.checkpoint(eager=True)
+        else:
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        last = pick_of(nxt, F.struct(F.col("_dist"), -F.col("_id"))).checkpoint(eager=True)
+        last = F.broadcast(last) if small else last
+        if cached is not None:
+            cached.unpersist(blocking=False)
+        cached = nxt if nxt.storageLevel.useMemory or nxt.storageLevel.useDisk else None
+        state = nxt
         picks.append(last.withColumn("pick", F.lit(i)))
+    if cached is not None:
+        cached.unpersist(blocking=False)
     out = picks[0]
     for p in picks[1:]:
         out = out.unionByName(p)
