@@ -179,6 +179,27 @@ def test_knn_tight_cluster_in_wide_cloud(spark):
         assert [got[(i, k + 1)] for k in range(3)] == order
 
 
+def test_knn_and_ball_with_many_coincident_points(spark):
+    # 600 copies of one location plus scattered points: exact answers with
+    # coincident points thinned to the lowest ids
+    rng = np.random.default_rng(21)
+    xy = np.vstack([np.full((600, 2), 0.4), rng.uniform(0.3, 0.5, (60, 2))])
+    pts = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(xy)],
+                                "cloud int, point_id long, x double, y double")
+    d = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(-1)
+    got = {(r.qid, r.rank): r.nid for r in nb.knn(pts, pts, 4, include_self=False).collect()}
+    for i in list(range(0, 600, 37)) + list(range(600, 660)):
+        order = sorted((j for j in range(len(xy)) if j != i), key=lambda j: (d[i, j], j))[:4]
+        assert [got[(i, k + 1)] for k in range(4)] == order
+    balls = {}
+    for r in nb.ball_query(pts, pts, 0.02, 5).collect():
+        balls.setdefault(r.qid, {})[r.slot] = r.nid
+    for i in list(range(0, 600, 53)) + list(range(600, 660)):
+        hits = sorted(j for j in range(len(xy)) if d[i, j] <= 0.02 ** 2)[:5]
+        hits += [hits[0]] * (5 - len(hits))
+        assert [balls[i][s] for s in range(5)] == hits
+
+
 def test_farthest_points_distances_never_grow(spark):
     rng = np.random.default_rng(5)
     xy = rng.uniform(0, 1, (60, 2))

@@ -138,12 +138,24 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
     refine = F.least(F.ceil(F.log(float(STEP * STEP), F.greatest(F.col("_cnt") / float(max(k, 1)), F.lit(1.0)))),
                      F.lit(MAX_REFINE)).cast("int")
     dens = dens.select(*by, "_bcx", "_bcy", refine.alias("_ref"))
-    # both loop bounds from one small job over the per-cloud and per-cell tables
-    bounds = (stats.select(F.lit(0).alias("_w"), _levels_expr(periodic).cast("int").alias("_v"))
-                   .unionByName(dens.select(F.lit(1).alias("_w"), F.col("_ref").alias("_v")))
+    # loop bounds and the largest location multiplicity, from one small job
+    mult = _max_multiplicity(points, by, x, y)
+    bounds = (stats.select(F.lit(0).alias("_w"), _levels_expr(periodic).cast("long").alias("_v"))
+                   .unionByName(dens.select(F.lit(1).alias("_w"), F.col("_ref").cast("long").alias("_v")))
+                   .unionByName(mult.select(F.lit(2).alias("_w"), F.col("_m").cast("long").alias("_v")))
                    .groupBy("_w").agg(F.max("_v").alias("_v")).collect())
     got = {r["_w"]: int(r["_v"] or 0) for r in bounds}
     levels, down = got.get(0, 0), got.get(1, 0)
+    keep = k + (0 if include_self else 1)
+    if got.get(2, 0) > keep:
+        # many points at one location: only the lowest ids there can be returned
+        thin = thin_coincident(points.select(*by, pid, x, y), keep, by, pid, x, y)
+        p0 = thin.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
+        p0 = p0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by).persist(StorageLevel.MEMORY_AND_DISK)
+        dens = (_level_cells(p0, "_nx", "_ny", 0, periodic, "_b").groupBy(*by, "_bcx", "_bcy")
+                .agg(F.count(F.lit(1)).alias("_cnt")))
+        dens = dens.select(*by, "_bcx", "_bcy", refine.alias("_ref"))
+        down = int(dens.agg(F.max("_ref")).first()[0] or 0)
     qb = _level_cells(q0, "_qx", "_qy", 0, periodic, "_b")
     q0 = qb.join(dens, [*by, "_bcx", "_bcy"], "left").select(
         *q0.columns, (-F.coalesce(F.col("_ref"), F.lit(0))).alias("_start"))
@@ -185,6 +197,31 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
                       F.col("_rank").cast("bigint").alias("rank"), F.col("_d2").alias("d2"), *extra)
 
 
+def thin_coincident(points: DataFrame, keep: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",
+                    x: str = "x", y: str = "y", salts: int = 64) -> DataFrame:
+    """Keep only the ``keep`` lowest ids at every exact location.
+
+    Points at one location are equidistant from any query and ties are broken
+    by id, so no neighbour search can return more than its ``keep`` lowest
+    ids. A location holding a large share of a cloud is cut by a salt first
+    (top ``keep`` per location and salt), then the at most ``salts * keep``
+    survivors per location are ranked again: exact, and no task sees more
+    than one salt slice of a hot location.
+    """
+    by = list(by)
+    loc = [*by, x, y]
+    s1 = points.withColumn("_salt", F.pmod(F.xxhash64(F.col(pid)), F.lit(salts)))
+    s1 = s1.withColumn("_r", F.row_number().over(Window.partitionBy(*loc, "_salt").orderBy(pid)))
+    s1 = s1.where(F.col("_r") <= keep)
+    s2 = s1.withColumn("_r", F.row_number().over(Window.partitionBy(*loc).orderBy(pid)))
+    return s2.where(F.col("_r") <= keep).drop("_salt", "_r")
+
+
+def _max_multiplicity(points: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """Points per exact location (partial + final aggregate)."""
+    return points.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_m"))
+
+
 def _prepare(queries: DataFrame, points: DataFrame, by: list[str], qid: str, pid: str,
              x: str, y: str, stats: DataFrame):
     pts = points.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
@@ -223,6 +260,9 @@ def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: in
     Cells have side ``radius`` so the 3 x 3 ring holds the whole ball: one
     exact round."""
     by = list(by)
+    # only the nsample lowest ids at one location can enter a ball's list
+    if (_max_multiplicity(points, by, x, y).agg(F.max("_m")).first()[0] or 0) > nsample:
+        points = thin_coincident(points.select(*by, pid, x, y), nsample, by, pid, x, y)
     stats = cloud_stats(points, by, 1, x, y).withColumn("_h", F.lit(float(radius)))
     q, pts = _prepare(queries, points, by, qid, pid, x, y, stats)
     cand = _radius_candidates(q, pts, by, radius)
