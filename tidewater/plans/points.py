@@ -167,7 +167,7 @@ def sa_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("agg15_group_all", _sql(f"""
-SELECT cloud, 0.0 AS centre_x, 0.0 AS centre_y, CAST(COUNT(*) AS BIGINT) AS n, {fixed_sql('MAX(x)')} AS max_x,
+SELECT cloud, CAST(0.0 AS DOUBLE) AS centre_x, CAST(0.0 AS DOUBLE) AS centre_y, CAST(COUNT(*) AS BIGINT) AS n, {fixed_sql('MAX(x)')} AS max_x,
        {fixed_sql('MAX(y)')} AS max_y, {fixed_sql('MAX(f1)')} AS max_f1, {fixed_sql('MAX(f2)')} AS max_f2
 FROM v_points GROUP BY cloud"""), ops=("AGG15",))
 def group_all_q(spark: SparkSession, sf_dir: str) -> DataFrame:
