@@ -396,7 +396,7 @@ def _res_col():
     return (F.when(F.col("value") < 10, "low").when(F.col("value") < 20, "medium")
              .when(F.col("value") < 40, "high").otherwise("full"))
 _SPLIT_SQL = "CASE WHEN DAYOFMONTH(ts) <= 20 THEN 'train' WHEN DAYOFMONTH(ts) <= 25 THEN 'val' ELSE 'test' END"
-_STRUCT_SQL = "CASE WHEN user_id % 3 = 0 THEN 'cloud' ELSE 'grid' END"
+_STRUCT_SQL = "CASE WHEN HOUR(ts) >= 12 THEN 'cloud' ELSE 'grid' END"
 _RES_SQL = ("CASE WHEN value < 10 THEN 'low' WHEN value < 20 THEN 'medium' WHEN value < 40 THEN 'high' "
             "ELSE 'full' END")
 
@@ -405,7 +405,7 @@ def _dataset_path(spark: SparkSession, sf_dir: str) -> str:
     ev = table(spark, sf_dir, "events")
     ds = ev.select(F.col("user_id").alias("traj"), "event_id", "ts", "value",
                    F.col("event_type").alias("equation"),
-                   F.when(F.pmod("user_id", F.lit(3)) == 0, "cloud").otherwise("grid").alias("structure"),
+                   F.when(F.hour("ts") >= 12, "cloud").otherwise("grid").alias("structure"),
                    _res_col().alias("resolution"), _split_col().alias("split"))
     path = scratch_path(spark, "dataset")
     rl.write_dataset(ds, path)
