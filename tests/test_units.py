@@ -200,6 +200,25 @@ def test_knn_and_ball_with_many_coincident_points(spark):
         assert [balls[i][s] for s in range(5)] == hits
 
 
+def test_ball_query_dense_cluster_takes_fine_path(spark):
+    # a dense cluster of distinct points (all within each other's radius)
+    # next to sparse points: exact lowest ids, padded
+    rng = np.random.default_rng(31)
+    xy = np.vstack([rng.uniform(0.5, 0.51, (500, 2)), rng.uniform(0.3, 0.7, (80, 2))])
+    ids = rng.permutation(len(xy))
+    pts = spark.createDataFrame([(0, int(i), float(x), float(y)) for i, (x, y) in zip(ids, xy)],
+                                "cloud int, point_id long, x double, y double")
+    d = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(-1)
+    r, ns = 0.03, 6
+    balls = {}
+    for row in nb.ball_query(pts, pts, r, ns).collect():
+        balls.setdefault(row.qid, {})[row.slot] = row.nid
+    for i in list(range(0, 500, 17)) + list(range(500, 580)):
+        hits = sorted(int(ids[j]) for j in range(len(xy)) if d[i, j] <= r * r)[:ns]
+        hits += [hits[0]] * (ns - len(hits))
+        assert [balls[int(ids[i])][s] for s in range(ns)] == hits
+
+
 def test_farthest_points_distances_never_grow(spark):
     rng = np.random.default_rng(5)
     xy = rng.uniform(0, 1, (60, 2))

@@ -197,26 +197,31 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
                       F.col("_rank").cast("bigint").alias("rank"), F.col("_d2").alias("d2"), *extra)
 
 
-def thin_coincident(points: DataFrame, keep: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",
-                    x: str = "x", y: str = "y", salts: int = 64) -> DataFrame:
-    """Keep only the ``keep`` lowest ids at every exact location.
-
-    Points at one location are equidistant from any query and ties are broken
-    by id, so no neighbour search can return more than its ``keep`` lowest
-    ids. A location holding a large share of a cloud is cut by a salt first
-    (top ``keep`` per location and salt), then the at most ``salts * keep``
-    survivors per location are ranked again: exact, and no task sees more
-    than one salt slice of a hot location.
+def lowest_ids(df: DataFrame, keep: int, group: Sequence[str], pid: str = "point_id",
+               salts: int = 64) -> DataFrame:
+    """The ``keep`` rows with the lowest ``pid`` in every ``group``.
+
+    A group holding a large share of the rows is cut by a salt first (top
+    ``keep`` per group and salt), then the at most ``salts * keep`` survivors
+    per group are ranked again: exact, and no task sees more than one salt
+    slice of a hot group.
     """
-    by = list(by)
-    loc = [*by, x, y]
-    s1 = points.withColumn("_salt", F.pmod(F.xxhash64(F.col(pid)), F.lit(salts)))
-    s1 = s1.withColumn("_r", F.row_number().over(Window.partitionBy(*loc, "_salt").orderBy(pid)))
+    group = list(group)
+    s1 = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(pid)), F.lit(salts)))
+    s1 = s1.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(pid)))
     s1 = s1.where(F.col("_r") <= keep)
-    s2 = s1.withColumn("_r", F.row_number().over(Window.partitionBy(*loc).orderBy(pid)))
+    s2 = s1.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(pid)))
     return s2.where(F.col("_r") <= keep).drop("_salt", "_r")
 
 
+def thin_coincident(points: DataFrame, keep: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",
+                    x: str = "x", y: str = "y", salts: int = 64) -> DataFrame:
+    """Keep only the ``keep`` lowest ids at every exact location: points at
+    one location are equidistant from any query and ties are broken by id,
+    so no neighbour search can return more than those."""
+    return lowest_ids(points, keep, [*by, x, y], pid, salts)
+
+
 def _max_multiplicity(points: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Points per exact location (partial + final aggregate)."""
     return points.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_m"))
@@ -249,6 +254,51 @@ def _radius_candidates(q: DataFrame, pts: DataFrame, by: list[str], radius: floa
     return j.where(F.col("_d2") <= F.lit(float(radius) ** 2))
 
 
+DENSE_FACTOR = 8   # a radius-sized cell with more than DENSE_FACTOR * nsample points is dense
+FINE = 4           # sub-cell side = radius / FINE on the dense path
+
+
+def _fine_ball_candidates(q: DataFrame, pts: DataFrame, by: list[str], radius: float, nsample: int) -> DataFrame:
+    """Ball candidates for queries in dense neighbourhoods.
+
+    Sub-cells of side radius / FINE cover the ball's bounding square. A
+    sub-cell lying inside the ball (its farthest corner within the radius,
+    with a small margin against rounding) contributes only its ``nsample``
+    lowest ids, precomputed per sub-cell with a salted two-stage top-k; a
+    sub-cell crossing the circle contributes its points for an exact
+    distance test; sub-cells outside are skipped. Expects ``q`` with (by,
+    _qid, _qx, _qy, _x0, _y0) and ``pts`` with (by, _nid, _nx, _ny, _x0, _y0).
+    """
+    side = float(radius) / FINE
+    r2 = float(radius) ** 2
+    cell = lambda c, o: F.floor((F.col(c) - F.col(o)) / F.lit(side)).cast("bigint")
+    fp = pts.select(*by, "_nid", "_nx", "_ny", cell("_nx", "_x0").alias("_fx"), cell("_ny", "_y0").alias("_fy"))
+    top = lowest_ids(fp, nsample, [*by, "_fx", "_fy"], "_nid")  # nsample lowest ids per sub-cell
+    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                     for dx in range(-FINE, FINE + 1) for dy in range(-FINE, FINE + 1)])
+    ex = q.select(*by, "_qid", "_qx", "_qy", "_x0", "_y0",
+                  cell("_qx", "_x0").alias("_qfx"), cell("_qy", "_y0").alias("_qfy"), F.explode(offs).alias("_o"))
+    ex = ex.select(*by, "_qid", "_qx", "_qy", (F.col("_qfx") + F.col("_o.dx")).alias("_tx"),
+                   (F.col("_qfy") + F.col("_o.dy")).alias("_ty"),
+                   (F.col("_x0") + (F.col("_qfx") + F.col("_o.dx")) * side).alias("_lx"),
+                   (F.col("_y0") + (F.col("_qfy") + F.col("_o.dy")) * side).alias("_ly"))
+    near_x = F.greatest(F.col("_lx") - F.col("_qx"), F.lit(0.0), F.col("_qx") - F.col("_lx") - side)
+    near_y = F.greatest(F.col("_ly") - F.col("_qy"), F.lit(0.0), F.col("_qy") - F.col("_ly") - side)
+    far_x = F.greatest(F.col("_qx") - F.col("_lx"), F.col("_lx") + side - F.col("_qx"))
+    far_y = F.greatest(F.col("_qy") - F.col("_ly"), F.col("_ly") + side - F.col("_qy"))
+    ex = ex.where(near_x * near_x + near_y * near_y <= F.lit(r2 * (1 + 1e-9)))
+    ex = ex.withColumn("_in", far_x * far_x + far_y * far_y <= F.lit(r2 * (1 - 1e-9)))
+
+    def hits(cells: DataFrame, table: DataFrame) -> DataFrame:
+        j = cells.join(table, [*[cells[b] == table[b] for b in by], cells["_tx"] == table["_fx"],
+                               cells["_ty"] == table["_fy"]])
+        j = j.select(*[cells[b] for b in by], "_qid", "_qx", "_qy", "_nid", "_nx", "_ny")
+        d2 = _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"))
+        return j.withColumn("_d2", d2).where(F.col("_d2") <= F.lit(r2))
+
+    return hits(ex.where("_in"), top).unionByName(hits(ex.where(~F.col("_in")), fp))
+
+
 def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: int,
                by: Sequence[str] = ("cloud",), qid: str = "point_id", pid: str = "point_id",
                x: str = "x", y: str = "y") -> DataFrame:
@@ -258,14 +308,34 @@ def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: in
     gets one row with NULL ``nid`` and slot 0.
 
     Cells have side ``radius`` so the 3 x 3 ring holds the whole ball: one
-    exact round."""
+    exact round. Queries next to a dense cell (more than DENSE_FACTOR *
+    nsample points, from a per-cell count) take the sub-cell path of
+    :func:`_fine_ball_candidates`, where sub-cells inside the ball contribute
+    only their nsample lowest ids; coincident points are thinned first."""
     by = list(by)
     # only the nsample lowest ids at one location can enter a ball's list
     if (_max_multiplicity(points, by, x, y).agg(F.max("_m")).first()[0] or 0) > nsample:
         points = thin_coincident(points.select(*by, pid, x, y), nsample, by, pid, x, y)
     stats = cloud_stats(points, by, 1, x, y).withColumn("_h", F.lit(float(radius)))
     q, pts = _prepare(queries, points, by, qid, pid, x, y, stats)
-    cand = _radius_candidates(q, pts, by, radius)
+    # cells next to a dense cell: the 3 x 3 dilation of the dense cells
+    dense = (pts.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") > DENSE_FACTOR * nsample))
+    near = (dense.select(*by, F.explode(F.array(*[F.struct((F.col("_cx") + dx).alias("_qcx"),
+                                                             (F.col("_cy") + dy).alias("_qcy"))
+                                                   for dx, dy in _RING])).alias("_c"))
+                 .select(*by, "_c._qcx", "_c._qcy").distinct().withColumn("_dense", F.lit(True)))
+    if dense.isEmpty():
+        # no dense cell anywhere: every query takes the plain 3 x 3 path
+        cand = _radius_candidates(q, pts, by, radius).select(*by, "_qid", "_nid")
+    else:
+        q = q.join(near, [*by, "_qcx", "_qcy"], "left")
+        sparse_q = q.where(F.col("_dense").isNull()).drop("_dense")
+        dense_q = q.where(F.col("_dense")).drop("_dense")
+        cand = _radius_candidates(sparse_q, pts, by, radius)
+        xy0 = stats.select(*by, "_x0", "_y0")
+        fine = _fine_ball_candidates(dense_q.join(xy0, by), pts.join(xy0, by), by, radius, nsample)
+        cand = cand.select(*by, "_qid", "_nid").unionByName(fine.select(*by, "_qid", "_nid"))
     w = Window.partitionBy(*by, "_qid")
     hits = (cand.withColumn("_rank", F.row_number().over(w.orderBy("_nid"))).where(F.col("_rank") <= nsample)
                 .withColumn("_cnt", F.count(F.lit(1)).over(w))
