@@ -256,8 +256,11 @@ def write_run_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
                .withColumn("version", F.lit("version_0"))
     test = log.where(F.col("epoch") == 7).select("run", "seq", "epoch", "step", "test_loss", "test_loss_l1",
                                                  "test_time").withColumn("version", F.lit("version_1"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for part in (train, test):
-        (part.repartition("run").sortWithinPartitions("seq").drop("seq")
+        # range-sorted by (run, seq): a long run spans several files whose
+        # names follow the range order, so (file, row) is the log order
+        (part.repartitionByRange(n, "run", "seq").sortWithinPartitions("run", "seq").drop("seq")
              .write.mode("append").partitionBy("run", "version").option("header", True).csv(root))
 
 
@@ -465,7 +468,7 @@ def stream_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream")
     src, sink, ckpt = (os.path.join(base, p) for p in ("source", "sink", "checkpoint"))
     lg = v_log(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in _LOG_SCHEMA.fields])
-    lg.repartition("epoch").write.mode("overwrite").partitionBy("epoch").parquet(src + "_staging")
+    lg.write.mode("overwrite").partitionBy("epoch").parquet(src + "_staging")
     # publish the epochs one by one as separate files of the stream source
     staged = spark.read.parquet(src + "_staging")
     for e in sorted(r[0] for r in staged.select("epoch").distinct().collect()):
