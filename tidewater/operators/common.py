@@ -15,11 +15,5 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
               .join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
+# row limit under which a table whose size was just checked may be broadcast
 BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size: a count (cheap on a
-    checkpointed or cached table) decides; beyond ``max_rows`` the table is
-    returned as is and the join stays a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
