@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Join a one-row DataFrame of constants (a global aggregate) to every
-    row. The one-row side is broadcast -- its size is bounded by
-    construction -- and joined on a constant key, so the large side is never
-    shuffled and no single-partition window is needed."""
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Add the columns of a one-row DataFrame (a global aggregate) to every
+    row as constants. The aggregate runs once as an uncorrelated scalar
+    subquery (partial + final aggregate) and is substituted as a value, so
+    there is no join, no shuffle of the large side and no single-partition
+    window."""
+    cols = scalars.columns
+    packed = scalars.select(F.struct(*cols).alias("_s")).scalar()
+    out = df.withColumn("_scalars", packed)
+    return out.select(*df.columns, *[F.col("_scalars")[c].alias(c) for c in cols])
 
 
 # row limit under which a table whose size was just checked may be broadcast
