@@ -2,9 +2,8 @@
 
 A voxel table is ``(batch, point_id, ix, iy, iz, feats...)``; ``batch`` is
 the cloud. Whole-table constants (the batch-wide minimum, the curve depth,
-the patch size) are one-row aggregates joined on a constant key with a
-broadcast hint -- bounded by construction, and never a single-partition
-window.
+the patch size) are one-row aggregates used as scalar subqueries -- never a
+join and never a single-partition window.
 """
 
 from __future__ import annotations
