@@ -27,3 +27,17 @@ def test_leaderboard_scan_is_pruned_and_filtered(spark):
     text = df._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,A)" in text
     assert "ReadSchema: struct<l_partkey:bigint,l_discount:double,l_returnflag:string,l_linestatus:string>" in text
+
+
+def test_windows_are_assembled_per_window_not_per_trajectory(spark):
+    plan = _plan(QUERIES["win9_sample_windows"](spark, SF_SMALL))
+    # the shuffle that builds windows is keyed by (traj, start): a long
+    # trajectory is spread over all tasks
+    assert "hashpartitioning(traj#" in plan and "start#" in plan.split("hashpartitioning(traj#", 1)[1][:60]
+
+
+def test_lineitem_is_reduced_before_the_part_join(spark):
+    plan = _plan(QUERIES["agg2_count_by_resolution"](spark, SF_SMALL))
+    # pre-aggregation shuffle on (part, status, flag) below the join with part
+    assert "hashpartitioning(l_partkey#" in plan
+    assert "partial_sum" in plan
