@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB oracle on the driver tables
-(the same comparison the driver makes: row count, column names, values with
-columns sorted by name, order-insensitive). Queries without an oracle must
-run and return rows."""
+(the same comparison the driver makes: row count, column names, exact values
+with columns sorted by name, order-insensitive). Queries without an oracle
+must run and return rows."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ ORACLE = entry_mod.oracle_sql()
 
 
 def _norm(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
+    if isinstance(v, float) and math.isnan(v):
+        return "nan"
     return v
 
 
