@@ -41,6 +41,55 @@ def _vox_sql(grid: float) -> str:
        CAST(FLOOR((y - (SELECT MIN(y) FROM v_points)) / {grid!r}) AS INT) AS iy, 0 AS iz FROM v_points"""
 
 
+def _hilbert_ctes(src: str, x: str, y: str, z: str, tag: str) -> tuple[dict[str, str], str]:
+    """Chained CTEs computing the Hilbert key of (x, y, z) at ``depth`` for
+    every row of ``src`` (which carries ``depth``); returns (ctes, last)."""
+    ctes: dict[str, str] = {}
+    prev = f"{tag}0"
+    ctes[prev] = (f"SELECT *, CAST({x} AS BIGINT) AS a0, CAST({y} AS BIGINT) AS a1, "
+                  f"CAST({z} AS BIGINT) AS a2 FROM {src}")
+    n = 0
+    for level in range(cv.MAX_DEPTH - 1, -1, -1):
+        q, p = 1 << level, (1 << level) - 1
+        act = f"{level} < depth"
+        for axis in range(3):
+            ai = f"a{axis}"
+            if axis == 0:
+                body = f"CASE WHEN {act} AND (a0 & {q}) <> 0 THEN xor(a0, {p}) ELSE a0 END AS a0"
+            else:
+                t = f"(xor(a0, {ai}) & {p})"
+                body = (f"CASE WHEN {act} THEN (CASE WHEN ({ai} & {q}) <> 0 THEN xor(a0, {p}) ELSE xor(a0, {t}) END) "
+                        f"ELSE a0 END AS a0, "
+                        f"CASE WHEN {act} AND ({ai} & {q}) = 0 THEN xor({ai}, {t}) ELSE {ai} END AS {ai}")
+            n += 1
+            cur = f"{tag}{n}"
+            ctes[cur] = f"SELECT * REPLACE ({body}) FROM {prev}"
+            prev = cur
+    n += 1
+    cur = f"{tag}{n}"
+    ctes[cur] = f"SELECT *, {_zkey_sql('a0', 'a1', 'a2')} AS hk FROM {prev}"
+    prev = cur
+    for sh in (1, 2, 4, 8, 16, 32):
+        n += 1
+        cur = f"{tag}{n}"
+        ctes[cur] = f"SELECT * REPLACE (xor(hk, hk >> {sh}) AS hk) FROM {prev}"
+        prev = cur
+    return ctes, prev
+
+
+def _hilbert_coded(tag: str, trans: bool = False) -> tuple[dict[str, str], str]:
+    """CTEs: voxels with depth and ``code`` = Hilbert key | (batch << 3 depth)."""
+    x, y = ("iy", "ix") if trans else ("ix", "iy")
+    src = f"{tag}src"
+    ctes = {src: "SELECT vox.*, dep.depth FROM vox CROSS JOIN dep"}
+    more, last = _hilbert_ctes(src, x, y, "iz", tag)
+    ctes.update(more)
+    out = f"{tag}out"
+    ctes[out] = (f"SELECT batch, point_id, ix, iy, iz, depth, hk | (CAST(batch AS BIGINT) << (3 * depth)) AS code "
+                 f"FROM {last}")
+    return ctes, out
+
+
 _CTE = {
     "vox": _vox_sql(GRID),
     "dep": f"""SELECT m AS max_coord, {_bitlen_sql('m')} AS depth, {_bitlen_sql('mb')} AS batch_bits FROM (
@@ -267,13 +316,22 @@ def stencil_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ PC5 / PC6 / PC8 (Hilbert: unit-checked, no SQL)
-@register("pc5_hilbert_cluster", None, ops=("PC5",))
+_H, _HOUT = _hilbert_coded("h")
+
+
+@register("pc5_hilbert_cluster", _sql(f"""
+SELECT batch, point_id, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, code FROM {_HOUT}""", **_H),
+          ops=("PC5",))
 def hilbert_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = pl.cluster_points(vox(spark, sf_dir), "hilbert")
     return _ints(c.select("batch", "point_id", "ix", "iy", "code"), "ix", "iy")
 
 
-@register("pc6_curve_range", None, ops=("PC6", "PC5"))
+@register("pc6_curve_range", _sql(f"""
+SELECT batch, point_id, code, CAST(ix AS BIGINT) AS cx, CAST(iy AS BIGINT) AS cy, CAST(iz AS BIGINT) AS cz,
+       TRUE AS match
+FROM {_HOUT} WHERE code >= (CAST(2 AS BIGINT) << (3 * depth)) AND code < (CAST(6 AS BIGINT) << (3 * depth))""", **_H),
+          ops=("PC6", "PC5"))
 def range_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of clouds 2..5 (code range [2 << 3d, 6 << 3d)) read from the
     clustered Hilbert table, cells decoded from the key; ``match`` checks the
@@ -286,7 +344,24 @@ def range_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("match"))
 
 
-@register("pc8_serialise", None, ops=("PC8", "WIN13", "PC3", "PC5"))
+_T, _TOUT = _hilbert_coded("t", trans=True)
+_SER = {**_H, **_T,
+        "zt": f"""SELECT batch, point_id, {_zkey_sql('iy', 'ix', 'iz')} | (CAST(batch AS BIGINT) << (3 * depth)) AS code
+                  FROM zc""",
+        "ser": f"""SELECT z.batch, z.point_id, z.code AS code_z, zt.code AS code_z_trans, h.code AS code_hilbert,
+                          t.code AS code_hilbert_trans
+                   FROM zc z JOIN zt USING (batch, point_id) JOIN {_HOUT} h USING (batch, point_id)
+                   JOIN {_TOUT} t USING (batch, point_id)"""}
+
+
+@register("pc8_serialise", _sql("""
+SELECT batch, point_id,
+       code_z, CAST(ROW_NUMBER() OVER (ORDER BY code_z, point_id) - 1 AS BIGINT) AS pos_z,
+       code_z_trans, CAST(ROW_NUMBER() OVER (ORDER BY code_z_trans, point_id) - 1 AS BIGINT) AS pos_z_trans,
+       code_hilbert, CAST(ROW_NUMBER() OVER (ORDER BY code_hilbert, point_id) - 1 AS BIGINT) AS pos_hilbert,
+       code_hilbert_trans,
+       CAST(ROW_NUMBER() OVER (ORDER BY code_hilbert_trans, point_id) - 1 AS BIGINT) AS pos_hilbert_trans
+FROM ser""", **_SER), ops=("PC8", "WIN13", "PC3", "PC5"))
 def serialise_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = pl.serialise(vox(spark, sf_dir))
     return s.select("batch", "point_id", "code_z", "pos_z", "code_z_trans", "pos_z_trans",
