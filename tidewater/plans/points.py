@@ -176,15 +176,44 @@ def group_all_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[fixed(c).alias(c) for c in ("max_x", "max_y", "max_f1", "max_f2")])
 
 
-# ------------------------------------------------------------ WIN17 / WIN18 (no SQL: sequential picks)
-@register("win17_farthest_points", None, ops=("WIN17",))
+# ------------------------------------------------------------ WIN17 / WIN18
+def _fps_sql(picks: int) -> str:
+    """Farthest-point picks as a recursive CTE: each step appends, per cloud,
+    the point with the largest minimum squared distance to the picks so far
+    (ties: lowest id), starting at the lowest id."""
+    from tidewater.plans.sql_views import V_POINTS
+    return f"""WITH RECURSIVE v_points AS ({V_POINTS}),
+fps(cloud, pick, pid, ids) AS (
+  SELECT cloud, 0, MIN(point_id), [MIN(point_id)] FROM v_points GROUP BY cloud
+  UNION ALL
+  SELECT f.cloud, f.pick + 1, nxt.pid, list_append(f.ids, nxt.pid)
+  FROM fps f, LATERAL (
+    SELECT q.point_id AS pid FROM v_points q WHERE q.cloud = f.cloud
+    ORDER BY (SELECT MIN((q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y)) FROM v_points r
+              WHERE r.cloud = f.cloud AND list_contains(f.ids, r.point_id)) DESC, q.point_id
+    LIMIT 1) nxt
+  WHERE f.pick < {picks - 1})"""
+
+
+@register("win17_farthest_points", _fps_sql(8) + f"""
+SELECT f.cloud, CAST(f.pick AS BIGINT) AS pick, f.pid AS point_id, {fixed_sql('p.x')} AS x, {fixed_sql('p.y')} AS y
+FROM fps f JOIN v_points p ON p.cloud = f.cloud AND p.point_id = f.pid""", ops=("WIN17",))
 def fps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 farthest-point picks per cloud from the lowest id."""
     f = nb.farthest_points(_pts(spark, sf_dir), 8)
     return f.select("cloud", "pick", "point_id", fixed("x").alias("x"), fixed("y").alias("y"))
 
 
-@register("win18_sample_and_group", None, ops=("WIN18", "WIN17", "JN5", "JN3"))
+@register("win18_sample_and_group", _fps_sql(4) + f""",
+c AS (SELECT f.cloud, f.pid AS centre, p.x AS cx, p.y AS cy FROM fps f
+      JOIN v_points p ON p.cloud = f.cloud AND p.point_id = f.pid),
+m AS (SELECT c.cloud, c.centre, c.cx, c.cy, q.point_id AS nid, q.x, q.y, q.f1, q.f2,
+             CAST(ROW_NUMBER() OVER (PARTITION BY c.cloud, c.centre
+                  ORDER BY (c.cx - q.x) * (c.cx - q.x) + (c.cy - q.y) * (c.cy - q.y), q.point_id) AS BIGINT) AS rank
+      FROM c JOIN v_points q ON q.cloud = c.cloud)
+SELECT cloud, centre, rank, nid, {fixed_sql('x - cx')} AS rel_x, {fixed_sql('y - cy')} AS rel_y,
+       {fixed_sql('f1')} AS f1, {fixed_sql('f2')} AS f2
+FROM m WHERE rank <= 8""", ops=("WIN18", "WIN17", "JN5", "JN3"))
 def sag_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4 FPS centres per cloud, 8 nearest members each, relative positions."""
     g = nb.sample_and_group(_pts(spark, sf_dir), 4, 8, ["f1", "f2"])
