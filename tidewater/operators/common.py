@@ -20,3 +20,14 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 
 # row limit under which a table whose size was just checked may be broadcast
 BROADCAST_MAX_ROWS = 1_000_000
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of ``df`` by writing it as a Parquet table in a fresh
+    folder under the shared checkpoint folder and reading it back. One write
+    job; the read-back carries file-size statistics (so joins can size their
+    strategy) and supports column pruning, unlike a checkpointed RDD."""
+    from tidewater.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.common import BROADCAST_MAX_ROWS
+from tidewater.operators.common import materialize as write_table
 
 
 def _sqdist(ax: Column, ay: Column, bx: Column, by_: Column, periodic: bool = False) -> Column:
@@ -388,11 +389,11 @@ def edge_list(points: DataFrame, k: int = 16, by: Sequence[str] = ("cloud",), pi
     ``src`` is the neighbour, ``dst`` the point that receives its message.
 
     Graph operators join the edge table several times per round, so by
-    default it is written once (reliable checkpoint in the shared folder) and
-    every later use reads that copy instead of re-running the search."""
+    default it is written once as a table in the shared folder and every
+    later use reads that copy instead of re-running the search."""
     nn = knn(points, points, k, by, pid, pid, x, y, include_self=False, periodic=periodic)
     edges = nn.select(*by, F.col("nid").alias("src"), F.col("qid").alias("dst"))
-    return edges.checkpoint(eager=True) if materialize else edges
+    return write_table(edges, "edges") if materialize else edges
 
 
 def farthest_points(points: DataFrame, n: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",

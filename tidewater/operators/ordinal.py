@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.common import materialize
+
 
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -30,9 +31,9 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     preceding)``), computed slice-wise so no group is one task.
 
     The range bounds of ``repartitionByRange`` are sampled per execution, so
-    the slice sums are written once with a reliable ``checkpoint()`` (in the
-    shared checkpoint folder) before slice totals are derived from them: both
-    uses then see the same slices, also after a lost executor.
+    the slice sums are written once as a table in the shared checkpoint
+    folder before slice totals are derived from them: both uses then see the
+    same slices, also after a lost executor.
     ``order`` must make rows unique inside a group.
     """
     by = list(by)
@@ -43,12 +44,9 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_val", val))
     w = Window.partitionBy("_pid", *by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_local", F.sum("_val").over(w))
-    # persist first so the checkpoint job reads the numbered slices instead of
-    # recomputing them; the checkpoint files then carry the lineage
-    cached = local.persist(StorageLevel.MEMORY_AND_DISK)
-    local = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
+    # written once as a table in the shared folder: both uses below read the
+    # same slices, also after a lost executor
+    local = materialize(ranged.withColumn("_local", F.sum("_val").over(w)), "slices")
     slices = local.groupBy("_pid", *by).agg(F.sum("_val").alias("_tot"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("_pid", *by, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
