@@ -41,7 +41,7 @@ TRAIN_ROWS = 20_000
 TERMS = 2_000
 #: Toxic documents that a term needs, and its share of toxic ones.
 MIN_DOCS = 3
-MIN_PRECISION = 0.6
+MIN_PRECISION = 0.2
 #: Lengths of word beginnings that may be terms.
 STEMS = (4, 5, 6, 7)
 #: Letters that a term needs before a misspelling of it counts.
@@ -81,23 +81,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFram
     marked = labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").filter(learn & F.col("text").isNotNull()).join(marked, "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    words = words_of(F.col("text"))
-    windows = F.transform(F.slice(words, 1, F.size(words) - 2), lambda w, i: F.xxhash64(
-        w, F.get(words, i + 1), F.get(words, i + 2)))
-    rows = rows.withColumn("sketch", F.when(F.size(words) >= 3, F.array_min(windows)).otherwise(F.xxhash64("text")))
+    rows = rows.withColumn("words", words_of(F.col("text")))
+    windows = F.transform(F.slice("words", F.lit(1), F.size("words") - 2), lambda w, i: F.xxhash64(
+        w, F.get("words", i + 1), F.get("words", i + 2)))
+    sketch = F.when(F.size("words") >= 3, F.array_min(windows)).otherwise(F.xxhash64("text"))
+    rows = rows.select("doc_id", "text", "toxic", sketch.alias("sketch"))
     return materialize(rows.dropDuplicates(["sketch", "toxic"]).drop("sketch"), "toxicity")
 
 
-def learn_lexicon(train: DataFrame) -> list[str]:
-    """Terms that mark toxic documents, stems with a star, best first."""
-    total = train.groupBy("toxic").count().collect()
-    size = {r["toxic"]: r["count"] for r in total}
+def learn_lexicon(train: DataFrame) -> dict[str, float]:
+    """Terms that mark toxic documents, stems with a star, each with its log
+    ratio of toxic to other documents."""
+    size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
-        return []
+        return {}
     seen = train.select("toxic", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    seen = materialize(seen.filter((F.col("a") >= MIN_DOCS) | (F.col("a") + F.col("b") >= MIN_DOCS)), "terms")
+    seen = materialize(seen.filter(F.col("a") + F.col("b") >= MIN_DOCS), "terms")
     line = 2 * np.log(max(seen.count(), 2))
     base = pos / (pos + neg)
     a, n = F.col("a"), F.col("a") + F.col("b")
@@ -108,28 +109,23 @@ def learn_lexicon(train: DataFrame) -> list[str]:
     g2 = 2 * (part(a, base) + part(F.col("b"), 1 - base))
     good = seen.filter((a >= MIN_DOCS) & (a / n >= MIN_PRECISION)).withColumn("g2", g2).filter(F.col("g2") >= line)
     best = good.orderBy(F.desc("g2"), "term").limit(TERMS).collect()
-    # a longer stem, or a word, that a chosen stem already finds adds nothing
-    stems = sorted((r["term"][:-1] for r in best if r["term"].endswith("*")), key=len)
-    chosen: set[str] = set()
-    for s in stems:
-        if not any(s[:n] in chosen for n in STEMS if n < len(s)):
-            chosen.add(s)
-    words = [r["term"] for r in best if not r["term"].endswith("*")]
+    weight = {r["term"]: float(np.log((r["a"] + 0.5) / (pos + 1)) - np.log((r["b"] + 0.5) / (neg + 1))) for r in best}
     # a stem that one word alone brings in is that word
-    lone = {s for s in chosen if sum(w.startswith(s) for w in words) == 1}
-    chosen -= lone
-    return [s + "*" for s in sorted(chosen)] + [w for w in words if not any(w[:n] in chosen for n in STEMS)]
+    words = [t for t in weight if not t.endswith("*")]
+    lone = {t for t in weight if t.endswith("*") and sum(w.startswith(t[:-1]) for w in words) == 1}
+    return {t: w for t, w in weight.items() if t not in lone}
 
 
 class Lexicon:
     """Trie of terms with the automaton of their misspellings."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: dict[str, float]):
+        self.terms = terms
         self.children: list[dict[str, int]] = [{}]
-        self.accept: list[int] = [-1]  # errors that the term ending here admits
-        self.stem: list[bool] = [False]
+        self.accept: list[tuple[int, float]] = [(-1, 0.0)]  # errors that the term ending here admits, its weight
+        self.stem: list[float | None] = [None]
         self.reach: list[int] = [0]  # errors that some term below admits
-        for t in terms:
+        for t, weight in terms.items():
             word = t.rstrip("*")
             errors = 0 if t.endswith("*") else int(len(word) >= ONE_ERROR)
             at = 0
@@ -138,23 +134,24 @@ class Lexicon:
                 if c not in self.children[at]:
                     self.children[at][c] = len(self.children)
                     self.children.append({})
-                    self.accept.append(-1)
-                    self.stem.append(False)
+                    self.accept.append((-1, 0.0))
+                    self.stem.append(None)
                     self.reach.append(0)
                 at = self.children[at][c]
             self.reach[at] = max(self.reach[at], errors)
             if t.endswith("*"):
-                self.stem[at] = True
+                self.stem[at] = weight
             else:
-                self.accept[at] = max(self.accept[at], errors)
+                self.accept[at] = (errors, weight)
         self._fresh()
 
     def _fresh(self):
         self.states: list[tuple] = []
         self.ids: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
-        self.final: list[tuple[int, bool]] = []
-        self.seen: dict[str, int] = {}
+        self.final: list[tuple[int, float] | None] = []
+        self.begun: list[float | None] = []
+        self.seen: dict[str, tuple[int, float] | None] = {}
         self.start = self._state({0: 0})
 
     def _state(self, found: dict[int, int]) -> int:
@@ -173,8 +170,9 @@ class Lexicon:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            best = min((e for n, e in key if e <= self.accept[n]), default=9)
-            self.final.append((best, any(self.stem[n] and not e for n, e in key)))
+            ends = [(e, -self.accept[n][1]) for n, e in key if e <= self.accept[n][0]]
+            self.final.append((min(ends)[0], -min(ends)[1]) if ends else None)
+            self.begun.append(next((self.stem[n] for n, e in key if not e and self.stem[n] is not None), None))
         return self.ids[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -192,43 +190,47 @@ class Lexicon:
         self.moves[state][c] = to
         return to
 
-    def errors(self, word: str) -> int:
-        """0: a term, or a word that begins with a stem; 1: one error from
-        a term; 9: none."""
-        at = self.start
+    def read(self, word: str) -> tuple[int, float] | None:
+        """(errors, weight) of the term that a word is, or is one error from,
+        or else of the longest stem that it begins with."""
+        at, stem = self.start, None
         for c in word:
-            if self.final[at][1]:
-                return 0
             to = self.moves[at].get(c)
             at = self._move(at, c) if to is None else to
             if not self.states[at]:
-                return 9
-        best, stem = self.final[at]
-        return 0 if stem else best
-
-    def verdict(self, token: str) -> int:
-        e = self.seen.get(token)
-        if e is None:
-            if len(self.seen) > _KEEP or len(self.states) > _KEEP:
-                self._fresh()
-            e = self.errors(token)
-            if e and not token.isalpha():
-                plain = token.translate(_LEET)
-                if plain.isalpha():
-                    e = min(e, max(1, self.errors(plain)))
-            self.seen[token] = e
-        return e
+                return stem
+            if self.begun[at] is not None:
+                stem = (0, self.begun[at])
+        end = self.final[at]
+        return end if end and (not end[0] or not stem) else stem
+
+    def verdict(self, token: str) -> tuple[int, float] | None:
+        if token in self.seen:
+            return self.seen[token]
+        if len(self.seen) > _KEEP or len(self.states) > _KEEP:
+            self._fresh()
+        found = self.read(token)
+        if not found and not token.isalpha():
+            plain = token.translate(_LEET)
+            found = self.read(plain) if plain.isalpha() else None
+            found = found and (1, found[1])
+        self.seen[token] = found
+        return found
+
+
+FEATURES = 8
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Direct, quoted, misspelt and addressed hits, and hits for a hundred words."""
+    """Counts of direct, quoted, misspelt and addressed hits, hits for a hundred
+    words, and the largest weight of each of the first three kinds."""
     low = (text or "").lower()
     tokens = _TOKEN.findall(low)
     verdict, seen = lexicon.verdict, lexicon.seen
-    found = {t: e for t in set(tokens) if (e := seen[t] if t in seen else verdict(t)) < 9}
+    found = {t: e for t in set(tokens) if (e := seen[t] if t in seen else verdict(t))}
     if not found:
-        return [0.0] * 5
-    direct = quoted = misspelt = address = 0
+        return [0.0] * FEATURES
+    count, top, address = [0, 0, 0], [0.0, 0.0, 0.0], 0
     places = list(_TOKEN.finditer(low))
     for i, t in enumerate(tokens):
         if t not in found:
@@ -237,15 +239,13 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         m = places[i]
         marks = (_QUOTES.search(low, max(0, m.start() - NEAR_CHARS), m.start()),
                  _QUOTES.search(low, m.end(), m.end() + NEAR_CHARS))
-        if all(marks) or not SAYING.isdisjoint(near):
-            quoted += 1
-        elif found[t]:
-            misspelt += 1
-        else:
-            direct += 1
+        errors, weight = found[t]
+        kind = 1 if all(marks) or not SAYING.isdisjoint(near) else 2 if errors else 0
+        count[kind] += 1
+        top[kind] = max(top[kind], weight)
         address += not ADDRESS.isdisjoint(near)
-    hits = direct + quoted + misspelt
-    return [float(np.log1p(x)) for x in (direct, quoted, misspelt, address, 100 * hits / len(tokens))]
+    rate = 100 * sum(count) / len(tokens)
+    return [float(np.log1p(x)) for x in (*count, address, rate)] + top
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -271,14 +271,14 @@ def _apply(rows: DataFrame, terms, columns: str, finish) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(terms.value)
         for b in batches:
-            x = np.array([features(t, lexicon) for t in b["text"]], float).reshape(len(b), 5)
+            x = np.array([features(t, lexicon) for t in b["text"]], float).reshape(len(b), FEATURES)
             yield finish(b, x)
 
     return rows.mapInPandas(run, columns)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str], np.ndarray | None]:
-    """Lexicon and weights; no weights where there is nothing to learn from."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, float], np.ndarray | None]:
+    """Lexicon with its weights and the model's; no model where there is nothing to learn from."""
     rows = training_rows(docs, labels, learn)
     terms = learn_lexicon(rows)
     bc = rows.sparkSession.sparkContext.broadcast(terms)
@@ -289,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str],
     return terms, fit(np.vstack(got["x"]), got["toxic"].to_numpy(float))
 
 
-def score(docs: DataFrame, terms: list[str], weights: np.ndarray | None) -> DataFrame:
+def score(docs: DataFrame, terms: dict[str, float], weights: np.ndarray | None) -> DataFrame:
     """doc_id and score of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
