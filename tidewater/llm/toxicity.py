@@ -61,11 +61,13 @@ ADDRESS = frozenset("you your youre tu te toi vous du dich dir ihr usted ustedes
 _KEEP = 400_000
 
 
-def terms_of(text: Column) -> Column:
-    """Distinct words of a text, and their beginnings marked by a star."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    stems = [F.transform(_longer(words, n), _stem(n)) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
+def with_terms(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``terms``: the distinct words of a text, and their
+    beginnings marked by a star."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+    d = rows.withColumn("words", words)
+    stems = [F.transform(_longer(F.col("words"), n), _stem(n)) for n in STEMS]
+    return d.withColumn("terms", F.array_distinct(F.concat("words", *stems)))
 
 
 def _longer(words: Column, n: int) -> Column:
@@ -79,8 +81,9 @@ def _stem(n: int):
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """doc_id, text, toxic of the documents learnt from."""
     marked = labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(learn & F.col("text").isNotNull()).join(marked, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    # at most TRAIN_ROWS ids, so they may be broadcast; no text is dealt
+    chosen = marked.filter(learn).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(TRAIN_ROWS)
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     rows = rows.withColumn("words", words_of(F.col("text")))
     windows = F.transform(F.slice("words", F.lit(1), F.size("words") - 2), lambda w, i: F.xxhash64(
         w, F.get("words", i + 1), F.get("words", i + 2)))
@@ -96,7 +99,8 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return {}
-    seen = train.select("toxic", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(
+    seen = with_terms(train).select("toxic", F.explode_outer("terms").alias("term")).filter(
+        F.col("term").isNotNull()).groupBy("term").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     seen = materialize(seen.filter(F.col("a") + F.col("b") >= MIN_DOCS), "terms")
     line = 2 * np.log(max(seen.count(), 2))
