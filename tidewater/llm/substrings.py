@@ -12,7 +12,8 @@ Neighbouring windows mostly share one anchor, so there are few of them.
    is found: a window in a larger one is a repeat. 4. Documents meet the starts
    of their repeats, and lose the words under them.
 
-Texts are dealt by document once, for steps 2 and 4. An anchor is one of the
+Whole copies of a smaller id are told first, by their hashes, and take no part
+in the steps. Texts are dealt by document once, for all of them. An anchor is one of the
 hundreds of its document, so even one that stands in every third document is a
 small part of the rows; window functions spill, and nothing is gathered but the
 anchors and repeats of one document.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import read, short_batches
+from tidewater.llm.common import read, salted_join, short_batches
 from tidewater.llm.recompress import Stretches, anchors
 from tidewater.llm.registry import register
 
@@ -107,18 +108,31 @@ def _paired(seq: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return anchor + seq.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def copies(texts: DataFrame) -> DataFrame:
+    """(doc_id, copied): hashes of those of its texts that a smaller id has
+    whole. A large group of copies meets as one count, not as rows."""
+    marks = texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("size"))
+    firsts = marks.groupBy("th", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    later = salted_join(marks, firsts.drop("rows"), ["th", "size"], "doc_id").filter("doc_id > first")
+    return later.groupBy("doc_id").agg(F.collect_set("th").alias("copied"))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The texts dealt by document, and (doc_id, places): where windows start
-    that also start in a document with a smaller id."""
+    """The texts dealt by document, with ``copy`` (a smaller id has the whole
+    text), and (doc_id, places): where windows start that also start in a
+    document with a smaller id. Copies are left out of the latter: every word
+    of theirs goes, and their windows start in the first of them as well."""
     short_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    dealt = texts.repartition("doc_id").join(copies(texts).hint("shuffle_hash"), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
+    known = dealt.filter(~F.col("copy") & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     pairs = known.mapInArrow(lambda b: _anchor_rows(b, window), "anchor bigint, doc_id bigint")
     w = Window.partitionBy("anchor")
     shared = pairs.withColumns({"a": F.min("doc_id").over(w), "b": F.max("doc_id").over(w)}).filter("a < b")
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    dealt = texts.repartition("doc_id")
-    met = dealt.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors")
+    met = known.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors")
     rows = met.mapInArrow(lambda b: _window_rows(b, window), "anchor bigint, doc_id bigint, place bigint, names array<bigint>")
     rows = rows.repartition("anchor").select("anchor", "doc_id", "place", F.posexplode("names").alias("i", "name"))
     w = Window.partitionBy("anchor", "name")
@@ -142,10 +156,12 @@ def prune(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists, bases = word_lists(b.column("text")), _base(b.column("text"))
-            places = b.column("places")
+            places, copy = b.column("places"), b.column("copy").to_pylist()
             n_removed, kept = [], []
             for i, words in enumerate(lists):
-                if places[i].is_valid and words:
+                if copy[i]:
+                    words = words if len(words) < window else []
+                elif places[i].is_valid and words:
                     gone = covered(np.asarray(places[i].values, np.int64), int(bases[i]), len(words), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 n_removed.append(len(lists[i]) - len(words))
@@ -154,7 +170,7 @@ def prune(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [b.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    met = dealt.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "places")
+    met = dealt.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "places")
     return met.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
