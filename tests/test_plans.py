@@ -29,11 +29,12 @@ def test_leaderboard_scan_is_pruned_and_filtered(spark):
     assert "ReadSchema: struct<l_partkey:bigint,l_discount:double,l_returnflag:string,l_linestatus:string>" in text
 
 
-def test_windows_are_assembled_per_window_not_per_trajectory(spark):
+def test_windows_are_assembled_per_block_not_per_trajectory(spark):
     plan = _plan(QUERIES["win9_sample_windows"](spark, SF_SMALL))
-    # the shuffle that builds windows is keyed by (traj, start): a long
-    # trajectory is spread over all tasks
-    assert "hashpartitioning(traj#" in plan and "start#" in plan.split("hashpartitioning(traj#", 1)[1][:60]
+    # the shuffle that builds windows is keyed by (traj, block): a long
+    # trajectory is spread over all tasks, and a frame is copied once at most
+    assert "hashpartitioning(traj#" in plan and "_blk#" in plan.split("hashpartitioning(traj#", 1)[1][:60]
+    assert "sequence(0, 19" not in plan.split("hashpartitioning(traj#", 1)[1]
 
 
 def test_lineitem_is_reduced_before_the_part_join(spark):

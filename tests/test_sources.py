@@ -21,21 +21,21 @@ def _write(path: str, text: str) -> None:
 
 def test_ragged_csv_logs_union_by_name(spark):
     root = tempfile.mkdtemp(prefix="tw-logs-")
-    _write(f"{root}/Dynabench_cnn:wave:low:1:2/version_0/metrics.csv",
+    _write(f"{root}/Sim_cnn:wave:low:1:2/version_0/metrics.csv",
            "epoch,step,train_step_ms,val_loss\n0,1,10.0,\n0,2,12.0,0.5\n1,3,,0.4\n")
-    _write(f"{root}/Dynabench_cnn:wave:low:1:2/version_1/metrics.csv",
+    _write(f"{root}/Sim_cnn:wave:low:1:2/version_1/metrics.csv",
            "epoch,test_loss-1,test_time\n1,0.25,NaN\n1,,3.5\n")
-    _write(f"{root}/Dynabench_fno:wave:low:1:2/version_0/metrics.csv", "train_step_ms,test_loss-1\n7.0,0.125\n")
+    _write(f"{root}/Sim_fno:wave:low:1:2/version_0/metrics.csv", "train_step_ms,test_loss-1\n7.0,0.125\n")
     logs = rl.scan_run_logs(spark, root)
     rows = {(r.run, r.metric): r.value for r in logs.where("metric != 'epoch' AND metric != 'step'").collect()
             if r.metric != "val_loss"}
-    assert rows[("Dynabench_fno:wave:low:1:2", "test_loss-1")] == 0.125
+    assert rows[("Sim_fno:wave:low:1:2", "test_loss-1")] == 0.125
     summary = rn.summarise_run(logs.withColumn("ord", F.struct("file", "row")))
     got = {(r.run, r.name): r.value for r in summary.collect()}
-    assert got[("Dynabench_cnn:wave:low:1:2", "train_step_ms_mean")] == 11.0
-    assert got[("Dynabench_cnn:wave:low:1:2", "test_loss-1")] == 0.25
-    assert got[("Dynabench_cnn:wave:low:1:2", "test_time")] == 3.5   # NaN dropped, first real value kept
-    assert got[("Dynabench_fno:wave:low:1:2", "train_step_ms")] == 7.0   # a single value stays plain
+    assert got[("Sim_cnn:wave:low:1:2", "train_step_ms_mean")] == 11.0
+    assert got[("Sim_cnn:wave:low:1:2", "test_loss-1")] == 0.25
+    assert got[("Sim_cnn:wave:low:1:2", "test_time")] == 3.5   # NaN dropped, first real value kept
+    assert got[("Sim_fno:wave:low:1:2", "train_step_ms")] == 7.0   # a single value stays plain
     parsed = logs.select(rn.parse_run_name("run").alias("p")).distinct().collect()
     assert {p.p.model for p in parsed} == {"cnn", "fno"}
 

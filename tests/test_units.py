@@ -26,7 +26,6 @@ def test_null_nan_and_value_ranks(spark):
     df = spark.createDataFrame([("a", "grid", "E", "low", None), ("b", "grid", "E", "low", float("nan")),
                                 ("c", "grid", "E", "low", 1.0)],
                                "model string, domain string, equation string, resolution string, v double")
-    df = df.withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))  # NaN -> NULL at scan
     r = {x.model: x.rank for x in lb.rank_cells(df, "v").collect()}
     assert r == {"a": 1000, "b": 1000, "c": 0}
 
@@ -76,8 +75,8 @@ def test_metric_rule_and_parse(spark):
     assert [c for c in ["epoch", "step", "train_loss", "val_loss_rmse", "train_step_ms", "test_loss",
                         "test_loss-3", "test_time"] if rn.is_metric_name(c)] == \
         ["train_step_ms", "test_loss-3", "test_time"]
-    df = spark.createDataFrame([("Dynabench_geo_fno:wave:low:1:2",), ("Dynabench_neuralPDE:burgers:high:a:b",),
-                                ("Dynabench_x_y_z:wave:low:1:2",)], "name string")
+    df = spark.createDataFrame([("Sim_geo_fno:wave:low:1:2",), ("Sim_neuralPDE:burgers:high:a:b",),
+                                ("Sim_x_y_z:wave:low:1:2",)], "name string")
     p = [r.p for r in df.select(rn.parse_run_name("name").alias("p")).collect()]
     assert (p[0].model, p[0].equation, p[0].version) == ("geo_fno", "wave", "1:2")
     assert p[1].model == "neuralpde"
@@ -329,3 +328,44 @@ def test_nudft_matches_numpy(spark):
     for (k1, k2), v in got.items():
         ref = np.sum(u * np.exp(-1j * 2 * math.pi * (xy[:, 0] * k1 + xy[:, 1] * k2)))
         assert abs(v - ref) < 1e-9
+
+
+# ------------------------------------------------------------ rounding, scratch folder
+def test_fixed_keeps_large_and_small_values(spark):
+    from tidewater.functions.numeric import fixed, fixed_sql
+    import duckdb
+
+    vals = [3.65e13, 5.93e-07, 1.2345678, -0.5, 9.3e18, 1e300, 0.0, -1e-15, None, float("nan"), float("inf")]
+    got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+           .select("i", fixed("v").alias("v")).orderBy("i").collect()]
+    assert got[:8] == [3.65e13, 5.93e-07, 1.234568, -0.5, 9.3e18, 1e300, 0.0, 0.0]
+    assert got[8] is None and got[9] != got[9] and got[10] == float("inf")
+    con = duckdb.connect()
+    for v, g in zip(vals[:8], got, strict=False):
+        assert con.execute(f"SELECT {fixed_sql('CAST(? AS DOUBLE)')}", [v]).fetchone()[0] == g
+
+
+def test_cluster_without_shared_folder_is_an_error(spark, monkeypatch):
+    from tidewater import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Other:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Other())
+
+
+def test_windows_across_blocks_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(win, "BLOCK", 8)
+    steps = [s for s in range(1, 60) if s != 31]
+    fr = spark.createDataFrame([(1, s, [float(s)]) for s in steps] + [(2, s, [0.0]) for s in range(1, 5)],
+                               "traj int, step bigint, feat array<double>")
+    got = {(r.traj, r.start): (r.x, r.y) for r in win.sample_windows(fr, 2, 4).collect()}
+    want = [s for s in range(1, 55) if not set(range(s, s + 6)) & {31, 60}]
+    assert sorted(got) == [(1, s) for s in want]
+    assert all(v == ([[float(s)], [s + 1.0]], [[float(s + k)] for k in range(2, 6)]) for (_, s), v in got.items())

@@ -48,12 +48,6 @@ def z_order(x: Column | str, y: Column | str, z: Column | str) -> Column:
     return interleave3(x, y, z)
 
 
-def _prefix_xor(k: Column) -> Column:
-    for s in (1, 2, 4, 8, 16, 32):
-        k = k.bitwiseXOR(F.shiftright(k, s))
-    return k
-
-
 def _pow2(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), level.cast("int"))
 

@@ -11,32 +11,6 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # These must equal the benchmark's own lists for its results
 # tables to be read the same way.
-EQUATION_ABBREV = {
-    "advection": "A",
-    "burgers": "B",
-    "gasdynamics": "GD",
-    "kuramotosivashinsky": "KS",
-    "reactiondiffusion": "RD",
-    "wave": "W",
-}
-MODEL_DISPLAY = {
-    "fno": "FNO",
-    "geo_fno": "GeoFNO",
-    "cnn": "CNN",
-    "resnet": "ResNet",
-    "neuralpde": "NeuralPDE",
-    "grind": "GrINd",
-    "ptv1": "PTv1",
-    "ptv3": "PTv3",
-    "pointnet": "PointNet",
-    "pointgnn": "PointGNN",
-    "graphpde": "GraphPDE",
-    "gat": "GAT",
-    "gcn": "GCN",
-    "feast": "FeaStNet",
-    "zero_cloud": "zero",
-    "persistance_cloud": "persistence",
-}
 MODEL_ORDER = ["CNN", "ResNet", "FNO", "NeuralPDE", "GrINd", "PTv1", "PTv3", "GeoFNO",
                "PointNet", "PointGNN", "GraphPDE", "GAT", "GCN", "FeaStNet", "persistence", "zero"]
 DOMAIN_ORDER = ["grid", "cloud", "baseline"]
@@ -50,9 +24,6 @@ AUDIT_MODELS = ["cnn", "fno", "gat", "gcn", "geo_fno", "graphpde", "neuralpde",
 AUDIT_EQUATIONS = ["advection", "burgers", "gasdynamics", "kuramotosivashinsky",
                    "reactiondiffusion", "wave"]
 GRID_ONLY_MODELS = ["cnn", "fno", "resnet", "neuralpde"]
-EQUATION_CHANNELS = {"advection": 1, "burgers": 2, "gasdynamics": 4,
-                     "kuramotosivashinsky": 1, "reactiondiffusion": 2, "wave": 2}
-RESOLUTION_POINTS = {"low": (225, 15), "medium": (484, 22), "high": (900, 30), "full": (4096, 64)}
 # ---------------------------------------------------------------------------
 
 # Stand-ins used when the leaderboard is built from the driver tables

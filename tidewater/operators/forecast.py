@@ -85,15 +85,18 @@ def step_mse(windows: DataFrame, pred: str = "pred", target: str = "y") -> DataF
                                     F.count(F.lit(1)).cast("bigint").alias("n_windows"))
 
 
-def last_step_scores(windows: DataFrame, batch: str = "batch_id", pred: str = "pred",
-                     target: str = "y") -> DataFrame:
-    """FC6 / FC7: scores at the last horizon: L1, RMSE averaged over batches (sqrt of each
-    batch's MSE, then mean, as logged per batch) and RMSE over all windows."""
-    last = windows.select(batch, F.element_at(_c(pred), -1).alias("p"), F.element_at(_c(target), -1).alias("t"))
-    last = last.select(batch, _frame_sqerr(F.col("p"), F.col("t")).alias("se"),
-                       _frame_abserr(F.col("p"), F.col("t")).alias("ae"))
-    per_batch = last.groupBy(batch).agg(F.sqrt(F.avg("se")).alias("rmse_b"), F.sum("se").alias("sse"),
-                                        F.sum("ae").alias("sae"), F.count(F.lit(1)).alias("n"))
+def last_step_errors(windows: DataFrame, keep: Sequence[str], pred: str = "pred", target: str = "y") -> DataFrame:
+    """(keep..., se, ae) of each window at the last horizon."""
+    p, t = F.element_at(_c(pred), -1), F.element_at(_c(target), -1)
+    return windows.select(*keep, _frame_sqerr(p, t).alias("se"), _frame_abserr(p, t).alias("ae"))
+
+
+def last_step_scores(errors: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """FC6 / FC7: scores of :func:`last_step_errors`: L1, RMSE averaged over
+    batches (sqrt of each batch's MSE, then mean, as logged per batch) and RMSE
+    over all windows."""
+    per_batch = errors.groupBy(batch).agg(F.sqrt(F.avg("se")).alias("rmse_b"), F.sum("se").alias("sse"),
+                                          F.sum("ae").alias("sae"), F.count(F.lit(1)).alias("n"))
     return per_batch.agg(
         (F.sum("sae") / F.sum("n")).alias("l1"),
         F.avg("rmse_b").alias("rmse_batch"),

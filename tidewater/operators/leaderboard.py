@@ -67,7 +67,7 @@ def rollout_curves(df: DataFrame, step_cols: dict[int, str], ids: Sequence[str]
     """SET3: ``test_loss-1..n`` wide columns -> (ids..., step, loss)."""
     renamed = df.select(*ids, *[F.col(c).cast("double").alias(f"s{s}") for s, c in step_cols.items()])
     long_df = renamed.unpivot(list(ids), [f"s{s}" for s in step_cols], "_s", "loss")
-    return long_df.select(*ids, F.substring("_s", 2, 10).cast("bigint").alias("step"), "loss")
+    return long_df.select(*ids, F.substr("_s", F.lit(2)).cast("bigint").alias("step"), "loss")
 
 
 # ------------------------------------------------------------ aggregates
@@ -124,12 +124,13 @@ def curve_limits(curves: DataFrame) -> DataFrame:
 def rank_cells(df: DataFrame, metric: str, sentinel: int = 1000) -> DataFrame:
     """WIN1: zero-based min-rank of every (model, domain) in each (resolution,
     equation) column; the grid of cells is densified first and a missing value
-    gets ``sentinel``. NULLs rank last explicitly (Spark's ascending default
-    would put them first)."""
+    gets ``sentinel``. NaN counts as missing. NULLs rank last explicitly
+    (Spark's ascending default would put them first)."""
     rows = df.select("resolution", "model", "domain").distinct()
     cols = df.select("resolution", "equation").distinct()
     grid = rows.join(cols, "resolution")
-    vals = df.select("resolution", "model", "domain", "equation", F.col(metric).alias("value"))
+    vals = df.select("resolution", "model", "domain", "equation",
+                     F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric)).alias("value"))
     cells = grid.join(vals, ["resolution", "model", "domain", "equation"], "left")
     w = Window.partitionBy("resolution", "equation").orderBy(F.col("value").asc_nulls_last())
     return cells.withColumn(

@@ -55,24 +55,30 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
                  .drop("_pid", "_local", "_off", "_val"))
 
 
+_LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row below
+
+
 def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
             out: str = "ordinal", partitions: int | None = None) -> DataFrame:
     """1-based ``row_number() over (partition by by order by order)`` as
-    BIGINT: a :func:`running_sum` of ones. ``order`` must make rows unique
-    inside a group; with an empty ``by`` the numbering is global."""
-    r = running_sum(df, by, order, F.lit(1).cast("bigint"), out=out, partitions=partitions)
-    return r.withColumn(out, F.col(out).cast("bigint"))
-
-
-def dense_ordinal(df: DataFrame, by: Sequence[str], key: str, out: str = "dense",
-                  partitions: int | None = None) -> DataFrame:
-    """0-based ``dense_rank() - 1`` of ``key`` inside ``by`` groups.
+    BIGINT. ``order`` must make rows unique inside a group; with an empty
+    ``by`` the numbering is global.
 
-    Distinct keys are reduced with a partial aggregate first, numbered with
-    :func:`ordinal`, and joined back on ``(by, key)``.
+    One shuffle deals the rows by range; each partition is sorted, so the row
+    number inside it comes free. The first number and the size of each group's
+    slice in a partition, a small table, turn those into numbers of the group.
     """
     by = list(by)
-    keys = df.select(*by, key).distinct()
-    ranked = ordinal(keys, by, [key], out=out, partitions=partitions)
-    ranked = ranked.withColumn(out, F.col(out) - 1)
-    return df.join(ranked, [*by, key])
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = [*[F.col(b) for b in by], *order_cols]
+    n = _num_partitions(df, partitions)
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # written once: the range bounds are sampled anew in every execution
+    local = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "slices")
+    local = local.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+    slices = local.groupBy("_pid", *by).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("_pid", *by, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    return (local.join(offsets, ["_pid", *by])
+                 .withColumn(out, (F.col("_off") + F.col("_mid")).cast("bigint"))
+                 .drop("_pid", "_mid", "_off"))

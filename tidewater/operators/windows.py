@@ -17,6 +17,10 @@ from tidewater.operators.common import attach_scalars
 from tidewater.operators.ordinal import ordinal
 
 
+#: Steps in one block of :func:`sample_windows`.
+BLOCK = 1024
+
+
 def frame_features(df: DataFrame, cols: Sequence[str], out: str = "feat") -> DataFrame:
     """Pack channel columns into the ``feat`` array (channel order = ``cols``)."""
     return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in cols]))
@@ -26,22 +30,30 @@ def sample_windows(frames: DataFrame, lookback: int = 4, rollout: int = 16,
                    key: str = "traj", step: str = "step", feat: str = "feat") -> DataFrame:
     """WIN9: all complete windows with stride 1.
 
-    Each frame is sent to the ``lookback + rollout`` windows it belongs to and
-    windows are assembled by ``groupBy(key, start)``: the shuffle key is the
-    window, not the trajectory, so a very long trajectory is spread over all
-    tasks. Group size is bounded by the window span.
+    Steps are cut into blocks of ``BLOCK``; the first ``span - 1`` frames of a
+    block are copied into the one before, so every window lies whole in the
+    block of its start. The shuffle is keyed by ``(key, block)``: a very long
+    trajectory is spread over all tasks, a task's group is bounded by the block,
+    and a frame is sent 1 + span / BLOCK times on average.
     """
     span = lookback + rollout
-    ex = (frames.select(key, step, feat, F.explode(F.sequence(F.lit(0), F.lit(span - 1))).alias("_o"))
-                .withColumn("start", F.col(step) - F.col("_o"))
-                .where(F.col("start") >= 1))
-    g = ex.groupBy(key, "start").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col(feat).alias("f")))).alias("_fr"))
-    g = g.where(F.size("_fr") == span)
-    return g.select(
-        key, F.col("start").cast("bigint").alias("start"),
-        F.transform(F.slice("_fr", 1, lookback), lambda s: s["f"]).alias("x"),
-        F.transform(F.slice("_fr", lookback + 1, rollout), lambda s: s["f"]).alias("y"))
+    block = F.floor((F.col(step) - 1) / BLOCK)
+    early = F.when((F.pmod(F.col(step) - 1, F.lit(BLOCK)) < span - 1) & (block > 0), block - 1)
+    dealt = frames.select(key, F.col(step).alias("_o"), F.col(feat).alias("_f"),
+                          F.explode(F.array_compact(F.array(block, early))).alias("_blk"))
+    g = dealt.groupBy(key, "_blk").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_o").alias("o"), F.col("_f").alias("f")))).alias("_fr"))
+    g = g.where(F.size("_fr") >= span).select(
+        key, "_blk", "_fr", F.explode(F.sequence(F.lit(0), F.size("_fr") - span)).alias("_i"))
+    start = F.get("_fr", F.col("_i"))["o"]
+    whole = F.get("_fr", F.col("_i") + (span - 1))["o"] == start + (span - 1)
+    g = g.where(whole & (F.floor((start - 1) / BLOCK) == F.col("_blk")))
+
+    def frames_of(first: int, n: int) -> Column:
+        return F.transform(F.slice("_fr", F.col("_i") + 1 + first, F.lit(n)), lambda s: s["f"])
+
+    return g.select(key, start.cast("bigint").alias("start"), frames_of(0, lookback).alias("x"),
+                    frames_of(lookback, rollout).alias("y"))
 
 
 def stack_lookback(x: Column | str) -> Column:

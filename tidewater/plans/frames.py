@@ -186,7 +186,8 @@ def last_scores_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persistence at the last horizon: L1 and RMSE per batch of 32 (test split
     order, no shuffle) versus over all windows."""
     w = frame_windows(spark, sf_dir).withColumn("pred", fc.persistence("x", R))
-    b = win.batches(w, BATCH, ["traj", "start"])
+    # two numbers a window go into the numbering, not its frames
+    b = win.batches(fc.last_step_errors(w, ["traj", "start"]), BATCH, ["traj", "start"])
     s = fc.last_step_scores(b)
     return s.select(fixed("l1").alias("l1"), fixed("rmse_batch").alias("rmse_batch"),
                     fixed("rmse_global").alias("rmse_global"), "n_batches")

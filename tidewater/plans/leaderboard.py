@@ -10,7 +10,7 @@ from tidewater.functions import dims
 from tidewater.functions.numeric import fixed, fixed_sql
 from tidewater.operators import leaderboard as lb
 from tidewater.plans.registry import register
-from tidewater.plans.sql_views import with_views
+from tidewater.plans.sql_views import GAP, with_views
 from tidewater.sources.views import v_runs
 
 RES = dims.RUN_RESOLUTIONS
@@ -193,11 +193,12 @@ def limits_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ WIN1 / WIN2 / JN2 / WIN3 / WIN4
 _RANK_SQL = {
-    "rws": "SELECT DISTINCT resolution, model, domain FROM v_runs",
-    "cls": "SELECT DISTINCT resolution, equation FROM v_runs",
+    "got": f"SELECT * FROM v_runs WHERE NOT ({GAP})",
+    "rws": "SELECT DISTINCT resolution, model, domain FROM got",
+    "cls": "SELECT DISTINCT resolution, equation FROM got",
     "cells": """SELECT g.resolution, g.model, g.domain, g.equation, v.loss1 AS value
                 FROM (SELECT * FROM rws JOIN cls USING (resolution)) g
-                LEFT JOIN v_runs v USING (resolution, model, domain, equation)""",
+                LEFT JOIN got v USING (resolution, model, domain, equation)""",
     "rk": """SELECT *, CAST(CASE WHEN value IS NULL THEN 1000 ELSE
                  RANK() OVER (PARTITION BY resolution, equation ORDER BY value ASC NULLS LAST) - 1 END AS BIGINT) AS rank
              FROM cells""",
@@ -206,7 +207,7 @@ _RANK_SQL = {
 
 
 def _ranks(spark, sf_dir):
-    return lb.rank_cells(v_runs(spark, sf_dir), "loss1")
+    return lb.rank_cells(v_runs(spark, sf_dir).where(f"NOT ({GAP})"), "loss1")
 
 
 @register("win1_rank_cells", _sql(f"""
@@ -320,12 +321,12 @@ SELECT e.domain, e.resolution, e.model, e.equation FROM (
   SELECT d.domain, r.resolution, m.model, q.equation FROM
   {_values('domain', dims.RUN_DOMAINS)} d CROSS JOIN {_values('resolution', RES)} r
   CROSS JOIN {_values('model', dims.RUN_MODELS)} m CROSS JOIN {_values('equation', EQS)} q) e
-WHERE NOT EXISTS (SELECT 1 FROM v_runs v WHERE v.domain = e.domain AND v.resolution = e.resolution
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM v_runs WHERE NOT ({GAP})) v WHERE v.domain = e.domain AND v.resolution = e.resolution
                   AND v.model = e.model AND v.equation = e.equation)
   AND NOT (e.domain = 'cloud' AND e.model IN ({_q(GRID_ONLY)}))
   AND NOT (e.domain = 'cloud' AND e.resolution = 'R')"""), ops=("JN1", "SET2"))
 def missing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     impossible = ((F.col("domain") == "cloud") & F.col("model").isin(GRID_ONLY)) | \
                  ((F.col("domain") == "cloud") & (F.col("resolution") == "R"))
-    return lb.missing_combinations(v_runs(spark, sf_dir), dims.RUN_DOMAINS, RES, dims.RUN_MODELS,
+    return lb.missing_combinations(v_runs(spark, sf_dir).where(f"NOT ({GAP})"), dims.RUN_DOMAINS, RES, dims.RUN_MODELS,
                                    EQS, impossible)

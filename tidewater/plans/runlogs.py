@@ -16,7 +16,7 @@ from tidewater.functions.numeric import fixed, fixed_sql
 from tidewater.operators import leaderboard as lb
 from tidewater.operators import runs as rn
 from tidewater.plans.registry import register
-from tidewater.plans.sql_views import with_views
+from tidewater.plans.sql_views import GAP, with_views
 from tidewater.session import scratch_path
 from tidewater.sources import runlogs as rl
 from tidewater.sources.tables import table
@@ -101,7 +101,7 @@ def timing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ PRJ1 / PRJ2 / PRJ4
-_NAME_SQL = """'Dynabench_' || CASE WHEN domain = 'cloud' THEN 'Geo_' ELSE '' END || REPLACE(model, 'Brand#', 'Brand')
+_NAME_SQL = """'Sim_' || CASE WHEN domain = 'cloud' THEN 'Geo_' ELSE '' END || REPLACE(model, 'Brand#', 'Brand')
    || ':' || LOWER(equation) || ':' || resolution || ':' || CAST(n AS VARCHAR) || ':0'
    || CASE WHEN equation = 'PROMO' THEN ':extra' ELSE '' END"""
 
@@ -116,7 +116,7 @@ FROM (SELECT *, LEN(parts) = 5 AND mdl IS NOT NULL AS ok FROM (
       SELECT {_NAME_SQL} AS name FROM v_runs) a) b) c) d""", "v_runs"), ops=("PRJ1",))
 def parse_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = v_runs(spark, sf_dir)
-    name = F.concat(F.lit("Dynabench_"), F.when(F.col("domain") == "cloud", "Geo_").otherwise(""),
+    name = F.concat(F.lit("Sim_"), F.when(F.col("domain") == "cloud", "Geo_").otherwise(""),
                     F.regexp_replace("model", "Brand#", "Brand"), F.lit(":"), F.lower("equation"), F.lit(":"),
                     F.col("resolution"), F.lit(":"), F.col("n").cast("string"), F.lit(":0"),
                     F.when(F.col("equation") == "PROMO", ":extra").otherwise(""))
@@ -328,16 +328,17 @@ def attach_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ SRC4 / SRC7 (results CSV)
+_LOSS16 = f"CASE WHEN {GAP} THEN NULL ELSE loss16 END"
 _RESULTS_SQL = with_views(f"""
 SELECT model, domain, equation, resolution, {fixed_sql('loss1')} AS loss1,
-       {fixed_sql('CASE WHEN n < 50 THEN NULL ELSE loss16 END')} AS loss16, {fixed_sql('test_time')} AS test_time, n
+       {fixed_sql(_LOSS16)} AS loss16, {fixed_sql('test_time')} AS test_time, n
 FROM v_runs""", "v_runs")
 
 
 def _results_path(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "results")
     r = v_runs(spark, sf_dir).withColumn(
-        "loss16", F.when(F.col("n") < 50, F.lit(float("nan"))).otherwise(F.col("loss16")))
+        "loss16", F.when(F.expr(GAP), F.lit(float("nan"))).otherwise(F.col("loss16")))
     rl.write_results(r.select("model", "domain", "equation", "loss1", "loss16", "test_time", "n", "resolution"), path)
     return path
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -44,12 +47,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Taken from ``spark.checkpoint.dir`` when the cluster names one; only when
-    it is unset (local tests) do we create a private folder.
+    Taken from ``spark.checkpoint.dir`` when the cluster names one. Only a local
+    master, where every task runs in this process, gets a private folder when it
+    is unset (removed when Python ends); on a cluster that would be another
+    folder on each machine, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all machines share")
         d = tempfile.mkdtemp(prefix="tidewater-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)

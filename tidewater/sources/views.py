@@ -22,7 +22,7 @@ from tidewater.sources.tables import table
 GRID_N = 15
 
 
-def v_runs(spark: SparkSession, sf_dir: str, min_rows: int = 40) -> DataFrame:
+def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One result row per (model, domain, equation, resolution); metrics are
     means (exact decimal sums divided by the count).
 
@@ -46,12 +46,11 @@ def v_runs(spark: SparkSession, sf_dir: str, min_rows: int = 40) -> DataFrame:
     # sums are exact decimals, so every engine and every summation order
     # reaches the same doubles below (ties such as a loss of exactly 2.0 stay ties)
     d = lambda c: F.col(c).cast("double")
-    return (g.where(F.col("n") >= min_rows)
-             .select("model", "domain", "equation", "resolution",
-                     (d("s_disc") * 40 / F.col("n")).alias("loss1"),
-                     (d("s_qty") / F.col("n") / 12).alias("loss16"),
-                     (d("s_price") / F.col("n")).alias("test_time"),
-                     F.col("n").cast("bigint").alias("n")))
+    return g.select("model", "domain", "equation", "resolution",
+                    (d("s_disc") * 40 / F.col("n")).alias("loss1"),
+                    (d("s_qty") / F.col("n") / 12).alias("loss16"),
+                    (d("s_price") / F.col("n")).alias("test_time"),
+                    F.col("n").cast("bigint").alias("n"))
 
 
 def v_frames(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("kind", "value", "event_id")) -> DataFrame:
