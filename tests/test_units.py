@@ -369,3 +369,25 @@ def test_windows_across_blocks_and_gaps(spark, monkeypatch):
     want = [s for s in range(1, 55) if not set(range(s, s + 6)) & {31, 60}]
     assert sorted(got) == [(1, s) for s in want]
     assert all(v == ([[float(s)], [s + 1.0]], [[float(s + k)] for k in range(2, 6)]) for (_, s), v in got.items())
+
+
+def test_salted_join_back_spreads_a_hot_key(spark):
+    """Half of the rows on one key, no broadcast: no task gets more than a few
+    percent of them."""
+    from tidewater.operators.common import salted_join
+
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
+    stats = df.groupBy("k").agg(F.count("*").alias("n"))
+    with_conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+                 "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in with_conf}
+    try:
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        j = salted_join(df, stats, ["k"], ["id"])
+        per_task = [r["n_rows"] for r in j.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n_rows")).collect()]
+        assert j.filter("k = 0").select("n").distinct().collect()[0][0] == 20_000 and sum(per_task) == 40_000
+        assert max(per_task) < 0.12 * 40_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

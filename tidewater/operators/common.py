@@ -18,6 +18,28 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[F.col("_scalars")[c].alias(c) for c in cols])
 
 
+# parts that the rows of one key are dealt into by salted_join
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
+                null_safe: bool = False, salts: int = SALTS) -> DataFrame:
+    """Join a table that may have hot keys with one that has a row for each key.
+
+    The rows of a key in ``big`` are dealt over ``salts`` sub-keys by the hash
+    of ``spread``, and ``small`` is repeated for each, so half of all rows on one
+    key still go to ``salts`` tasks. AQE splits a skewed join only where both
+    sides come straight from a shuffle; a joined-back aggregate does not. With
+    ``null_safe`` a null key finds the null row."""
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = small.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in small.columns if c not in keys],
+        F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_r_salt"))
+    on = [salted[k].eqNullSafe(right[f"_r_{k}"]) if null_safe else salted[k] == right[f"_r_{k}"] for k in keys]
+    joined = salted.join(right, [*on, salted["_salt"] == right["_r_salt"]], how)
+    return joined.drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
+
+
 # row limit under which a table whose size was just checked may be broadcast
 BROADCAST_MAX_ROWS = 1_000_000
 

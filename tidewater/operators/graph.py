@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.common import salted_join
 from tidewater.operators.ordinal import ordinal, running_sum
 
 AGGS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
@@ -71,7 +72,8 @@ def gcn_smooth(nodes: DataFrame, edges: DataFrame, value: str, by: Sequence[str]
     di = deg.select(*by, F.col("dst"), F.col("_deg").alias("_di"))
     dj = deg.select(*by, F.col("dst").alias("src"), F.col("_deg").alias("_dj"))
     v = nodes.select(*by, F.col(id_col).alias("src"), F.col(value).alias("_v"))
-    w = e.join(di, [*by, "dst"]).join(dj, [*by, "src"]).join(v, [*by, "src"])
+    w = salted_join(e, di, [*by, "dst"], ["src"])
+    w = salted_join(w, dj.join(v, [*by, "src"]), [*by, "src"], ["dst"])
     s = w.groupBy(*by, "dst").agg(F.sum(F.col("_v") / F.sqrt(F.col("_di") * F.col("_dj"))).alias(out))
     return nodes.join(s.withColumnRenamed("dst", id_col), [*by, id_col], "left")
 
@@ -129,7 +131,7 @@ def normalised_adjacency(edges: DataFrame, by: Sequence[str] = ("cloud",)) -> Da
     und = edges.select(*by, "src", "dst").unionByName(
         edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     deg = und.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("_deg"))
-    return und.join(deg, [*by, "src"]).withColumn("w", F.lit(1.0) / F.col("_deg")).drop("_deg")
+    return salted_join(und, deg, [*by, "src"], ["dst"]).withColumn("w", F.lit(1.0) / F.col("_deg")).drop("_deg")
 
 
 def graph_rollout(nodes: DataFrame, edges: DataFrame, message: MessageFn, aggr: str, update: UpdateFn,

@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.common import BROADCAST_MAX_ROWS
+from tidewater.operators.common import BROADCAST_MAX_ROWS, salted_join
 from tidewater.operators.common import materialize as write_table
 
 
@@ -478,13 +478,13 @@ def group_all(points: DataFrame, feats: Sequence[str], by: Sequence[str] = ("clo
 
 def normalise_cloud(points: DataFrame, by: Sequence[str] = ("cloud",), x: str = "x", y: str = "y") -> DataFrame:
     """WIN19: subtract the centroid and divide by the largest radius, per cloud.
-    Uses two aggregates joined back (not a window), so a cloud is never one
-    task."""
+    Uses two aggregates joined back by salted joins (not a window), so a cloud is
+    never one task."""
     by = list(by)
     c = points.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    p = points.join(c, by).withColumn(x, F.col(x) - F.col("_mx")).withColumn(y, F.col(y) - F.col("_my"))
+    p = salted_join(points, c, by, [x, y]).withColumn(x, F.col(x) - F.col("_mx")).withColumn(y, F.col(y) - F.col("_my"))
     m = p.groupBy(*by).agg(F.max(F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))).alias("_m"))
-    p = p.join(m, by)
+    p = salted_join(p, m, by, [x, y])
     safe = F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0))
     return p.withColumn(x, F.col(x) / safe).withColumn(y, F.col(y) / safe).drop("_mx", "_my", "_m")
 

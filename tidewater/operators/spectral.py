@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.common import salted_join
+
 TWO_PI = 2.0 * math.pi
 
 
@@ -145,7 +147,7 @@ def fourier_eval(coef: DataFrame, targets: DataFrame, by: Sequence[str] = ("clou
     """
     by = list(by)
     arr = _coef_array(coef, by)
-    t = targets.join(arr, by)
+    t = salted_join(targets, arr, by, [x, y])
     return t.withColumn(out, _series(F.col(x), F.col(y), center)).drop("_c")
 
 
@@ -170,5 +172,5 @@ def inudft(coef: DataFrame, targets: DataFrame, by: Sequence[str] = ("cloud",),
     half = coef.where(F.col("k2") >= 0)
     w = F.when(F.col("k2") == 0, F.lit(1.0)).otherwise(F.lit(2.0))
     arr = _coef_array(half, by, w)
-    t = targets.join(arr, by)
+    t = salted_join(targets, arr, by, [x, y])
     return t.withColumn(out, _series(F.col(x), F.col(y), 0.0)).drop("_c")
