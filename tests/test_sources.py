@@ -64,3 +64,18 @@ def test_best_so_far_resumes_from_checkpoint(spark):
         .coalesce(1).write.mode("append").parquet(src)
     second = {r.run: (r.seq, r.val_loss) for r in run_best_so_far(spark, src, schema, sink, ckpt).collect()}
     assert second == {1: (2, 0.7), 2: (5, 0.3)}   # ties keep the earliest seq; state carried over
+
+
+def test_log_scan_takes_text_quoted_commas_and_splits(spark):
+    root = tempfile.mkdtemp(prefix="tw-logs-")
+    rows = "\n".join(f'{i},"ok, fine",{i / 4},' for i in range(500))
+    _write(f"{root}/Sim_cnn:wave:low:1:2/version_0/metrics.csv", f'step,"note, with ""comma""",train_step_ms,test_time\r\n{rows}\n\n1,text,oops,2.5\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        got = rl.scan_run_logs(spark, root).where("metric != 'step'").orderBy("row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.value for r in got if r.metric == "train_step_ms"] == [i / 4 for i in range(500)]
+    assert [(r.metric, r.value) for r in got][-1] == ("test_time", 2.5)
+    assert {r.metric for r in got} == {"train_step_ms", "test_time"}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,10 +248,12 @@ def gpu_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ SRC1 / SRC2 / SRC3 / SET1 (files)
-def write_run_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
+def write_run_logs(spark: SparkSession, sf_dir: str, root: str, run: Column | None = None) -> None:
     """Two CSV files per run with different column sets (ragged), at
-    ``root/<run>/version_<k>/part-*.csv``, rows in log order."""
+    ``root/<run>/version_<k>/part-*.csv``, rows in log order. ``run`` renames
+    the runs."""
     log = order_log(spark, sf_dir)
+    log = log if run is None else log.withColumn("run", run)
     train = log.select("run", "seq", "epoch", "step", "train_loss", "val_loss", "train_step_ms") \
                .withColumn("version", F.lit("version_0"))
     test = log.where(F.col("epoch") == 7).select("run", "seq", "epoch", "step", "test_loss", "test_loss_l1",
@@ -286,8 +288,9 @@ _HP_SQL = f"""SELECT {_RUN_SQL} AS run, CAST(COUNT(*) * 1000 AS BIGINT) AS param
 FROM orders GROUP BY 1"""
 
 
-def write_hparams(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """One YAML text file per run at ``root/<run>/version_0/part-*.txt``."""
+def write_hparams(spark: SparkSession, sf_dir: str, root: str, run: Column | None = None) -> None:
+    """One YAML text file per run at ``root/<run>/version_0/part-*.txt``.
+    ``run`` renames the runs."""
     o = table(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
     per = o.groupBy(F.concat(F.lit("run_"), F.pmod("o_custkey", F.lit(50)).cast("string")).alias("run")).agg(
@@ -302,7 +305,9 @@ def write_hparams(spark: SparkSession, sf_dir: str, root: str) -> None:
                        F.lit("  TestRollout: 16"), F.lit("  LearningRate: 0.001"), F.lit("  WeightDecay: 0.0001"),
                        F.concat(F.lit("trainable_parameters: "), F.col("params").cast("string")),
                        F.lit("batch_size: 2"), F.lit(""))
-    (per.select("run", F.lit("version_0").alias("version"), text.alias("value")).repartition("run")
+    per = per.withColumn("value", text)
+    per = per if run is None else per.withColumn("run", run)
+    (per.select("run", F.lit("version_0").alias("version"), "value").repartition("run")
         .write.mode("overwrite").partitionBy("run", "version").text(root))
 
 
@@ -327,6 +332,44 @@ def attach_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rl.attach_hparams(summ, hp).select("run", "name", "value", "domain", "epochs", "params")
 
 
+# ------------------------------------------------------------ results table of all runs
+_MODELS = ["cnn", "geo_fno", "gat", "resNet", "ptv3"]
+_EQUATIONS = ["wave", "burgers", "advection"]
+_K = "CAST(SUBSTR(run, 5) AS INT)"
+_SUMMARY_NAMES = ["test_loss_l1", "test_time", "train_step_ms", "train_step_ms_mean", "train_step_ms_std"]
+
+
+def _nth(values: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN {_K} % {len(values)} = {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+# the same text is Spark and DuckDB SQL
+_FULL_NAME = f"'Sim_' || {_nth(_MODELS)} || ':' || {_nth(_EQUATIONS)} || ':low:' || SUBSTR(run, 5) || ':1'"
+
+
+@register("m1_results_table", with_views(f"""
+SELECT LOWER({_nth(_MODELS)}) AS model, {_nth(_EQUATIONS)} AS equation, 'low' AS resolution,
+       SUBSTR(s.run, 5) || ':1' AS version, h.domain, h.params,
+       CAST(CASE WHEN h.epochs >= 10 THEN 10 WHEN h.epochs >= 3 THEN 3 END AS BIGINT) AS epochs, h.lookback,
+       h.train_rollout, h.test_rollout, h.lr, h.wd,
+       {', '.join(f"MAX(CASE WHEN s.name = '{n}' THEN s.value END) AS {n}" for n in _SUMMARY_NAMES)}
+FROM s JOIN h ON s.run = h.run GROUP BY s.run, h.domain, h.params, h.epochs, h.lookback, h.train_rollout, h.test_rollout, h.lr, h.wd"""
+    .replace("(run, 5)", "(s.run, 5)"), extra={"s": f"SELECT * FROM ({_SUMMARY_SQL}) q", "h": _HP_SQL}),
+          ops=("SRC1", "SRC2", "SRC3", "PRJ1", "PRJ2", "AGG1"))
+def results_table_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row for each run: name parsed, hyper-parameters attached,
+    metrics summarised, epochs in buckets, sorted by model."""
+    logs_root, hp_root = scratch_path(spark, "runlogs"), scratch_path(spark, "hparams")
+    write_run_logs(spark, sf_dir, logs_root, F.expr(_FULL_NAME))
+    write_hparams(spark, sf_dir, hp_root, F.expr(_FULL_NAME))
+    logs = rl.scan_run_logs(spark, logs_root).withColumn("ord", F.struct("file", "row"))
+    wide = _fixed_value(rn.summarise_run(logs)).groupBy("run").pivot("name", _SUMMARY_NAMES).agg(F.first("value"))
+    t = rl.attach_hparams(wide, rl.scan_hparams(spark, hp_root, glob="*.txt")).withColumn("p", rn.parse_run_name("run"))
+    return t.select("p.model", "p.equation", "p.resolution", "p.version", "domain", "params",
+                    rn.epoch_bucket("epochs").alias("epochs"), "lookback", "train_rollout", "test_rollout", "lr", "wd",
+                    *_SUMMARY_NAMES).orderBy("model", "equation", "version")
+
+
 # ------------------------------------------------------------ SRC4 / SRC7 (results CSV)
 _LOSS16 = f"CASE WHEN {GAP} THEN NULL ELSE loss16 END"
 _RESULTS_SQL = with_views(f"""
@@ -464,16 +507,12 @@ _LOG_SCHEMA = T.StructType([T.StructField("run", T.IntegerType()), T.StructField
 
 @register("st1_best_checkpoint_stream", _BEST_SQL, ops=("ST1", "AGG17"))
 def stream_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log rows land as one file per epoch; a streaming min_by per run keeps
+    """Log rows land as files in epoch order; a streaming min_by per run keeps
     the best row so far; the final table equals the batch answer."""
     base = scratch_path(spark, "stream")
     src, sink, ckpt = (os.path.join(base, p) for p in ("source", "sink", "checkpoint"))
     lg = v_log(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in _LOG_SCHEMA.fields])
-    lg.write.mode("overwrite").partitionBy("epoch").parquet(src + "_staging")
-    # publish the epochs one by one as separate files of the stream source
-    staged = spark.read.parquet(src + "_staging")
-    for e in sorted(r[0] for r in staged.select("epoch").distinct().collect()):
-        (staged.where(F.col("epoch") == e).select(*[f.name for f in _LOG_SCHEMA.fields])
-               .coalesce(1).write.mode("append").parquet(src))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lg.repartitionByRange(n, "epoch", "seq").write.mode("overwrite").parquet(src)
     best = run_best_so_far(spark, src, _LOG_SCHEMA, sink, ckpt)
     return _log_out(best)

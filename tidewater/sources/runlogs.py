@@ -2,8 +2,8 @@
 leaderboards and partitioned datasets.
 
 Run logs are CSV files at ``<root>/<run>/<version>/<file>.csv`` whose column
-sets differ from file to file. They are read whole (one row per file, files
-spread over all tasks), split into lines and cells, and returned in long
+sets differ from file to file. They are read line by line (a large file is
+split over tasks), cut into cells under the header of their file, and returned in long
 form ``(run, file, row, metric, value)``: the union of ragged files is then
 just a union of rows, with no per-file schema handling on the driver.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.operators.common import salted_join
+
 HPARAM_KEYS = {
     # output column: (yaml key, nested under hparams, type)
     "params": ("trainable_parameters", False, "bigint"),
@@ -39,10 +41,10 @@ RESULTS_SCHEMA = T.StructType([
 
 
 def _dir_name(path: Column, up: int) -> Column:
-    """Name of the directory ``up`` levels above a file, with a Hive-style
-    ``key=`` prefix removed and URL escapes decoded."""
-    d = F.element_at(F.split(path, "/"), -(up + 1))
-    return F.url_decode(F.regexp_replace(d, r"^[^=/]*=", ""))
+    """Name of the directory ``up`` levels above a file. A path is URL-encoded;
+    a Hive-style ``key=value`` name is its value, whose own escapes go too."""
+    name = F.url_decode(F.element_at(F.split(path, "/"), -(up + 1)))
+    return F.when(name.rlike("^[^=/]+="), F.url_decode(F.regexp_replace(name, "^[^=/]+=", ""))).otherwise(name)
 
 
 def _whole_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -52,21 +54,41 @@ def _whole_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
                  .select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
+# a comma outside of quotes
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line: Column) -> Column:
+    """Cells of a CSV line: quotes taken off, doubled quotes inside made one."""
+    return F.transform(F.split(line, _COMMA, -1), lambda c: F.when(
+        F.trim(c).rlike('^".*"$'), F.replace(F.regexp_extract(F.trim(c), '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def scan_run_logs(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """SRC1 / SET1: every ``*.csv`` under ``root`` -> (run, file, row, metric,
-    value); run = grandparent directory of the file; empty and NaN cells are
-    dropped. Several files of one run simply contribute more rows."""
-    f = _whole_files(spark, root, glob)
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda s: s != "")
-    f = f.select(_dir_name(F.col("file"), 2).alias("run"), "file", lines.alias("_lines"))
-    f = f.select("run", "file", F.split(F.element_at("_lines", 1), ",").alias("_hdr"),
-                 F.posexplode(F.slice("_lines", 2, 1 << 30)).alias("row", "_line"))
-    cells = F.arrays_zip(F.col("_hdr").alias("metric"), F.split("_line", ",").alias("v"))
-    c = f.select("run", "file", F.col("row").cast("bigint").alias("row"), F.explode(cells).alias("_c"))
-    v = F.col("_c.v")
-    val = F.when((v == "") | F.lower(v).isin("nan", "null"), F.lit(None)).otherwise(v.cast("double"))
-    return (c.select("run", "file", "row", F.col("_c.metric").alias("metric"), val.alias("value"))
-             .where(F.col("value").isNotNull()))
+    value); run = grandparent directory of the file. Cells may be quoted (but
+    hold no line break). Empty and NaN cells, and cells that are no number, are
+    dropped. Several files of one run simply contribute more rows.
+
+    Files are read line by line, so a large one is split over many tasks. The
+    header (first line) of each file and the first line of each split are a
+    small aggregate, joined back by salted keys; ``row`` is the split's first
+    byte plus the line's number in it, which grows down the file."""
+    lines = (spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+                  .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                          F.monotonically_increasing_id().alias("mid"), F.rtrim("value").alias("line"))
+                  .where(F.col("line") != ""))
+    splits = lines.groupBy("file", "at").agg(F.min("mid").alias("first"), F.min_by("line", "mid").alias("line"))
+    header = splits.groupBy("file").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("top"))
+    splits = splits.select("file", "at", "first").join(header, "file")
+    f = salted_join(lines, splits, ["file", "at"], ["mid"])
+    f = f.where((F.col("at") > F.col("top")) | (F.col("mid") > F.col("first")))
+    cells = F.arrays_zip(_cells(F.col("header")).alias("metric"), _cells(F.col("line")).alias("v"))
+    c = f.select(_dir_name(F.col("file"), 2).alias("run"), "file", (F.col("at") + F.col("mid") - F.col("first")).alias("row"),
+                 F.explode(cells).alias("_c"))
+    val = F.trim("_c.v").try_cast("double")
+    return (c.select("run", "file", "row", F.trim("_c.metric").alias("metric"), val.alias("value"))
+             .where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("metric").isNotNull()))
 
 
 def scan_hparams(spark: SparkSession, root: str, glob: str = "*.yaml") -> DataFrame:
