@@ -157,35 +157,39 @@ class Model:
     def emissions(self, found: list[str]) -> np.ndarray:
         """Scores of each word; those of new words are worked out first."""
         seen = self.seen
-        new = list({w: None for w in found if w not in seen})
+        new = list(set(found).difference(seen))
         if len(seen) + len(new) > _KEEP:
             seen.clear()
-            self.scores = self.scores[:0]
-            new = list(dict.fromkeys(found))
+            new = list(set(found))
         if new:
-            seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-            self.scores = np.concatenate((self.scores, self.score(new).astype(np.float32)))
-        return self.scores[np.fromiter((seen[w] for w in found), np.int64, len(found))]
+            at, to = len(seen), len(seen) + len(new)
+            if to > len(self.scores):
+                grown = np.empty((2 * to, len(self.langs)), np.float32)
+                grown[:at] = self.scores[:at]
+                self.scores = grown
+            self.scores[at:to] = self.score(new)
+            seen.update(zip(new, range(at, to), strict=True))
+        return self.scores[np.fromiter(map(seen.__getitem__, found), np.int64, len(found))]
 
 
 def viterbi(e: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word: highest sum of scores less ``switch`` for
     each change of language; of equal paths the one that stays."""
-    n, k = e.shape
-    back = np.empty((n, k), np.int32)
-    best = e[0].astype(np.float64)
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(best.argmax())
-        jump = best[top] - switch
-        moved = jump > best
-        back[t] = np.where(moved, top, stay)
-        best = np.where(moved, jump, best) + e[t]
-    path = np.empty(n, np.int64)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    rows = e.tolist()
+    best, moves = rows[0], []
+    for row in rows[1:]:
+        top = max(best)
+        jump = top - switch
+        # None: every language stays; else where a jump comes from
+        moves.append(None if min(best) >= jump else (best.index(top), [b < jump for b in best]))
+        best = [(b if b >= jump else jump) + x for b, x in zip(best, row, strict=True)]
+    at = best.index(max(best))
+    path = [at]
+    for move in reversed(moves):
+        if move and move[1][at]:
+            at = move[0]
+        path.append(at)
+    return np.array(path[::-1])
 
 
 def one_language(e: np.ndarray, switch: float = SWITCH) -> int | None:
@@ -226,9 +230,11 @@ def predict_one(text: str | None, model: Model) -> tuple[str, float]:
 def learn(docs: DataFrame, use: Column) -> pd.DataFrame:
     """Counts of the training documents. The result is bounded: BUCKETS runs
     and the WORDS most frequent words of each language."""
-    rows = docs.select("doc_id", "text", "lang").filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    known = use & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
+    # at most TRAIN_ROWS ids, so they may be broadcast; no text is dealt
+    chosen = docs.filter(known).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    rows = docs.select("doc_id", "text", "lang").filter(known & F.col("text").isNotNull()).join(
+        F.broadcast(chosen.distinct()), "doc_id", "left_semi")
     got = count(rows.select("lang", "text"))
     w = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
     return got.withColumn("r", F.row_number().over(w)).filter((F.col("kind") != "word") | (F.col("r") <= WORDS)).drop(
