@@ -375,6 +375,17 @@ def multi_scale_group(queries: DataFrame, points: DataFrame, scales: Sequence[tu
     return out
 
 
+def multi_scale_knn(queries: DataFrame, points: DataFrame, sizes: Sequence[int],
+                    by: Sequence[str] = ("cloud",), **kw) -> DataFrame:
+    """JN7, nearest-neighbour mode: the ``sizes[i]`` nearest points for each
+    scale; adds ``scale`` (0-based). One search of the largest size: a smaller
+    scale is the head of its ranks."""
+    nn = knn(queries, points, max(sizes), by, **kw)
+    scales = F.array(*[F.struct(F.lit(i).cast("bigint").alias("scale"), F.lit(k).alias("k")) for i, k in enumerate(sizes)])
+    return (nn.withColumn("_s", F.explode(F.filter(scales, lambda s: s["k"] >= F.col("rank"))))
+              .select(*nn.columns, F.col("_s.scale").alias("scale")))
+
+
 def gather(index: DataFrame, points: DataFrame, cols: Sequence[str], by: Sequence[str] = ("cloud",),
            nid: str = "nid", pid: str = "point_id") -> DataFrame:
     """JN3: values of ``cols`` at the indexed points (equi-join on cloud, id)."""
@@ -447,13 +458,19 @@ def farthest_points(points: DataFrame, n: int, by: Sequence[str] = ("cloud",), p
 
 
 def sample_and_group(points: DataFrame, npoint: int, nsample: int, feats: Sequence[str],
-                     by: Sequence[str] = ("cloud",), pid: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
-    """WIN18: FPS centres, their ``nsample`` nearest points, member positions
-    relative to the centre and member features appended.
-    Returns (by..., centre, rank, nid, rel_x, rel_y, feats...)."""
+                     by: Sequence[str] = ("cloud",), pid: str = "point_id", x: str = "x", y: str = "y",
+                     radius: float | None = None) -> DataFrame:
+    """WIN18: FPS centres, their members, member positions relative to the
+    centre and member features appended. Members are the ``nsample`` nearest
+    points, or with ``radius`` the ball query's (lowest ids, padded; ``rank`` is
+    the slot plus one). Returns (by..., centre, rank, nid, rel_x, rel_y,
+    feats...)."""
     by = list(by)
     centres = farthest_points(points, npoint, by, pid, x, y)
-    nn = knn(centres, points, nsample, by, pid, pid, x, y)
+    if radius is None:
+        nn = knn(centres, points, nsample, by, pid, pid, x, y)
+    else:
+        nn = ball_query(centres, points, radius, nsample, by, pid, pid, x, y).withColumn("rank", F.col("slot") + 1)
     c = centres.select(*by, F.col(pid).alias("qid"), F.col(x).alias("_cx"), F.col(y).alias("_cy"))
     g = gather(nn, points, [x, y, *feats], by)
     g = g.join(c, [*by, "qid"])
@@ -491,10 +508,12 @@ def normalise_cloud(points: DataFrame, by: Sequence[str] = ("cloud",), x: str =
 
 def idw3(targets: DataFrame, sources: DataFrame, feats: Sequence[str], by: Sequence[str] = ("cloud",),
          tid: str = "point_id", sid: str = "point_id", x: str = "x", y: str = "y", k: int = 3,
-         eps: float = 1e-8) -> DataFrame:
+         eps: float = 1e-8, own: Sequence[str] = ()) -> DataFrame:
     """PC11: interpolate source features at targets from the ``k`` nearest
     sources, weights 1 / (squared distance + eps), normalised; with a single
-    source the value is copied. Returns (by..., point_id, feats...)."""
+    source the value is copied. Returns (by..., point_id, feats...); ``own``
+    puts the target's own columns of these names before the interpolated ones,
+    as ``own_<name>``."""
     by = list(by)
     nn = knn(targets, sources, k, by, tid, sid, x, y)
     g = gather(nn, sources, feats, by, pid=sid)
@@ -502,7 +521,11 @@ def idw3(targets: DataFrame, sources: DataFrame, feats: Sequence[str], by: Seque
     out = g.groupBy(*by, "qid").agg(*[
         F.when(F.count(F.lit(1)) == 1, F.first(f)).otherwise(F.sum(F.col("_w") * F.col(f)) / F.sum("_w")).alias(f)
         for f in feats])
-    return out.withColumnRenamed("qid", tid)
+    out = out.withColumnRenamed("qid", tid)
+    if not own:
+        return out
+    skip = targets.select(*by, tid, *[F.col(c).alias(f"own_{c}") for c in own])
+    return skip.join(out, [*by, tid])
 
 
 def group_softmax(df: DataFrame, by: Sequence[str], score: str, scale: float = 1.0,

@@ -78,6 +78,16 @@ def multi_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb.multi_scale_group(p, p, [(0.03, 4), (0.06, 8)])
 
 
+@register("jn7_multi_scale_knn", _sql(f"""
+SELECT CAST(0 AS BIGINT) AS scale, cloud, qid, nid, rank, {fixed_sql('d2')} AS d2 FROM k WHERE rank <= 4
+UNION ALL SELECT CAST(1 AS BIGINT) AS scale, cloud, qid, nid, rank, {fixed_sql('d2')} AS d2 FROM k""", k=_knn_sql(8)),
+          ops=("JN7", "JN5"))
+def multi_knn_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4 and 8 nearest points of every point."""
+    p = _pts(spark, sf_dir)
+    return nb.multi_scale_knn(p, p, [4, 8]).withColumn("d2", fixed("d2"))
+
+
 # ------------------------------------------------------------ JN3
 @register("jn3_gather", _sql(f"""
 SELECT k.cloud, k.qid, k.rank, k.nid, {fixed_sql('p.f1')} AS f1, {fixed_sql('p.f2')} AS f2
@@ -154,6 +164,20 @@ def idw_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cloud", "point_id", fixed("f1").alias("f1"))
 
 
+@register("pc11_idw3_concat", _sql(f"""
+SELECT t.cloud, t.point_id, {fixed_sql('p.f2')} AS own_f2, {fixed_sql('t.f1')} AS f1 FROM (
+  SELECT cloud, point_id, SUM(w * f1) / SUM(w) AS f1 FROM (
+    SELECT a.cloud, a.point_id, b.f1, 1.0 / ({D2} + 1e-8) AS w,
+           ROW_NUMBER() OVER (PARTITION BY a.cloud, a.point_id ORDER BY {D2}, b.point_id) AS rn
+    FROM v_points a JOIN s b ON a.cloud = b.cloud) q WHERE rn <= 3 GROUP BY cloud, point_id) t
+JOIN v_points p ON p.cloud = t.cloud AND p.point_id = t.point_id""", s=_COARSE_SQL), ops=("PC11",))
+def idw_concat_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target's own f2 beside the interpolated f1."""
+    p = _pts(spark, sf_dir)
+    out = nb.idw3(p, coarse_sources(p), ["f1"], own=["f2"])
+    return out.select("cloud", "point_id", fixed("own_f2").alias("own_f2"), fixed("f1").alias("f1"))
+
+
 # ------------------------------------------------------------ AGG14 / AGG15
 @register("agg14_set_abstraction", _sql(f"""
 SELECT b.cloud, b.qid AS centre, {fixed_sql('MAX(p.f1)')} AS max_f1, {fixed_sql('MAX(p.f2)')} AS max_f2
@@ -219,3 +243,26 @@ def sag_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = nb.sample_and_group(_pts(spark, sf_dir), 4, 8, ["f1", "f2"])
     return g.select("cloud", "centre", "rank", "nid", fixed("rel_x").alias("rel_x"),
                     fixed("rel_y").alias("rel_y"), fixed("f1").alias("f1"), fixed("f2").alias("f2"))
+
+
+@register("win18_sample_and_group_radius", _fps_sql(4) + f""",
+c AS (SELECT f.cloud, f.pid AS centre, p.x AS cx, p.y AS cy FROM fps f
+      JOIN v_points p ON p.cloud = f.cloud AND p.point_id = f.pid),
+m AS (SELECT c.cloud, c.centre, q.point_id AS nid,
+             ROW_NUMBER() OVER (PARTITION BY c.cloud, c.centre ORDER BY q.point_id) AS rn,
+             COUNT(*) OVER (PARTITION BY c.cloud, c.centre) AS hits,
+             MIN(q.point_id) OVER (PARTITION BY c.cloud, c.centre) AS f
+      FROM c JOIN v_points q ON q.cloud = c.cloud
+       AND (c.cx - q.x) * (c.cx - q.x) + (c.cy - q.y) * (c.cy - q.y) <= {0.1 * 0.1!r}),
+g AS (SELECT cloud, centre, rn AS rank, nid FROM m WHERE rn <= 8
+      UNION ALL SELECT cloud, centre, s.rank, f FROM (SELECT DISTINCT cloud, centre, f, LEAST(hits, 8) AS hits FROM m) d
+      JOIN (SELECT range AS rank FROM range(1, 9)) s ON s.rank > d.hits)
+SELECT g.cloud, g.centre, CAST(g.rank AS BIGINT) AS rank, g.nid, {fixed_sql('q.x - c.cx')} AS rel_x,
+       {fixed_sql('q.y - c.cy')} AS rel_y, {fixed_sql('q.f1')} AS f1, {fixed_sql('q.f2')} AS f2
+FROM g JOIN c ON c.cloud = g.cloud AND c.centre = g.centre
+JOIN v_points q ON q.cloud = g.cloud AND q.point_id = g.nid""", ops=("WIN18", "WIN17", "JN6", "JN3"))
+def sag_radius_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4 FPS centres per cloud, up to 8 members within 0.1 each (padded)."""
+    g = nb.sample_and_group(_pts(spark, sf_dir), 4, 8, ["f1", "f2"], radius=0.1)
+    return g.select("cloud", "centre", "rank", "nid", fixed("rel_x").alias("rel_x"),
+                    fixed("rel_y").alias("rel_y"), fixed("f1").alias("f1"), fixed("f2").alias("f2"))
