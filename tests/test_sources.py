@@ -79,3 +79,12 @@ def test_log_scan_takes_text_quoted_commas_and_splits(spark):
     assert [r.value for r in got if r.metric == "train_step_ms"] == [i / 4 for i in range(500)]
     assert [(r.metric, r.value) for r in got][-1] == ("test_time", 2.5)
     assert {r.metric for r in got} == {"train_step_ms", "test_time"}
+
+
+def test_hparams_under_their_parent_and_with_spaces(spark):
+    root = tempfile.mkdtemp(prefix="tw-hp-")
+    _write(f"{root}/Sim_cnn:wave:low:1:2/version_0/hparams.yaml",
+           "other:\n  Structure: wrong\n  Epochs: 99\nhparams:\n  Structure: 'two words'\n  Epochs: 12\n  LearningRate: 1e-3\n"
+           "  WeightDecay: none\ntrainable_parameters: 77\nbatch_size: 4\nmore:\n  lookback: 8\n")
+    r = rl.scan_hparams(spark, root).first()
+    assert (r.domain, r.epochs, r.lr, r.wd, r.params, r.batch_size, r.lookback) == ("two words", 12, 0.001, None, 77, 4, None)

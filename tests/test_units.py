@@ -66,9 +66,10 @@ def test_single_value_is_plain_column_and_natural_order(spark):
     s = rn.summarise_run(log)
     names = {r.name: r.value for r in s.collect()}
     assert names == {"train_step_ms": 5.0, "test_loss-10": 1.0, "test_loss-2": 2.0, "test_loss-1": 3.0}
-    pre, num = rn.natural_key("name")
-    ordered = [r.name for r in s.orderBy(pre, num).collect()]
+    ordered = [r.name for r in s.orderBy(rn.natural_key("name")).collect()]
     assert ordered == ["test_loss-1", "test_loss-2", "test_loss-10", "train_step_ms"]
+    inner = spark.createDataFrame([("run10_b2",), ("run2_b10",), ("Run2_b9",), ("run2",), ("2run",), ("10run",)], "name string")
+    assert [r.name for r in inner.orderBy(rn.natural_key("name")).collect()] == ["2run", "10run", "run2", "Run2_b9", "run2_b10", "run10_b2"]
 
 
 def test_metric_rule_and_parse(spark):

@@ -62,13 +62,13 @@ def metric_filter(name: Column | str) -> Column:
     return ~(skip & ~n.contains("train_step")) & (n != "test_loss")
 
 
-def natural_key(name: Column | str) -> tuple[Column, Column]:
-    """PRJ4: sort keys for "human" order (test_loss-2 before test_loss-10):
-    lower-cased text before a trailing number, then the number."""
-    n = F.col(name) if isinstance(name, str) else name
-    prefix = F.lower(F.regexp_extract(n, r"^(.*?)(\d*)$", 1))
-    num = F.regexp_extract(n, r"(\d+)$", 1)
-    return prefix, F.when(num == "", F.lit(None)).otherwise(num.cast("bigint"))
+def natural_key(name: Column | str) -> Column:
+    """PRJ4: sort key for "human" order (test_loss-2 before test_loss-10):
+    the lower-cased text pieces and the numbers between them, wherever those
+    stand in the name. A name that ends earlier sorts first."""
+    n = F.lower(F.col(name) if isinstance(name, str) else name)
+    return F.zip_with(F.split(n, r"\d+", -1), F.regexp_extract_all(n, F.lit(r"(\d+)"), F.lit(1)),
+                      lambda text, digits: F.struct(text.alias("text"), digits.try_cast("decimal(38,0)").alias("number")))
 
 
 # ------------------------------------------------------------ summaries (AGG1, FC9)

@@ -151,9 +151,9 @@ def natural_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = (lg.select(F.concat(F.lit("test_loss-"), (F.col("epoch") * 2).cast("string")).alias("name"))
                .union(lg.select(F.concat(F.lit("test_loss-"), e).alias("name")))
                .union(lg.select(F.concat(F.lit("Train_step_ms"), e).alias("name"))).distinct())
-    pre, num = rn.natural_key("name")
+    key = rn.natural_key("name")
     from pyspark.sql import Window
-    w = Window.orderBy(pre, num.asc_nulls_first(), F.col("name"))
+    w = Window.orderBy(key, F.col("name"))
     return names.select("name", F.row_number().over(w).cast("bigint").alias("position"))
 
 

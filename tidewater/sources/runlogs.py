@@ -95,12 +95,16 @@ def scan_hparams(spark: SparkSession, root: str, glob: str = "*.yaml") -> DataFr
     """SRC2: every ``*.yaml`` under ``root`` -> one row per file with the keys
     the results table uses (``HPARAM_KEYS``); run = grandparent directory."""
     f = _whole_files(spark, root, glob)
-    cols = [_dir_name(F.col("file"), 2).alias("run")]
+    # the block of lines indented under a top-level "hparams:"
+    under = F.regexp_extract("value", r"(?m)^hparams:[ \t]*\r?\n((?:[ \t]+[^\n]*(?:\n|$)|[ \t]*\r?\n)*)", 1)
+    f = f.select(_dir_name(F.col("file"), 2).alias("run"), "value", under.alias("nested"))
+    cols = []
     for out, (key, nested, typ) in HPARAM_KEYS.items():
-        pat = rf"(?m)^\s+{key}:\s*(\S+)\s*$" if nested else rf"(?m)^{key}:\s*(\S+)\s*$"
-        raw = F.regexp_extract("value", pat, 1)
-        cols.append(F.when(raw == "", F.lit(None)).otherwise(raw).cast(typ).alias(out))
-    return f.select(*cols)
+        text, indent = ("nested", r"[ \t]+") if nested else ("value", "")
+        raw = F.regexp_extract(text, rf"(?m)^{indent}{key}:[ \t]*(.*?)[ \t\r]*$", 1)
+        raw = F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
+        cols.append(F.when(raw != "", raw).try_cast(typ).alias(out))
+    return f.select("run", *cols)
 
 
 def attach_hparams(runs: DataFrame, hparams: DataFrame, key: str = "run") -> DataFrame:
