@@ -38,7 +38,7 @@ def test_windows_are_assembled_per_block_not_per_trajectory(spark):
 
 
 def test_lineitem_is_reduced_before_the_part_join(spark):
-    plan = _plan(QUERIES["agg2_count_by_resolution"](spark, SF_SMALL))
+    plan = _plan(QUERIES["agg4_summary_by_resolution"](spark, SF_SMALL))
     # pre-aggregation shuffle on (part, status, flag) below the join with part
     assert "hashpartitioning(l_partkey#" in plan
     assert "partial_sum" in plan
