@@ -19,6 +19,8 @@ Domains, from the labels: ``low`` (quality 0), ``toxic`` (else toxic 1),
 ``good``. Learning is bounded: TRAIN_ROWS labelled documents, the first by hash,
 and MARKERS words for each domain.
 
+Tokens are runs of letters and digits.
+
 Defined results: null text counts as empty: no token, any rate leaves the
 totals as they are; null labels are not learnt from; without labels the
 posterior is uniform; a domain without tokens keeps its target unmet and does
@@ -33,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import read, words_of
+from tidewater.llm.common import read
 from tidewater.llm.registry import register
 from tidewater.operators.common import materialize
 
@@ -53,7 +55,6 @@ BINS = {
     "symbols": (0.001, 0.005, 0.02, 0.08), "upper": (0.01, 0.03, 0.08, 0.3), "digits": (0.001, 0.01, 0.05),
     "variety": (0.2, 0.4, 0.55, 0.7, 0.85), "length": (2.5, 4.5, 6.0, 8.0), "size": (8.0, 50.0, 200.0, 800.0, 3200.0),
 }
-_SYMBOLS = "#*$%&|<>"
 
 
 def measured(docs: DataFrame, markers: dict[str, list[str]], keep: list[str]) -> DataFrame:
@@ -61,21 +62,23 @@ def measured(docs: DataFrame, markers: dict[str, list[str]], keep: list[str]) ->
     each of BINS, and how many markers of each domain it has, up to three."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(*keep, text.alias("text"))
-    d = d.withColumn("words", words_of(F.col("text")))
+    d = d.withColumn("words", F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     d = d.withColumns({"distinct": F.array_distinct("words"), "tokens": F.size("words").cast("bigint"), "chars": F.length("text")})
     every = sorted({w for ws in markers.values() for w in ws})
     known = F.array(*[F.lit(w) for w in every]) if every else F.array().cast("array<string>")
-    plain = F.transform("distinct", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()#*$%&"))))
-    d = d.withColumn("hits", F.array_intersect(plain, known))
+    # an empty piece stands before and after leading and trailing marks
+    blank = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0) + F.when(
+        (F.col("tokens") > 1) & (F.get("words", (F.col("tokens") - 1).cast("int")) == ""), 1).otherwise(0)
+    d = d.withColumns({"hits": F.array_intersect("distinct", known), "tokens": F.col("tokens") - blank})
 
-    def without(chars):
-        return F.length("text") - F.length(F.translate("text", chars, ""))
+    def without(kind):
+        return F.length("text") - F.length(F.regexp_replace("text", kind, ""))
 
     one = F.greatest(F.col("chars"), F.lit(1))
     words = F.greatest(F.col("tokens"), F.lit(1))
     value = {
-        "symbols": without(_SYMBOLS) / one, "upper": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / one,
-        "digits": without("0123456789") / one, "variety": F.size("distinct") / words,
+        "symbols": without("[#*$%&|<>]+") / one, "upper": without("[A-Z]+") / one,
+        "digits": without("[0-9]+") / one, "variety": F.size("distinct") / words,
         "length": F.col("chars") / words, "size": F.col("tokens").cast("double"),
     }
     bins = [_bin(value[k], cuts) for k, cuts in BINS.items()]
