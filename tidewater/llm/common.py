@@ -30,22 +30,3 @@ def words_of(text: Column) -> Column:
     """Words of a text, in order; an empty array for null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS))
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, salts: int = 16,
-                how: str = "inner") -> DataFrame:
-    """Join a table that may have hot keys with one that has a row per key.
-
-    The large side is dealt over ``salts`` sub-keys by the hash of ``spread``,
-    and the small side is repeated once for each, so the rows of one key never
-    meet in one task. Keys compare null-safe: a null key finds the null row.
-    """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *[c for c in small.columns if c not in keys],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_r_salt"),
-    )
-    on = [salted[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
-    joined = salted.join(right, on + [salted["_salt"] == right["_r_salt"]], how)
-    return joined.drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])

@@ -31,9 +31,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import read, salted_join, words_of
+from tidewater.llm.common import read, words_of
 from tidewater.llm.registry import register
-from tidewater.operators.common import materialize
+from tidewater.operators.common import materialize, salted_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -165,7 +165,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     same = with_similarity(both).filter(F.col("similarity") >= similarity).select(
         "content", "n", "item_id", "similarity")
     per_content = same.groupBy("content", "n").agg(F.collect_list(F.struct("item_id", "similarity")).alias("found"))
-    hits = salted_join(laid.drop("hashes"), per_content, ["content", "n"], "doc_id").select(
+    hits = salted_join(laid.drop("hashes"), per_content, ["content", "n"], ["doc_id"], null_safe=True).select(
         "doc_id", "th", "start", F.inline("found"))
     return hits.groupBy("doc_id", "th", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")).select(

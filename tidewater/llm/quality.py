@@ -21,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACES, read, salted_join, words_of
+from tidewater.llm.common import SPACES, read, words_of
 from tidewater.llm.registry import register
-from tidewater.operators.common import materialize
+from tidewater.operators.common import materialize, salted_join
 
 #: Base rules.
 MIN_WORDS = 50
@@ -108,7 +108,7 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST_SHARE, **limits) -> DataFr
     m = measure(docs)
     lines = m.select("doc_id", "host", "h", F.posexplode("lines").alias("pos", "l")).select(
         "doc_id", "host", "h", "pos", "l.line", "l.words")
-    hit = salted_join(lines, template_lines(m, **limits), ["host", "line"], "h").distinct()
+    hit = salted_join(lines, template_lines(m, **limits), ["host", "line"], ["h"], null_safe=True).distinct()
     lost = hit.groupBy(F.col("doc_id").alias("_d"), F.col("host").alias("_s"), F.col("h").alias("_h")).agg(
         F.sum("words").alias("_lost"), F.collect_set("line").alias("template"))
     j = m.drop("lines").join(
