@@ -56,6 +56,32 @@ def fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cloud", "k1", "k2", fixed("re", 4).alias("re"), fixed("im", 4).alias("im"))
 
 
+# a real field: the coefficients of -k are the conjugates of those of k
+_KNOWN = {(0, 0): (0.5, 0.0), (1, 0): (0.25, -0.125), (-1, 0): (0.25, 0.125), (1, 2): (-0.0625, 0.3125), (-1, -2): (-0.0625, -0.3125)}
+_KNOWN_SQL = " UNION ALL ".join(
+    f"SELECT CAST({a} AS BIGINT) AS k1, CAST({b} AS BIGINT) AS k2, "
+    f"CAST({_KNOWN.get((a, b), (0.0, 0.0))[0]} AS DOUBLE) AS re, CAST({_KNOWN.get((a, b), (0.0, 0.0))[1]} AS DOUBLE) AS im"
+    for a in range(-2, 3) for b in range(-2, 3))
+
+
+@register("sp3_fourier_fit_known", with_views(f"""
+SELECT c.cloud, k.k1, k.k2, k.re, k.im FROM (SELECT DISTINCT cloud FROM v_points) c CROSS JOIN ({_KNOWN_SQL}) k""", "v_points"),
+          ops=("SP3", "SP1"))
+def fit_known_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 x 5 fit of a field with known coefficients, at the given positions
+    spread over the unit square, gives those coefficients back."""
+    p = v_points(spark, sf_dir).select("cloud", "point_id", *[((F.col(c) - 0.5) * 4 + 0.5).alias(c) for c in ("x", "y")])
+
+    def term(k, c):
+        ph = F.lit(2 * math.pi) * ((F.col("x") - 0.5) * k[0] + (F.col("y") - 0.5) * k[1])
+        return c[0] * F.cos(ph) - c[1] * F.sin(ph)
+
+    field = sum((term(k, c) for k, c in _KNOWN.items()), F.lit(0.0))
+    c = sp.fourier_fit(p.withColumn("v", field), "v", 5)
+    # six decimals, for zeros as well: what is left of them is the solver's noise
+    return c.select("cloud", "k1", "k2", *[(F.round(x, 6) + 0.0).alias(x) for x in ("re", "im")])
+
+
 # ------------------------------------------------------------ SP4
 _PROJ = f"""SELECT p.cloud, k.k1, k.k2,
     SUM(p.f1 * COS({TP} * ((p.x - 0.5) * k.k1 + (p.y - 0.5) * k.k2))) / COUNT(*) AS re,
