@@ -36,9 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import read, salted_join, short_batches
+from tidewater.llm.common import read, short_batches
 from tidewater.llm.recompress import Stretches, anchors
 from tidewater.llm.registry import register
+from tidewater.operators.common import salted_join
 
 WINDOW = 13
 #: Low bits of a place: the word; the bits above tell texts of one id apart.
@@ -49,6 +50,12 @@ def word_lists(texts: pa.Array) -> list[list[bytes]]:
     return [t.split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
 
 
+def _taking_part(b: pa.RecordBatch) -> list[list[bytes]]:
+    """Words of the texts that have an id and are no copy; none for others."""
+    out = zip(word_lists(b.column("text")), b.column("copy").to_pylist(), b.column("doc_id").to_pylist(), strict=True)
+    return [[] if copy or doc is None else words for words, copy, doc in out]
+
+
 def word_ids(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
     digest = xxhash.xxh64_intdigest
@@ -64,14 +71,14 @@ def _base(texts: pa.Array) -> np.ndarray:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words, lengths = word_ids(word_lists(b.column("text")))
+        words, lengths = word_ids(_taking_part(b))
         _, seq, anchor = anchors(words, lengths, window, Stretches(words))
         if not len(seq):
             continue
         order = np.lexsort((anchor, seq))
         seq, anchor = seq[order], anchor[order]
         new = np.concatenate(([True], (seq[1:] != seq[:-1]) | (anchor[1:] != anchor[:-1])))
-        doc = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(anchor[new].view(np.int64)), pa.array(doc[seq[new]])], names=["anchor", "doc_id"])
 
@@ -80,7 +87,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     """A row for each stretch of windows under one shared anchor: the place of
     the first and the names of all."""
     for b in batches:
-        words, lengths = word_ids(word_lists(b.column("text")))
+        words, lengths = word_ids(_taking_part(b))
         stretches = Stretches(words)
         start, seq, anchor = anchors(words, lengths, window, stretches)
         lists = b.column("anchors")
@@ -95,7 +102,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
         cut = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (seq[1:] != seq[:-1])))
         first = np.flatnonzero(cut)
         offsets = np.concatenate((first, [len(names)])).astype(np.int32)
-        doc = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         begins = np.cumsum(lengths) - lengths
         place = _base(b.column("text"))[seq] + start - begins[seq]
         yield pa.RecordBatch.from_arrays(
@@ -114,7 +121,7 @@ def copies(texts: DataFrame) -> DataFrame:
     marks = texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("size"))
     firsts = marks.groupBy("th", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    later = salted_join(marks, firsts.drop("rows"), ["th", "size"], "doc_id").filter("doc_id > first")
+    later = salted_join(marks, firsts.drop("rows"), ["th", "size"], ["doc_id"], null_safe=True).filter("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set("th").alias("copied"))
 
 
@@ -127,12 +134,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     dealt = texts.repartition("doc_id").join(copies(texts).hint("shuffle_hash"), "doc_id", "left").select(
         "doc_id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
-    known = dealt.filter(~F.col("copy") & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    pairs = known.mapInArrow(lambda b: _anchor_rows(b, window), "anchor bigint, doc_id bigint")
+    # no filter and no inner join on these: they would be pushed below the deal,
+    # and the texts dealt once more for each
+    pairs = dealt.mapInArrow(lambda b: _anchor_rows(b, window), "anchor bigint, doc_id bigint")
     w = Window.partitionBy("anchor")
     shared = pairs.withColumns({"a": F.min("doc_id").over(w), "b": F.max("doc_id").over(w)}).filter("a < b")
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    met = known.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors")
+    met = dealt.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "anchors")
     rows = met.mapInArrow(lambda b: _window_rows(b, window), "anchor bigint, doc_id bigint, place bigint, names array<bigint>")
     rows = rows.repartition("anchor").select("anchor", "doc_id", "place", F.posexplode("names").alias("i", "name"))
     w = Window.partitionBy("anchor", "name")
@@ -174,7 +182,28 @@ def prune(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return met.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
-@register("op8_substring_dedup")
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
+least_id AS (SELECT g, MIN(doc_id) AS d FROM win GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM win JOIN least_id USING (g) WHERE d < doc_id),
+place AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, COUNT(*) AS n
+  FROM place ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op8_substring_dedup", SQL)
 def op8_substring_dedup(spark, sf_dir):
     """Every document without the passages that a smaller id also has."""
     return prune(read(spark, sf_dir, "documents")).select(
