@@ -133,7 +133,30 @@ def digests(rendered: DataFrame) -> DataFrame:
         run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
-@register("op5_chat_format")
+def _escape_sql(expr: str) -> str:
+    out = f"replace(coalesce({expr}, ''), '~', '~0')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}~1{c[1:]}')"
+    return out
+
+
+SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, COUNT(*) AS n_turns,
+         string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{ASSISTANT}'), '') AS learnt,
+         SUM(length({_escape_sql('role')}) + length({_escape_sql('text')}) + {len('<||>') + 1 + len(END)}) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+       sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
+@register("op5_chat_format", SQL)
 def op5_chat_format(spark, sf_dir):
     """All conversations formatted, with conversation -1, whose texts hold
     control strings, and read back."""

@@ -182,7 +182,38 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     return clean.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
-@register("op7_decontamination")
+# The same answer by way of every shared shingle, without fingerprints.
+SQL = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g'),
+                                                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM benchmark),
+ds AS (
+  SELECT doc_id, n, p, array_to_string(words[p:p + 4], ' ') AS g
+  FROM (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) - 3)) AS p FROM d)),
+bs AS (
+  SELECT item_id, n, p, array_to_string(words[p:p + 4], ' ') AS g
+  FROM (SELECT item_id, words, len(words) AS n, unnest(range(1, len(words) - 3)) AS p FROM b)),
+laid AS (
+  SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, greatest(0, least(ds.p - bs.p, ds.n - bs.n)) AS start
+  FROM ds JOIN bs USING (g)),
+held AS (
+  SELECT laid.doc_id, item_id, laid.n, start, g, COUNT(*) AS k
+  FROM laid JOIN ds ON ds.doc_id = laid.doc_id AND ds.p > start AND ds.p <= start + laid.n - 4 GROUP BY ALL),
+wanted AS (SELECT item_id, g, COUNT(*) AS k FROM bs GROUP BY ALL),
+shared AS (
+  SELECT doc_id, held.item_id, n, start, SUM(held.k) AS size, SUM(least(held.k, coalesce(wanted.k, 0))) AS common
+  FROM held LEFT JOIN wanted ON wanted.item_id = held.item_id AND wanted.g = held.g GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, common / CAST(size + n - 4 - common AS DOUBLE) AS similarity FROM shared)
+SELECT doc_id, item_id, ROUND(similarity, 6) AS similarity, CAST(start AS BIGINT) AS start_word
+FROM scored WHERE similarity >= {SIMILARITY}
+QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+
+@register("op7_decontamination", SQL)
 def op7_decontamination(spark, sf_dir):
     """Documents that hold a benchmark item, with the item and the similarity
     of the best window."""
