@@ -392,3 +392,16 @@ def test_salted_join_back_spreads_a_hot_key(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import glob
+
+    from tidewater.operators.common import materialize
+    from tidewater.session import checkpoint_dir, clear_scratch
+
+    assert materialize(spark.range(3), "t").count() == 3
+    here = f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    assert glob.glob(f"{here}/t-*")
+    clear_scratch(spark)
+    assert not glob.glob(f"{here}/*")

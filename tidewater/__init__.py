@@ -11,6 +11,6 @@ windows. Sub-packages:
 - ``streaming`` Structured Streaming queries
 """
 
-from tidewater.session import get_session, checkpoint_dir
+from tidewater.session import checkpoint_dir, clear_scratch, get_session
 
-__all__ = ["get_session", "checkpoint_dir"]
+__all__ = ["get_session", "checkpoint_dir", "clear_scratch"]

@@ -65,8 +65,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def _scratch(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
     # unique per call so concurrent or repeated runs never overwrite each other
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(_scratch(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application's queries have written so far.
+    DataFrames that read them are of no use afterwards, so call it when a
+    query's result has been written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
