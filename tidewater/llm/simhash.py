@@ -36,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import read, salted_join, short_batches
+from tidewater.llm.common import read, short_batches
 from tidewater.llm.registry import register
-from tidewater.operators.common import materialize
+from tidewater.operators.common import materialize, salted_join
 
 SHINGLE = 4
 RADIUS = 4
@@ -233,10 +233,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both, low, ["u"], "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
+        large = salted_join(both, low, ["u"], ["v"], null_safe=True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, ["u"], "v").select(
+        small = salted_join(large, least, ["u"], ["v"], null_safe=True).select(
             F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u > v").distinct()
         e = materialize(small, "links")
@@ -256,10 +256,10 @@ def groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: i
     member = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
     rooted = member.join(points, member["node"] == points["fp"]).select("node", "root", "first")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    linked = salted_join(rooted.select("node", "root"), smallest, ["root"], "node").select(
+    linked = salted_join(rooted.select("node", "root"), smallest, ["root"], ["node"], null_safe=True).select(
         F.col("node").alias("fp"), "component")
     alone = points.filter("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component"))
-    out = salted_join(prints, linked.union(alone), ["fp"], "doc_id", how="left")
+    out = salted_join(prints, linked.union(alone), ["fp"], ["doc_id"], how="left", null_safe=True)
     return out.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
 
 
