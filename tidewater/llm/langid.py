@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import read, short_batches
@@ -32,8 +32,8 @@ from tidewater.llm.registry import register
 
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
-#: Words with a score of their own.
-WORDS = 1 << 14
+#: Most frequent (language, word) counts that give words a score of their own.
+WORDS = 1 << 16
 #: Log odds that a switch of language costs.
 SWITCH = 12.0
 #: A word's log odds are cut off here, so that one word cannot carry a span.
@@ -229,16 +229,15 @@ def predict_one(text: str | None, model: Model) -> tuple[str, float]:
 
 def learn(docs: DataFrame, use: Column) -> pd.DataFrame:
     """Counts of the training documents. The result is bounded: BUCKETS runs
-    and the WORDS most frequent words of each language."""
+    for each language and the WORDS most frequent words."""
     known = use & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
     # at most TRAIN_ROWS ids, so they may be broadcast; no text is dealt
     chosen = docs.filter(known).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.select("doc_id", "text", "lang").filter(known & F.col("text").isNotNull()).join(
         F.broadcast(chosen.distinct()), "doc_id", "left_semi")
     got = count(rows.select("lang", "text"))
-    w = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    return got.withColumn("r", F.row_number().over(w)).filter((F.col("kind") != "word") | (F.col("r") <= WORDS)).drop(
-        "r").toPandas()
+    top = got.filter("kind = 'word'").orderBy(F.desc("n"), "item", "lang").limit(WORDS)
+    return got.filter("kind <> 'word'").unionByName(top).toPandas()
 
 
 def predict(docs: DataFrame, counts: pd.DataFrame) -> DataFrame:
