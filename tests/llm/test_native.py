@@ -115,6 +115,18 @@ def test_quality_template_lines(spark):
     assert out[0]["text"] == own[0] and out[0]["n_chars"] == len(out[0]["text"]) and 300 not in out
 
 
+def test_quality_counts_template_heavy_documents(spark):
+    """Different documents under one long template count one by one, lose it
+    and go; documents of the host without it stay."""
+    template = "\n".join(" ".join(f"menu{i}x{chr(97 + k)}" for k in range(20)) for i in "abcdefghijklmnopqrst")
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
+    rows = [(i, (template + "\n" if i < 20 else "") + " ".join(f"{letters[i]}q{letters[k]}" for k in range(40 if i < 20 else 80)), None, "host", 0)
+            for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    j = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all((j[i]["n_lost_words"], j[i]["kept"]) == ((400, False) if i < 20 else (0, True)) for i in range(200))
+
+
 def test_quality_odd_rows(odd, none):
     j = quality.judge(odd).collect()
     assert len(j) == odd.count()

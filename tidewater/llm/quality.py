@@ -6,9 +6,10 @@ counted over distinct documents; lines above the limits are removed; a document
 that loses most of its words is rejected. Two plain rules (too few words, too
 much repetition inside the text) reject as well.
 
-Documents are told apart by content: near and exact copies have the same
-smallest three-word-window hash and so count about once. A group of copies, however large, does
-not turn its own prose into "template" lines.
+Documents are told apart by their whole text: exact copies count once, so a
+group of them, however large, does not turn its own prose into "template"
+lines. Texts that differ anywhere are different documents, near copies too: no
+sketch tells a near copy from a short text under a long template.
 
 Defined results: null text counts as empty (0 words, rejected); a null source
 is a host of its own; repeated rows each get the same result and count as one
@@ -67,7 +68,7 @@ def _covered(starts: Column) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """Row-local measures in one scan of the texts: doc_id, host, h (content
-    hash), the base counts, sketch, and lines (hash and words of each line).
+    hash), the base counts, and lines (hash and words of each line).
     Written to the shared folder, because counting reads it more than once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", F.col("source").alias("host"), text.alias("text"))
@@ -85,18 +86,17 @@ def measure(docs: DataFrame) -> DataFrame:
     d = d.withColumn("starts", _repeated(F.col("windows")))
     d = d.select(
         "doc_id", "host", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        _covered(F.col("starts")).alias("n_repeat_words"),
-        F.coalesce(F.get("windows", F.lit(0))["h"], F.col("h")).alias("sketch"), "lines")
+        _covered(F.col("starts")).alias("n_repeat_words"), "lines")
     return materialize(d, "quality")
 
 
 def template_lines(measured: DataFrame, min_docs: int = LINE_MIN_DOCS, min_share: float = LINE_MIN_SHARE) -> DataFrame:
     """(host, line) above both limits. Distinct documents are counted in two
     steps, distinct rows first, so a hot line is combined before it is dealt."""
-    lines = measured.select("host", "sketch", F.explode("lines").alias("l")).select("host", "sketch", "l.line")
+    lines = measured.select("host", "h", F.explode("lines.line").alias("line"))
     per_line = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     per_line = per_line.filter(F.col("n") >= min_docs)
-    hosts = measured.select("host", "sketch").distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("all"))
+    hosts = measured.select("host", "h").distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("all"))
     both = per_line.join(hosts, per_line["host"].eqNullSafe(hosts["_host"]))
     return both.filter(F.col("n") >= min_share * F.col("all")).select("host", "line")
 
