@@ -34,6 +34,44 @@ def test_html_main_text(body, want):
     assert html.main_text(page(body)) == want
 
 
+def prose(name, n=6):
+    return [f"{name} {i} " + "says a good deal more. " * (5 + i) for i in range(n)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+@pytest.mark.parametrize(("open_", "between", "close"), [
+    ("<div id=content><div class=part>", "</div><div class=part>", "</div></div>"),
+    ("<div id=content><div class=part>", "</div><p>Short.</p><div class=part>", "</div></div>"),
+    ("<article>", "</article><article>", "</article>"),
+    ("<main><div>", "</div><div>", "</div></main>"),
+    ("<article><div>", "</div></article><div><div>", "</div></div>"),
+])
+def test_html_split_articles_and_no_article(open_, between, close):
+    """Every dense branch stays, whatever the tags; lists of links do not."""
+    links = "<div><ul>" + "".join(f"<li><a href=x>Go to page {i}</a></li>" for i in range(9)) + "</ul></div>"
+    one, two = prose("One", 8), prose("Two")
+    text = html.main_text(page(f"{links}<h1>Head</h1>{open_}{paragraphs(one)}{between}{paragraphs(two)}{close}{links}"))
+    want = ["Head", *one, *(["Short."] if "Short" in between else []), *two]
+    assert text == " ".join(" ".join(want).split())
+
+
+def test_html_article_that_is_a_teaser():
+    """An article element that holds little is not the main text."""
+    body = prose("Body", 9)
+    text = html.main_text(page(f"<div>{paragraphs(body)}</div><article><a href=x>Read this too</a></article>"))
+    assert text == " ".join(" ".join(body).split())
+
+
+def test_html_own_text_beside_dense_blocks():
+    own = " ".join("The outer text goes on for long." for _ in range(40))
+    body = prose("Body", 9)
+    text = html.main_text(page(f"<div>{own} <b>bold</b><div>{paragraphs(body)}</div>{own}</div>"))
+    assert text == " ".join(f"{own} bold {' '.join(body)} {own}".split())
+
+
 def test_html_odd(spark, sf_dir):
     assert html.main_text(None) == "" and html.main_text("   ") == ""
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"

@@ -3,9 +3,12 @@
 A page becomes a tree. Each node has its characters, tags, link characters and
 link tags, and from these a density: characters per tag, damped by the share
 of links in the node and in the page. Densities of a node's children are
-summed; the node with the largest sum holds the main text; the lowest density
-on its path to the body is the threshold, and the subtree keeps the children
-that reach it. Template parts (menus, headers and footers of the page, sidebars,
+summed; the lowest density on the path from the node with the largest sum to
+the body is the threshold. From the body down, each branch that reaches it
+keeps its subtree with the largest sum, so an article split over several
+branches is whole. Prose between kept branches stays, and the headline before
+them. An article or main element is a hint: the densest subtree widens to the
+one around it unless that adds mostly links. Template parts (menus, headers and footers of the page, sidebars,
 notices, adverts, forms, comments) are cut before, by element or by the words
 of class and id, and never count.
 
@@ -58,13 +61,14 @@ CLOSED_BY = {"p": _BLOCK_START, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "
              "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
 #: How deep the tree may nest; deeper elements join their ancestor at this depth.
 MAX_DEPTH = 256
-#: Share of the body's text that the threshold must leave in the chosen
-#: subtree's children to be applied to them.
+#: Blocks that belong to the dense ones they stand between.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
 _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "depth", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "depth", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "total",
+                 "inline", "top", "run")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool = False):
         self.tag, self.parent, self.furniture = tag, parent, furniture
@@ -161,22 +165,38 @@ def measure(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.furniture]
+        stack += reversed(children(node))
     for node in reversed(order):
-        inner = [x for x in node.parts if isinstance(x, Node) and not x.furniture]
+        inner = children(node)
         own = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
         node.chars = own + sum(x.chars for x in inner)
         node.tags = sum(x.tags + 1 for x in inner)
         link = node.tag == "a"
         node.link_chars = node.chars if link else sum(x.link_chars for x in inner)
         node.link_tags = sum(x.link_tags + (x.tag == "a") for x in inner)
+        node.inline = (node.tag in INLINE or node.tag in VOID) and all(x.inline for x in inner)
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in reversed(order):
         node.density = composite_density(node, share)
-        node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.furniture)
+        # a node's own text, with the inline elements in it, is one child more
+        run, inner = Node("", None), children(node)
+        outer = [x for x in inner if not x.inline]
+        for name in ("chars", "tags", "link_chars", "link_tags"):
+            setattr(run, name, getattr(node, name) - sum(getattr(x, name) for x in outer))
+        run.tags -= len(outer)
+        run.link_tags -= sum(x.tag == "a" for x in outer)
+        if node.tag == "a":
+            run.link_chars = run.chars
+        node.run = composite_density(run, share)
+        node.total = sum(x.density for x in outer) + node.run
+        node.top = max([node, *(x.top for x in outer)], key=lambda n: n.total)  # the first of equals
     return order
 
 
+def children(node: Node) -> list[Node]:
+    return [x for x in node.parts if isinstance(x, Node) and not x.furniture]
+
+
 def composite_density(node: Node, body_share: float) -> float:
     """Characters per tag, to a base that grows with the share of links."""
     c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
@@ -188,23 +208,91 @@ def composite_density(node: Node, body_share: float) -> float:
 
 
 def main_nodes(root: Node) -> list[Node | str]:
-    """What the densest subtree keeps, in page order."""
+    """The subtrees that hold the main text, in page order."""
     order = measure(root)
-    best = max(order, key=lambda n: n.total)  # the first of equals
+    best = root.top
     if not best.total:
         return list(root.parts)
-    threshold, node = best.density, best
-    while node.parent:
-        threshold = min(threshold, node.density)
-        node = node.parent
-    # text split over sibling blocks of one article belongs together
-    node = best
+    threshold = min(x.density for x in _path(best))
+    kept, loose, stack = {_widened(best)}, set(), [root]
+    while stack:
+        node = stack.pop()
+        if node in kept or node.inline or node.density < threshold:
+            continue
+        kept.add(node.top)
+        if node.run >= threshold:
+            loose.add(node)  # its own text
+        stack += [] if node.top is node else children(node)
+    found = _outermost(order, kept)
+    # short blocks of one article, which stand between its dense ones
+    if len(found) > 1:
+        kept.update(_between(found))
+        found = _outermost(order, kept)
+    # its headline often stands outside
+    first = order.index(found[0])
+    head = next((x for x in reversed(order[:first]) if x.tag == "h1" and x.chars), None)
+    if head and 2 * head.link_chars <= head.chars and not any(x.tag == "h1" for x in _inner(found)):
+        kept.add(head)
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x in kept or x.inline:
+            out.append(x)
+        else:
+            stack += reversed([
+                y for y in x.parts if isinstance(y, str) and x in loose
+                or isinstance(y, Node) and not y.furniture and (x in loose or y in kept or not y.inline)])
+    return out
+
+
+def _path(node: Node) -> list[Node]:
+    """The node and its ancestors, up to the body."""
+    out = []
     while node:
-        if node.tag in ("article", "main"):
-            return list(node.parts)
+        out.append(node)
         node = node.parent
-    return [x for x in best.parts if isinstance(x, str) or not x.furniture and (
-        x.density >= threshold or x.chars > x.link_chars)]
+    return out
+
+
+def _widened(best: Node) -> Node:
+    """The article or main element around the densest subtree, if the rest of
+    it is not mostly links: a hint that short blocks beside it belong to it."""
+    for x in _path(best):
+        if x.tag in ("article", "main"):
+            return x if 2 * (x.link_chars - best.link_chars) <= x.chars - best.chars else best
+    return best
+
+
+def _outermost(order: list[Node], kept: set[Node]) -> list[Node]:
+    """Those of the nodes that stand in no other, in page order."""
+    inside, out = set(), []
+    for x in order:
+        if x.parent in inside:
+            inside.add(x)
+        elif x in kept:
+            inside.add(x)
+            out.append(x)
+    return out
+
+
+def _between(found: list[Node]) -> list[Node]:
+    """Blocks of prose between the first and the last of the subtrees, in the
+    element that holds them all."""
+    paths = [_path(x)[::-1] for x in found]
+    depth = 0
+    while all(len(p) > depth + 1 and p[depth + 1] is paths[0][depth + 1] for p in paths):
+        depth += 1
+    inner = children(paths[0][depth])
+    first, last = (inner.index(p[depth + 1]) for p in (paths[0], paths[-1]))
+    return [x for x in inner[first:last] if x.tag in PROSE and 2 * x.link_chars <= x.chars]
+
+
+def _inner(nodes: list[Node]) -> Iterator[Node]:
+    stack = list(nodes)
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += children(node)
 
 
 def blocks(parts: list[Node | str]) -> list[str]:
