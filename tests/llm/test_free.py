@@ -72,6 +72,31 @@ def test_html_own_text_beside_dense_blocks():
     assert text == " ".join(f"{own} bold {' '.join(body)} {own}".split())
 
 
+@pytest.mark.parametrize(("open_", "close"), [
+    ("<div class='layout with-sidebar'><article>", "</article></div>"), ("<div class='no-sidebar'><div>", "</div></div>"),
+    ("<div class='page header-fixed has-menu'>", "</div>"), ("<form id=aspnetForm><div>", "</div></form>"),
+    ("<form><div class=sidebar>x <a href=y>y</a></div><div>", "</div></form>"), ("<aside class=sidebar><main>", "</main></aside>"),
+    ("<div class='sidebar'><div class=entry>", "</div></div>"),
+])
+def test_html_wrappers_are_not_furniture(open_, close):
+    body = prose("Body", 9)
+    nav = "<nav><a href=x>Menu</a> and more</nav><div class='cookie-banner'>We use cookies here.</div>"
+    assert html.main_text(page(f"{nav}{open_}{paragraphs(body)}{close}")) == " ".join(" ".join(body).split())
+
+
+@pytest.mark.parametrize("head", ["<header class='article-header'><h1>Head</h1></header>", "<div class='post-header'><h1>Head</h1></div>",
+                                  "<div class=header><h1>Head</h1></div>"])
+def test_html_headline_in_article_header(head):
+    body = prose("Body", 4)
+    replies = "<div id=comments><article class=comment><p>" + "I say that too. " * 400 + "</p></article></div>"
+    assert html.main_text(page(f"<article>{head}{paragraphs(body)}</article>{replies}")) == " ".join(" ".join(["Head", *body]).split())
+
+
+def test_html_footer_longer_than_the_article():
+    foot = "<footer>&copy; example.com &middot; A footer that says more than the page.</footer>"
+    assert html.main_text(page(f"<article><h1>Head</h1><p>Few words.</article>{foot}")) == "Head Few words."
+
+
 def test_html_odd(spark, sf_dir):
     assert html.main_text(None) == "" and html.main_text("   ") == ""
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"

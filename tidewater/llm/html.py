@@ -9,8 +9,10 @@ keeps its subtree with the largest sum, so an article split over several
 branches is whole. Prose between kept branches stays, and the headline before
 them. An article or main element is a hint: the densest subtree widens to the
 one around it unless that adds mostly links. Template parts (menus, headers and footers of the page, sidebars,
-notices, adverts, forms, comments) are cut before, by element or by the words
-of class and id, and never count.
+notices, adverts, forms, comments) are cut before, by element or by whole
+tokens of class, id and role, and never count; but no node is cut that holds an
+article or main element or most of the page's text outside links (the latter
+never spares nav and footer elements).
 
 Text: character references decoded, white space inside a block turned into one
 space, trimmed; blocks in page order, joined by one space.
@@ -42,7 +44,7 @@ SILENT = frozenset("script style noscript template iframe object svg math canvas
 #: Page furniture by element. header and footer count as article parts inside
 #: an article that has its own headline there, so only headers without one go.
 FURNITURE = frozenset("nav footer aside form dialog menu".split())
-#: Page furniture by a word of class, id or role.
+#: Page furniture by a whole token of class, id or role.
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside widget related "
     "recommended promo promotion sponsor sponsored ad ads advert adverts advertisement advertising cookie cookies "
@@ -51,6 +53,15 @@ FURNITURE_WORDS = frozenset(
     "contentinfo complementary".split())
 #: Elements that stay, whatever their class says.
 MAIN = frozenset(("html", "body", "article", "main"))
+#: Elements that hold the main text where a page has them.
+HOLDERS = frozenset(("article", "main"))
+#: Furniture words that inside an article name its own head.
+HEADS = frozenset(("header", "masthead"))
+#: Words of readers' comments.
+REPLIES = frozenset("comment comments reply replies disqus respond".split())
+#: Furniture words of parts that may hold more text than a short article.
+FIXED = REPLIES | frozenset("nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr copyright legal "
+                            "contentinfo".split())
 #: Inline elements: the text around them is one block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
@@ -67,22 +78,60 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "depth", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "total",
+    __slots__ = ("tag", "parts", "parent", "depth", "furniture", "reply", "fixed", "chars", "tags", "link_chars", "link_tags", "density", "total",
                  "inline", "top", "run")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool = False):
         self.tag, self.parent, self.furniture = tag, parent, furniture
+        self.reply = self.fixed = False
         self.parts: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
 
 
 def is_furniture(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -> bool:
+    """Whether a node is furniture by its element or a whole token of class, id
+    or role, unless ``spare`` finds that it holds the page's text."""
     if tag in MAIN:
         return False
-    if tag in FURNITURE or tag == "header" and not _inside(parent, MAIN - {"html", "body"}):
+    if tag in FURNITURE:
         return True
-    return any(v and k in ("class", "id", "role") and not FURNITURE_WORDS.isdisjoint(_WORD.findall(v.lower()))
-               for k, v in attrs)
+    # the header of an article has its headline
+    words = FURNITURE_WORDS - HEADS if _inside(parent, HOLDERS) else FURNITURE_WORDS
+    return tag == "header" and words is FURNITURE_WORDS or not words.isdisjoint(_tokens(attrs))
+
+
+def _tokens(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Tokens of class, id and role. Of a compound one only the whole counts,
+    or its words where each is a furniture word (cookie-banner)."""
+    out = set()
+    for k, v in attrs:
+        if v and k in ("class", "id", "role"):
+            for token in v.lower().split():
+                words = _WORD.findall(token)
+                out.update(words if FURNITURE_WORDS.issuperset(words) else [token])
+    return out
+
+
+def spare(root: Node) -> None:
+    """Nodes that hold an article or main element, or most of the page's text
+    outside links, are no furniture. Comments, footers and the like are, however
+    long, where an article or main element beside them has text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in reversed(node.parts) if isinstance(x, Node)]
+    plain, holds = {}, {}
+    for node in reversed(order):
+        inner = [x for x in node.parts if isinstance(x, Node)]
+        own = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
+        plain[node] = 0 if node.tag == "a" else own + sum(plain[x] for x in inner)
+        holds[node] = any(holds[x] for x in inner) or (
+            node.tag in HOLDERS and not node.reply and plain[node] > 0)
+    for node in order:
+        if node.furniture:
+            most = 2 * plain[node] > plain[root] and node.tag not in ("nav", "footer") and not (node.fixed and holds[root])
+            node.furniture = not holds[node] and not most
 
 
 def _inside(node: Node | None, tags: frozenset) -> bool:
@@ -114,6 +163,9 @@ class Builder(HTMLParser):
         if tag in _BLOCK_START or tag in CLOSED_BY:
             self._close_implied(tag)
         node = Node(tag, self.at, is_furniture(tag, attrs, self.at))
+        tokens = _tokens(attrs)
+        node.reply = self.at.reply or not REPLIES.isdisjoint(tokens)
+        node.fixed = not FIXED.isdisjoint(tokens)
         self.at.parts.append(node)
         if tag not in VOID and node.depth < MAX_DEPTH:
             self.at = node
@@ -156,6 +208,7 @@ def parse(html: str) -> Node:
     builder = Builder()
     builder.feed(html)
     builder.close()
+    spare(builder.root)
     return builder.root
 
 
