@@ -203,6 +203,16 @@ def test_simhash_trees_find_every_link(spark, blocks, depth):
     assert {i: roots.get(i, i) for i in ids} == want
 
 
+def test_simhash_keeps_one_of_each_group_not_of_each_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (0, c), (None, d)]
+    for _ in range(2):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+        assert got == sorted([(None, a), (None, b), (0, c), (1, d)], key=str)
+        rows.reverse()
+
+
 def test_simhash_odd_rows(odd, none):
     got = collections.defaultdict(list)
     for r in simhash.groups(odd).collect():

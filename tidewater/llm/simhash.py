@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import read, short_batches
@@ -86,19 +86,26 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return lanes.T.reshape(64)  # bit 8 * lane + k
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (signed 64 bits) for every row."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (signed 64 bits) for every row; if ``hashed``, h too (hash
+    of the text)."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, size) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield b.drop(columns="text").assign(fp=fp.view(np.int64))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if hashed:
+        return docs.select("doc_id", "text", _text_hash().alias("h")).mapInPandas(run, f"doc_id {kind}, fp bigint, h bigint")
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp bigint")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def view_masks(blocks: int) -> list[int]:
     """Bit masks of ``blocks`` ranges, as even as can be."""
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -246,14 +253,21 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _rooted(docs: DataFrame, radius: int, size: int, blocks: int, depth: int,
+            hashed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows, the distinct ones (points), and the root of
+    each linked point."""
+    prints = materialize(fingerprints(docs, size, hashed), "fingerprints")
+    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
+    stars = components(links(points, radius, blocks, depth))
+    return prints, points, stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: int = BLOCKS,
            depth: int = DEPTH) -> DataFrame:
     """doc_id, fp and component (smallest id that links reach) for every row."""
-    prints = materialize(fingerprints(docs, size), "fingerprints")
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
-    stars = components(links(points, radius, blocks, depth))
+    prints, points, member = _rooted(docs, radius, size, blocks, depth)
     # root of each point: its own print where it has no link
-    member = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
     rooted = member.join(points, member["node"] == points["fp"]).select("node", "root", "first")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     linked = salted_join(rooted.select("node", "root"), smallest, ["root"], ["node"], null_safe=True).select(
@@ -263,14 +277,22 @@ def groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: i
     return out.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The row with the smallest id of each group (one of them where rows
-    repeat); the columns of ``docs``."""
+def keep_one(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: int = BLOCKS,
+             depth: int = DEPTH) -> DataFrame:
+    """One row of each group, that with the smallest id (of equal ids, the
+    smallest text hash; one of them where rows repeat); the columns of ``docs``.
+    Groups are told apart by their links, so ids may be null or repeat."""
     columns = docs.columns
-    keep = groups(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id").distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("_doc"))
-    rows = packed.join(keep, packed["_doc"].eqNullSafe(keep["doc_id"]), "left_semi")
-    rows = rows.dropDuplicates(["_doc"])
+    prints, _, member = _rooted(docs, radius, size, blocks, depth, hashed=True)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    root = F.coalesce("root", "fp")
+    keep = first.join(member, first["fp"] == member["node"], "left").groupBy(root.alias("root")).agg(
+        F.min("first").alias("first")).select("first.doc_id", "first.h")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").alias("_doc"), _text_hash().alias("_hash"))
+    rows = packed.join(keep, packed["_doc"].eqNullSafe(keep["doc_id"]) & (packed["_hash"] == keep["h"]), "left_semi")
+    rows = rows.dropDuplicates(["_doc", "_hash"])
     return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
