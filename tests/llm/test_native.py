@@ -70,6 +70,17 @@ def test_pii_checksums_and_context(spark):
     assert ("ssn", "123-45-6780") in kinds
 
 
+@pytest.mark.parametrize("text", [
+    "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 12345", "GB82 WEST 1234 5698 7654 32 GB", "NO93 8601 1117 947 OR 7",
+    "AA11 BBBB CCCC DDDD GB82 WEST 1234 5698 7654 32 SWIFT", "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32",
+])
+def test_pii_iban_beside_capitals_and_numbers(spark, text):
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    known = ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947")
+    got = [text[s["start"]:s["stop"]] for s in pii.spans(d).first()["_spans"] if pii.KINDS[s["rank"]].name == "iban"]
+    assert sorted(got) == [x for x in known if x in text]
+
+
 def test_pii_odd_rows(odd, none):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -37,6 +37,25 @@ BOOST = 20
 _BLOCK = 128
 
 
+#: Characters of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """The country's length, so that what follows is not taken in; where that
+    does not fit, any length up to the next country and check digits."""
+    countries = "|".join(c for v in IBAN_LENGTHS.values() for c in v.split())
+    fixed = "|".join(
+        f"(?:{v.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, v in IBAN_LENGTHS.items())
+    free = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{countries})[0-9]{{2}}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{fixed}|{free})"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -60,7 +79,7 @@ KINDS = (
          r"card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta", r"order|invoice|tracking|isbn", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 70,
          r"phone|tel\b|call|mobile|fax|telefon|t[eé]l[eé]phone", r"version|coordinates", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", 80,
+    Kind("iban", _iban(), "", 80,
          r"iban|account|bank|konto|compte|cuenta", r"serial|model|part number"),
     Kind("key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:token|secret|passw(?:or)?d|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{16,}+)", "", 80,
          r"secret|token|key|passw|credential", r"placeholder|example"),
