@@ -52,8 +52,9 @@ UPPER = bytes(range(ord("A"), ord("Z") + 1))
 #: takes before it is walked and emptied.
 FOLD_BYTES = 16 << 20
 TRIE_BYTES = 32 << 20
-#: Bytes of a prefix that one look reads, and the looks at crowded prefixes.
-DIGIT = 7
+#: Bytes of a prefix that one look reads (quantiles are doubles, so six bytes is
+#: what they hold exactly), and the looks at crowded prefixes.
+DIGIT = 6
 LOOKS = 3
 
 
@@ -119,9 +120,9 @@ def splitters(texts: DataFrame, parts: int) -> list[bytes]:
             under = texts.filter(F.startswith("text", F.lit(prefix))) if prefix else texts
             if prefix:
                 ends = under.agg(F.min("text").alias("a"), F.max("text").alias("b")).first()
-                a, b = bytes(ends["a"]), bytes(ends["b"])
-                if a == b:
+                if ends["a"] is None or ends["a"] == ends["b"]:
                     continue  # one text
+                a, b = bytes(ends["a"]), bytes(ends["b"])
                 prefix = a[:common_prefix(a, b)]
             digits = under.groupBy(F.xxhash64("text")).agg(F.min(_digit(F.col("text"), len(prefix))).alias("d"))
             cuts = digits.agg(F.percentile_approx("d", grid, F.lit(20 * parts))).first()[0] or []
@@ -132,7 +133,7 @@ def splitters(texts: DataFrame, parts: int) -> list[bytes]:
                 found.add(cut)
                 n = len(list(run))
                 if n > 1:
-                    fresh.append((prefix + int(value).to_bytes(DIGIT, "big"), share * n * step / parts))
+                    fresh.append((cut, share * n * step / parts))
         crowded = fresh
         if not crowded:
             break
