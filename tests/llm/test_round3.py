@@ -73,9 +73,30 @@ def test_audit_crowded_prefixes_and_hot_texts(spark):
     rows = [(i, t, None, "s" if i % 3 else None, 0) for i, t in zip(ids, texts, strict=True)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
     assert sorted((str(r["doc_id"]), r["part"], r["mask"]) for r in audit.masks(docs).collect()) == brute_masks(rows)
-    cuts = audit.splitters(docs.selectExpr("CAST(coalesce(text, '') AS binary) AS text"), 16)
-    sizes = collections.Counter(audit.bisect_right(cuts, t.encode()) for t in {t or "" for t in texts})
-    assert cuts == sorted(set(cuts)) and max(sizes.values()) < 0.5 * sum(sizes.values()) and any(len(c) > len(stem) for c in cuts)
+    to = audit.ranges(docs.selectExpr("CAST(coalesce(text, '') AS binary) AS text"), 16)
+    shard = to.shard_of()
+    sizes = collections.Counter(shard(t.encode()) for t in {t or "" for t in texts})
+    assert list(to.cuts) == sorted(set(to.cuts)) and any(len(c) > len(stem) for c in to.cuts)
+    assert max(sizes.values()) < 0.3 * sum(sizes.values()) and max(sizes) < to.shards <= 64
+
+
+def test_audit_near_copies_leave_no_crowd(spark):
+    """Texts that differ in one word somewhere are dealt evenly, and equal ones
+    still meet."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(400):
+        own = list(words)
+        own[rng.randrange(300)] = f"x{i % 350}"
+        texts.append(" ".join(own))
+    texts += [f"{rng.random()} other" for _ in range(200)] + texts[:20]
+    rows = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    assert sorted((str(r["doc_id"]), r["part"], r["mask"]) for r in audit.masks(docs).collect()) == brute_masks(rows)
+    shard = audit.ranges(docs.selectExpr("CAST(text AS binary) AS text"), 16).shard_of()
+    sizes = collections.Counter(shard(t.encode()) for t in set(texts))
+    assert max(sizes.values()) < 0.15 * sum(sizes.values())
 
 
 def test_radix_trie_against_a_dict():

@@ -6,9 +6,11 @@ before it, so the audit counts, for each part of the table (``source``) and all
 120 orders, what each step keeps, removes and would have removed.
 
 Copies are found by radix text tries. The texts are range-partitioned by
-adaptive prefixes: a first look takes splitters from the texts' first bytes, and
+adaptive prefixes: a first look takes cuts from the texts' first bytes, and
 a prefix that holds more than its share is split again behind the longest
-stretch its texts have in common. Each range arrives sorted and goes into
+stretch its texts have in common. Where even that leaves a crowd (near copies
+that differ here and there), the range is dealt further by a hash of the whole
+text, so equal texts still meet. Each range arrives sorted and goes into
 compressed tries whose terminals hold the smallest id; a walk gives the one id
 for each text that is no copy. A trie is emptied once it has taken
 ``TRIE_BYTES`` of text, which only moves where it starts again: equal texts
@@ -17,7 +19,7 @@ are dealt, so a text that a third of all rows hold reaches its range once per
 ``FOLD_BYTES`` of input. Every document's five bits form a mask; the 600 rows of
 a part come from its at most 32 mask counts, not from its documents.
 
-The splitters decide balance only, never a result, so their rounds are limited.
+The ranges decide balance only, never a result, so the looks are limited.
 
 Defined results: a null text counts as empty; a null id is no smaller id and has
 none, so it neither is a copy nor makes one; rows that share the smallest id of
@@ -30,7 +32,8 @@ from __future__ import annotations
 
 import itertools
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,7 +58,7 @@ TRIE_BYTES = 32 << 20
 #: Bytes of a prefix that one look reads (quantiles are doubles, so six bytes is
 #: what they hold exactly), and the looks at crowded prefixes.
 DIGIT = 6
-LOOKS = 3
+LOOKS = 2
 
 
 def _digest(text: bytes) -> bytes:
@@ -105,39 +108,59 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def splitters(texts: DataFrame, parts: int) -> list[bytes]:
-    """At most ``parts * (LOOKS + 1)`` byte strings, in order, that cut the
-    distinct texts into ranges of about equal number. ``texts`` has one binary
-    column ``text``. A range still crowded after the last look stays one."""
+@dataclass(frozen=True)
+class Ranges:
+    """Where the texts go: ``cuts`` divide their order into ranges, and range r
+    is ``widths[r]`` shards wide, chosen by a hash of the whole text."""
+
+    cuts: tuple[bytes, ...]
+    widths: tuple[int, ...]
+
+    @property
+    def shards(self) -> int:
+        return sum(self.widths)
+
+    def shard_of(self) -> Callable[[bytes], int]:
+        begins = [0, *itertools.accumulate(self.widths)]
+
+        def find(text: bytes) -> int:
+            r = bisect_right(self.cuts, text)
+            return begins[r] + (xxhash.xxh64_intdigest(text) % self.widths[r] if self.widths[r] > 1 else 0)
+        return find
+
+
+def ranges(texts: DataFrame, parts: int) -> Ranges:
+    """Ranges that hold about equal numbers of the distinct texts, a few times
+    ``parts`` of them at most. ``texts`` has one binary column ``text``."""
     grid = [i / parts for i in range(1, parts)]
-    if not grid:
-        return []
     found: set[bytes] = set()
-    crowded = [(b"", 1.0)]
+    crowded = [(b"", 1.0)] if grid else []
     for _ in range(LOOKS):
         fresh = []
         for prefix, share in crowded:
-            under = texts.filter(F.startswith("text", F.lit(prefix))) if prefix else texts
+            under, shared = texts, prefix
             if prefix:
+                under = texts.filter(F.startswith("text", F.lit(prefix)))
                 ends = under.agg(F.min("text").alias("a"), F.max("text").alias("b")).first()
                 if ends["a"] is None or ends["a"] == ends["b"]:
                     continue  # one text
-                a, b = bytes(ends["a"]), bytes(ends["b"])
-                prefix = a[:common_prefix(a, b)]
-            digits = under.groupBy(F.xxhash64("text")).agg(F.min(_digit(F.col("text"), len(prefix))).alias("d"))
+                shared = bytes(ends["a"])[:common_prefix(bytes(ends["a"]), bytes(ends["b"]))]
+            digits = under.groupBy(F.xxhash64("text")).agg(F.min(_digit(F.col("text"), len(shared))).alias("d"))
             cuts = digits.agg(F.percentile_approx("d", grid, F.lit(20 * parts))).first()[0] or []
             # a prefix with this share of the texts deserves this many of the cuts
             step = max(1, round(1 / share))
             for value, run in itertools.groupby(cuts[step - 1::step]):
-                cut = prefix + int(value).to_bytes(DIGIT, "big").rstrip(b"\0")
+                cut = shared + int(value).to_bytes(DIGIT, "big").rstrip(b"\0")
                 found.add(cut)
                 n = len(list(run))
                 if n > 1:
                     fresh.append((cut, share * n * step / parts))
         crowded = fresh
-        if not crowded:
-            break
-    return sorted(found)
+    cuts = sorted(found)
+    widths = [1] * (len(cuts) + 1)
+    for cut, share in crowded:
+        widths[bisect_right(cuts, cut)] = max(1, round(share * parts))
+    return Ranges(tuple(cuts), tuple(widths))
 
 
 # ---- tries
@@ -182,16 +205,17 @@ class RadixTrie:
             stack.extend(node[3].values())
 
 
-def _fold(batches: Iterator[pa.RecordBatch], cuts: Sequence[bytes]) -> Iterator[pa.RecordBatch]:
-    """One row for each text that this task meets within FOLD_BYTES: its range,
+def _fold(batches: Iterator[pa.RecordBatch], dealt: Ranges) -> Iterator[pa.RecordBatch]:
+    """One row for each text that this task meets within FOLD_BYTES: its shard,
     the text, its smallest id."""
+    shard_of = dealt.shard_of()
     seen: dict[bytes, int] = {}
     held = 0
 
     def rows():
         texts = list(seen)
         return pa.RecordBatch.from_arrays(
-            [pa.array([bisect_right(cuts, t) for t in texts], pa.int32()), pa.array(texts, pa.binary()),
+            [pa.array(map(shard_of, texts), pa.int32()), pa.array(texts, pa.binary()),
              pa.array(seen.values(), pa.int64())], names=["shard", "text", "doc_id"])
 
     for b in batches:
@@ -238,9 +262,9 @@ def firsts(docs: DataFrame) -> DataFrame:
     short_batches(spark)
     texts = docs.filter("doc_id IS NOT NULL").select(
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    cuts = splitters(texts.select("text"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    folded = texts.mapInArrow(lambda b: _fold(b, cuts), "shard int, text binary, doc_id bigint")
-    dealt = folded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "text")
+    to = ranges(texts.select("text"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folded = texts.mapInArrow(lambda b: _fold(b, to), "shard int, text binary, doc_id bigint")
+    dealt = folded.repartitionById(to.shards, "shard").sortWithinPartitions("shard", "text")
     return dealt.mapInArrow(_tries, "doc_id bigint, digest binary")
 
 
