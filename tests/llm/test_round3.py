@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import base64
 import collections
+import gzip
+import hashlib
 import itertools
 import random
 import re
 
-from tidewater.llm import QUERIES, audit
+import pytest
+
+from tidewater.llm import QUERIES, audit, warc
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -133,3 +138,113 @@ def test_audit_odd_rows(spark, odd, none):
     assert {k[0] for k in got} == {"", "a", "b"}
     assert audit.interactions(audit.masks(none), labels).count() == 0
     assert audit.interactions(audit.masks(odd), labels.limit(0)).count() == 1800
+
+
+PAGES = "page_id bigint, url string, html string"
+
+
+def brute_records(rows):
+    least = {}
+    for i, _, html in rows:
+        html = html or ""
+        least[html] = min((x for x in (i, least.get(html)) if x is not None), default=None)
+    out = []
+    for i, _, html in rows:
+        data, first = (html or "").encode(), least[html or ""]
+        again = first is not None and (i is None or i > first)
+        out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response",
+                    first if again else None))
+    return sorted(out, key=str)
+
+
+def read_whole(manifest):
+    """The records of all archives, by a plain reader of whole files."""
+    out = []
+    for path in {r["path"] for r in manifest.collect()}:
+        data = gzip.decompress(open(path, "rb").read())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            assert lines[0] == "WARC/1.1"
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            n = int(fields["Content-Length"])
+            assert rest[n:n + 4] == b"\r\n\r\n"
+            out.append((fields, rest[:n]))
+            data = rest[n + 4:]
+    return out
+
+
+def test_warc_archives_and_chunks(spark, tmp_path):
+    """Archives that any reader takes; payloads longer than a chunk come back
+    byte for byte, in order, with running digests."""
+    long = "".join(chr(0x4E00 + i % 5000) for i in range(30_000))
+    rows = [(5, "http://a/1", "<p>x</p>"), (3, "http://a/2", "<p>x</p>"), (9, "http://a/3 \r\nX: é", "<p>x</p>"), (1, None, long), (2, "u", long),
+            (4, "u", ""), (6, "u", None), (None, "u", "<p>x</p>"), (None, "u", "alone"), (7, "u", "\r\n\r\nWARC/1.1\r\n\r\n"), (7, "u", "y" * 1000),
+            (8, "u", "a" * 1000 + "b" * 24)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    manifest = warc.write_archives(pages, str(tmp_path / "w"), chunk=1000)
+    got = read_whole(manifest)
+    assert sum(f["WARC-Type"] == "warcinfo" for f, _ in got) == len({r["path"] for r in manifest.collect()})
+    stored = collections.Counter(b.partition(b"\r\n\r\n")[2] for f, b in got if f["WARC-Type"] == "response")
+    assert stored == collections.Counter((h or "").encode() for h in {h or "" for _, _, h in rows})
+    ids = [f["WARC-Record-ID"] for f, _ in got]
+    assert len(ids) == len(set(ids))
+    assert all(f["WARC-Refers-To"] in ids for f, _ in got if f["WARC-Type"] == "revisit")
+    chunks = warc.read_chunks(spark, manifest, chunk=1000)
+    by = collections.defaultdict(list)
+    for r in chunks.orderBy("chunk_no").collect():
+        assert len(r["data"]) <= 1000
+        if r["record_type"] == "response":
+            by[r["page_id"], r["header_digest"]].append(r)
+    for (page, digest), parts in by.items():
+        data = b""
+        for n, r in enumerate(parts):
+            data += bytes(r["data"])
+            assert r["chunk_no"] == n and r["bytes_so_far"] == len(data) and r["last"] == (n == len(parts) - 1)
+            assert r["digest_so_far"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert digest == parts[-1]["digest_so_far"] and (page, data) in {(i, (h or "").encode()) for i, _, h in rows}
+    assert sorted((tuple(r) for r in warc.records(chunks).collect()), key=str) == brute_records(rows)
+
+
+def test_warc_segments_and_small_payloads(spark, tmp_path, monkeypatch):
+    """Segments start at records, whatever their size; below the limit every
+    payload is written out."""
+    rows = [(i, "u", "abc" if i % 2 else f"page {i} " * 50) for i in range(40)]
+    archives = warc._Archives(str(tmp_path))
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 300)
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    for i, url, html in rows:
+        warc._begin(archives, i, url, len(html), hashlib.sha1(html.encode()).hexdigest(), None)
+        archives.add(html.encode())
+        archives.end()
+    archives.close()
+    assert len(archives.done) > 10 and len({d[0] for d in archives.done}) > 1
+    manifest = spark.createDataFrame(archives.done, warc.MANIFEST)
+    assert sorted(r[0] for r in warc.records(warc.read_chunks(spark, manifest, with_data=False)).collect()) == list(range(40))
+    monkeypatch.undo()
+    pages = spark.createDataFrame(rows, PAGES)
+    kinds = lambda least: collections.Counter(r["record_type"] for r in warc.records(
+        warc.read_chunks(spark, warc.write_archives(pages, at_least=least))).collect())
+    assert kinds(3) == {"response": 21, "revisit": 19} and kinds(4) == {"response": 40}
+
+
+def test_warc_damage_is_found(spark, tmp_path):
+    manifest = warc.write_archives(spark.createDataFrame([(1, "u", "some page " * 99)], PAGES).coalesce(1), str(tmp_path / "w"))
+    path = manifest.first()["path"]
+    text = gzip.decompress(open(path, "rb").read()).replace(b"some page some", b"some page sOme", 1)
+    with gzip.open(path, "wb") as f:
+        f.write(text)
+    import os
+    bad = spark.createDataFrame([(path, 0, os.path.getsize(path), 2)], warc.MANIFEST)
+    with pytest.raises(Exception, match="does not have the digest"):
+        warc.read_chunks(spark, bad).collect()
+
+
+def test_warc_query_and_odd_rows(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
+    assert sorted((tuple(r) for r in QUERIES["op12_warc"](spark, sf_dir).collect()), key=str) == brute_records(rows)
+    odd = [(1, None, None), (1, None, None), (2, "u", ""), (None, None, None), (3, "u", "x"), (3, "u", "y"), (3, "u", "y"), (4, "u", "y")]
+    wide = spark.createDataFrame(odd, PAGES).selectExpr("*", "7 AS size", "7 AS payload", "7 AS chunk_no", "7 AS first", "'z' AS refers_to", "1 AS sha1")
+    assert sorted((tuple(r) for r in warc.records(warc.read_chunks(spark, warc.write_archives(wide))).collect()), key=str) == brute_records(odd)
+    none = warc.write_archives(wide.limit(0))
+    assert none.count() == 0 and warc.records(warc.read_chunks(spark, none)).count() == 0
