@@ -9,10 +9,11 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import pytest
 
-from tidewater.llm import QUERIES, audit, warc
+from tidewater.llm import QUERIES, audit, repair, warc
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -248,3 +249,169 @@ def test_warc_query_and_odd_rows(spark, sf_dir):
     assert sorted((tuple(r) for r in warc.records(warc.read_chunks(spark, warc.write_archives(wide))).collect()), key=str) == brute_records(odd)
     none = warc.write_archives(wide.limit(0))
     assert none.count() == 0 and warc.records(warc.read_chunks(spark, none)).count() == 0
+
+
+def faults(rows):
+    """(blank, duplicate, truncated) of each row, the first that applies."""
+    seen, out = set(), []
+    for role, text in rows:
+        words = text.strip(" \t\n\x0b\x0c\r")
+        kinds = (not words, (role, text) in seen, bool(words) and words[-1] not in ".!?")
+        seen.add((role, text))
+        out.append(tuple(k and not any(kinds[:i]) for i, k in enumerate(kinds)))
+    return out
+
+
+def every_repair(rows):
+    """Least (cost, audit) over all edit sequences up to the cost of deleting
+    every row, with what they say."""
+    bad = faults(rows)
+    found = []
+
+    def go(i, cost, audit, said):
+        if cost > 4 * len(rows):
+            return
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", "".join(r[:1] for r, _ in said)) and all(r for r, _ in said):
+            found.append((cost, audit, "\n".join(f"{r}:{t}" for r, t in said)))
+        for role in ("user", "assistant"):
+            go(i, cost + 3, audit + "I", [*said, (role, "")])
+        if i < len(rows):
+            role, text = rows[i]
+            blank, dup, cut = bad[i]
+            go(i + 1, cost + 4, audit + "D", said)
+            if not blank and not dup:
+                go(i + 1, cost + 3 * cut, audit + "K", [*said, (role, text)])
+                for to in ("user", "assistant"):
+                    go(i + 1, cost + 3 + 3 * cut, audit + "R", [*said, (to, text)])
+
+    go(0, 0, "", [])
+    return min(found)
+
+
+def every_target(rows):
+    """The same by aligning the rows with every role string of the language."""
+    bad, best = faults(rows), None
+    for target in ["", *("s" * s + "ua" * k for s in (0, 1) for k in range(1, len(rows) + 2))]:
+        at = {(0, 0): (0, "")}
+        for i in range(len(rows) + 1):
+            for j in range(len(target) + 1):
+                options = [at[i, j]] if (i, j) in at else []
+                if j and target[j - 1] != "s" and (i, j - 1) in at:
+                    options.append((at[i, j - 1][0] + 3, at[i, j - 1][1] + "I"))
+                if i and (i - 1, j) in at:
+                    options.append((at[i - 1, j][0] + 4, at[i - 1, j][1] + "D"))
+                if i and j and (i - 1, j - 1) in at and not bad[i - 1][0] and not bad[i - 1][1]:
+                    cost, audit = at[i - 1, j - 1]
+                    cost += 3 * bad[i - 1][2]
+                    if rows[i - 1][0][:1] == target[j - 1]:
+                        options.append((cost, audit + "K"))
+                    if target[j - 1] != "s":
+                        options.append((cost + 3, audit + "R"))
+                if options:
+                    at[i, j] = min(options)
+        if (len(rows), len(target)) in at:
+            got = at[len(rows), len(target)]
+            best = got if best is None else min(best, got)
+    return best
+
+
+def parsed(rows):
+    talk = repair.Conversation(1)
+    for i, (role, text) in enumerate(rows):
+        words = text.strip(" \t\n\x0b\x0c\r")
+        talk.row(i, role, text, not words, words[-1:] not in tuple(".!?"))
+    return talk.result()
+
+
+def some_rows(rng, n):
+    roles = ["user", "assistant", "system", "user", "assistant", " ", "tool", ""]
+    return [(rng.choice(roles), rng.choice(["One.", "Two!", "Three?", "Four", "Five .\n", " ", ""]) + rng.choice(["", "", "x."])) for _ in range(n)]
+
+
+def test_repair_matches_every_edit_sequence():
+    rng = random.Random(11)
+    for _ in range(150):
+        rows = some_rows(rng, rng.randrange(4))
+        got = parsed(rows)
+        cost, audit, said = every_repair(rows)
+        assert got[6:] == (cost, audit, hashlib.sha256(said.encode()).hexdigest()), rows
+        assert got[2:5] == tuple(map(sum, zip(*faults(rows), strict=True))) if rows else (0, 0, 0)
+
+
+def test_repair_matches_every_target():
+    rng = random.Random(12)
+    for _ in range(600):
+        rows = some_rows(rng, rng.randrange(12))
+        assert parsed(rows)[6:8] == every_target(rows), rows
+
+
+def test_repair_of_a_long_conversation():
+    """Rows in the tens of thousands: the stack stays as small as it was."""
+    rng = random.Random(4)
+    talk = repair.Conversation(1)
+    for i in range(30_000):
+        talk.row(i * 2, rng.choice(["user", "assistant"]), f"{i}{rng.choice('.!x')}", False, False)
+        assert len(talk.parser.tops) <= 6
+    got = talk.result()
+    assert got[1] == 29_999 and len(got[7]) >= 30_000
+    top, high = talk.parser.best(), 0
+    while top:
+        top, high = top.below, high + 1
+    assert high <= 4
+
+
+def broken(rows):
+    """The damage of the contract, then each conversation in order."""
+    talks = {c: [] for c, *_ in rows}
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        row = (turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+        talks[conv] += [] if kind == 0 else [row, row] if kind == 3 else [row]
+    return {c: sorted(t, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())) for c, t in talks.items()}
+
+
+def brute_result(conv, rows):
+    turns = [t for t, _, _ in rows if t is not None]
+    plain = [(r, t) for _, r, t in rows]
+    sums = tuple(map(sum, zip(*faults(plain), strict=True))) if rows else (0, 0, 0)
+    illegal = sum(a[:1] + b[:1] not in ("su", "ua", "au") for (a, _), (b, _) in itertools.pairwise(plain))
+    cost, audit = every_target(plain)
+    said, left = [], iter(plain)
+    for edit in audit:
+        role, text = next(left) if edit != "I" else (None, "")
+        if edit != "D":
+            said.append((role if edit == "K" else "assistant" if said and said[-1][0][:1] == "u" else "user", text))
+    return (conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *map(int, sums), illegal, cost, audit,
+            hashlib.sha256("\n".join(f"{r}:{t}" for r, t in said).encode()).hexdigest()), said
+
+
+def test_repair_query_matches_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = {r[0]: tuple(r) for r in QUERIES["op13_conversation_repair"](spark, sf_dir).collect()}
+    talks = broken(rows)
+    assert set(got) == set(talks)
+    for conv, talk in talks.items():
+        assert got[conv] == brute_result(conv, talk)[0]
+
+
+def test_repair_odd_rows_and_messages(spark):
+    rng = random.Random(8)
+    rows = [(None, 0, "user", "Hi."), (None, None, None, None), (1, None, "user", "a."), (1, None, "assistant", "b."), (1, 5, "user", "c?"),
+            (1, 5, "user", "c?"), (1, 9, "", "d!"), (2, 0, None, None), (3, 0, "system", "Be brief."), (4, 1, "user", "word " * 60_000),
+            (4, 2, "assistant", "é\U0001F600.")]
+    rows += [(10 + c, t, *some_rows(rng, 1)[0]) for c in range(40) for t in range(rng.randrange(1, 9))]
+    rows += [(100 + c, c, "user", "gone?") for c in range(60)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    wide = table.selectExpr("*", "7 AS kind", "7 AS audit", "7 AS place", "7 AS blank")
+    hurt = repair.damage(wide)
+    verdicts = repair.repair(hurt)
+    want = {c: brute_result(c, t) for c, t in broken(rows).items()}
+    assert {r[0]: tuple(r) for r in verdicts.collect()} == {c: w[0] for c, w in want.items()}
+    assert any(not t for t in broken(rows).values())
+    said = collections.defaultdict(list)
+    for r in repair.repaired(hurt, verdicts).orderBy("place").collect():
+        assert r["place"] == len(said[r["conv_id"]])
+        said[r["conv_id"]].append((r["role"], r["text"]))
+    assert said == {c: w[1] for c, w in want.items() if w[1]}
+    assert repair.repair(repair.damage(wide.limit(0))).count() == 0
