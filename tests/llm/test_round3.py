@@ -205,6 +205,8 @@ def test_warc_archives_and_chunks(spark, tmp_path):
             assert r["digest_so_far"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
         assert digest == parts[-1]["digest_so_far"] and (page, data) in {(i, (h or "").encode()) for i, _, h in rows}
     assert sorted((tuple(r) for r in warc.records(chunks).collect()), key=str) == brute_records(rows)
+    assert warc.dangling(chunks).count() == 0
+    assert sorted(r["page_id"] for r in warc.dangling(chunks.filter("NOT (record_type = 'response' AND page_id = 1)")).collect()) == [2]
 
 
 def test_warc_segments_and_small_payloads(spark, tmp_path, monkeypatch):

@@ -56,8 +56,8 @@ DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "path string, start bigint, stop bigint, records bigint"
-CHUNKS = ("page_id bigint, record_type string, refers_to bigint, header_digest string, chunk_no bigint, data binary, "
-          "bytes_so_far bigint, digest_so_far string, last boolean")
+CHUNKS = ("page_id bigint, record_type string, refers_to bigint, header_digest string, header_bytes bigint, chunk_no bigint, "
+          "data binary, bytes_so_far bigint, digest_so_far string, last boolean")
 
 
 def base32(digest: bytes) -> str:
@@ -285,6 +285,7 @@ def _chunks_of(stream: _Stream, chunk: int) -> Iterator[tuple]:
             http = stream.head()
             size = block - sum(len(x.encode()) + 2 for x in http) - 2
             digest = warc["warc-payload-digest"].removeprefix("sha1:")
+            told = int(_fields(http)["content-length"])
             page = page_of(warc["warc-record-id"])
             refers = page_of(warc["warc-refers-to"]) if kind == "revisit" else None
             hashed, done, no = hashlib.sha1(), 0, 0
@@ -292,11 +293,11 @@ def _chunks_of(stream: _Stream, chunk: int) -> Iterator[tuple]:
                 data = stream.read(min(chunk, size - done))
                 hashed.update(data)
                 done += len(data)
-                yield page, kind, refers, digest, no, data, done, base32(hashed.digest()), done == size
+                yield page, kind, refers, digest, told, no, data, done, base32(hashed.digest()), done == size
                 no += 1
                 if done == size:
                     break
-            if kind == "response" and base32(hashed.digest()) != digest:
+            if kind == "response" and (base32(hashed.digest()), done) != (digest, told):
                 raise ValueError(f"page {page}: the payload does not have the digest in its header")
         else:
             left = block
@@ -308,7 +309,7 @@ def _chunks_of(stream: _Stream, chunk: int) -> Iterator[tuple]:
 
 def _read_rows(batches: Iterator[pa.RecordBatch], chunk: int, with_data: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CHUNKS.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -320,8 +321,8 @@ def _read_rows(batches: Iterator[pa.RecordBatch], chunk: int, with_data: bool) -
             with system.open_input_file(f"{root}/{name}") as file:
                 rows, held = [], 0
                 for row in _chunks_of(_Stream(file, start, stop), chunk):
-                    held += len(row[5]) + 200 if with_data else 200
-                    rows.append(row if with_data else (*row[:5], None, *row[6:]))
+                    held += len(row[6]) + 200 if with_data else 200
+                    rows.append(row if with_data else (*row[:6], None, *row[7:]))
                     if held >= 8 << 20:
                         yield batch(rows)
                         rows, held = [], 0
@@ -331,8 +332,9 @@ def _read_rows(batches: Iterator[pa.RecordBatch], chunk: int, with_data: bool) -
 
 def read_chunks(spark: SparkSession, manifest: DataFrame, with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The chunk table of the archives that a manifest lists: page_id,
-    record_type, refers_to, header_digest, chunk_no, data (null without
-    ``with_data``), bytes_so_far, digest_so_far and last. A payload that differs
+    record_type, refers_to, chunk_no, data (null without
+    ``with_data``), bytes_so_far, digest_so_far and last, with the digest and the
+    length in the header. A payload that differs
     from its header is an error."""
     segments = max(1, manifest.count())
     return manifest.repartition(segments).mapInArrow(lambda b: _read_rows(b, chunk, with_data), CHUNKS)
@@ -340,17 +342,25 @@ def read_chunks(spark: SparkSession, manifest: DataFrame, with_data: bool = True
 
 def records(chunks: DataFrame) -> DataFrame:
     """One row for each record: page_id, payload_bytes, payload_digest,
-    record_type, refers_to. A revisit's payload is that of the response it
-    refers to."""
-    ends = chunks.filter("last").select("page_id", "record_type", "refers_to", "header_digest", "bytes_so_far", "digest_so_far")
-    whole = ends.filter("record_type = 'response'")
-    targets = whole.filter("page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("digest_so_far").alias("header_digest")).agg(
-        F.max("bytes_so_far").alias("bytes"))
-    again = salted_join(ends.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "header_digest"),
-                        targets, ["refers_to", "header_digest"], ["page_id"], how="left")
-    return whole.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"),
-                        "record_type", "refers_to").unionByName(
-        again.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("header_digest").alias("payload_digest"), "record_type", "refers_to"))
+    record_type, refers_to. Those of a response are what its chunks came to; a
+    revisit's are in its headers, which hold the length and the digest of the
+    payload it refers to."""
+    whole = F.col("record_type") == "response"
+    return chunks.filter("last").select(
+        "page_id", F.when(whole, F.col("bytes_so_far")).otherwise(F.col("header_bytes")).alias("payload_bytes"),
+        F.when(whole, F.col("digest_so_far")).otherwise(F.col("header_digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
+def dangling(chunks: DataFrame) -> DataFrame:
+    """Revisits (page_id, refers_to) whose response is not in the archives, or
+    has another payload than they say."""
+    ends = chunks.filter("last")
+    there = ends.filter("record_type = 'response'").select(
+        F.col("page_id").alias("refers_to"), F.col("digest_so_far").alias("header_digest"), F.col("bytes_so_far").alias("header_bytes"))
+    wanted = ends.filter("record_type = 'revisit'")
+    key = ["refers_to", "header_digest", "header_bytes"]
+    lost = wanted.select(*key).distinct().join(there, key, "left_anti")
+    return wanted.join(lost, key, "left_semi").select("page_id", "refers_to")
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
