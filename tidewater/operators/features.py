@@ -16,11 +16,12 @@ def standardise(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), eps:
     Statistics are a partial + final aggregate joined back (salted: a group may hold most rows), not a window."""
     by = list(by)
     stats = (df.groupBy(*by) if by else df.groupBy()).agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.var_pop(c).alias(f"_v_{c}") for c in cols])
-    j = salted_join(df, stats, by, list(cols)) if by else attach_scalars(df, stats)
+        *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.var_pop(c).alias(f"_v_{c}") for c in cols],
+        F.count(F.lit(1)).alias("_rows"))
+    j = salted_join(df, stats, by, list(cols), weight="_rows") if by else attach_scalars(df, stats)
     for c in cols:
         j = j.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.sqrt(F.col(f"_v_{c}") + F.lit(eps)))
-    return j.drop(*[f"_m_{c}" for c in cols], *[f"_v_{c}" for c in cols])
+    return j.drop(*[f"_m_{c}" for c in cols], *[f"_v_{c}" for c in cols], "_rows")
 
 
 def to_struct(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = (), out: str = "sample") -> DataFrame:

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tidewater.operators.common import salted_join
 from tidewater.operators.ordinal import ordinal, running_sum
 
+# exp of one softmax step stays far from the range of a double
+SOFTMAX_STEP = 32.0
+
 AGGS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
 MessageFn = Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]]
@@ -29,8 +32,11 @@ def _ends(nodes: DataFrame, edges: DataFrame, by: list[str], id_col: str, at: st
     cols = [c for c in nodes.columns if c not in by]
     ni = nodes.select(*by, *[F.col(c).alias(f"i_{c}") for c in cols])
     nj = nodes.select(*by, *[F.col(c).alias(f"j_{c}") for c in cols])
-    e = edges.select(*by, F.col(at).alias(f"i_{id_col}"), F.col(other).alias(f"j_{id_col}"))
-    return e.join(ni, [*by, f"i_{id_col}"]).join(nj, [*by, f"j_{id_col}"])
+    i, j = f"i_{id_col}", f"j_{id_col}"
+    e = edges.select(*by, F.col(at).alias(i), F.col(other).alias(j))
+    # a hub's edges are dealt at both ends
+    got = salted_join(e, ni, [*by, i], [j])
+    return salted_join(got, nj, [*by, j], [i], counted=e)
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, message: MessageFn, aggr: str, update: UpdateFn,
@@ -72,8 +78,8 @@ def gcn_smooth(nodes: DataFrame, edges: DataFrame, value: str, by: Sequence[str]
     di = deg.select(*by, F.col("dst"), F.col("_deg").alias("_di"))
     dj = deg.select(*by, F.col("dst").alias("src"), F.col("_deg").alias("_dj"))
     v = nodes.select(*by, F.col(id_col).alias("src"), F.col(value).alias("_v"))
-    w = salted_join(e, di, [*by, "dst"], ["src"])
-    w = salted_join(w, dj.join(v, [*by, "src"]), [*by, "src"], ["dst"])
+    w = salted_join(e, di, [*by, "dst"], ["src"], weight="_di")
+    w = salted_join(w, dj.join(v, [*by, "src"]), [*by, "src"], ["dst"], counted=e)
     s = w.groupBy(*by, "dst").agg(F.sum(F.col("_v") / F.sqrt(F.col("_di") * F.col("_dj"))).alias(out))
     return nodes.join(s.withColumnRenamed("dst", id_col), [*by, id_col], "left")
 
@@ -81,15 +87,23 @@ def gcn_smooth(nodes: DataFrame, edges: DataFrame, value: str, by: Sequence[str]
 def attend(nodes: DataFrame, edges: DataFrame, score: MessageFn, value: str, by: Sequence[str] = ("cloud",),
            id_col: str = "point_id", out: str = "att", scale: float = 1.0) -> DataFrame:
     """GR5: softmax over the incoming edges of each node of ``score(i, j) *
-    scale``, weighted mean of the sender's ``value``. The softmax is three
-    aggregates (max, then sums of exp and exp * value), not a window."""
+    scale``, weighted mean of the sender's ``value``.
+
+    One mergeable aggregate: a score is an integer number of steps and a rest
+    below one step, and for each node and number of steps the sums of exp(rest)
+    and exp(rest) * value add up in any order, so a hub's edges are summed where
+    they lie. The few steps of a node are then weighed against its highest one.
+    No edge is joined back to its node's maximum."""
     by = list(by)
     j = _ends(nodes, edges, by, id_col, "dst")
     s = score(lambda c: F.col(f"i_{c}"), lambda c: F.col(f"j_{c}"))["score"] * F.lit(float(scale))
     sc = j.select(*by, F.col(f"i_{id_col}").alias(id_col), s.alias("_s"), F.col(f"j_{value}").alias("_v"))
-    mx = sc.groupBy(*by, id_col).agg(F.max("_s").alias("_mx"))
-    e = sc.join(mx, [*by, id_col]).withColumn("_e", F.exp(F.col("_s") - F.col("_mx")))
-    agg = e.groupBy(*by, id_col).agg((F.sum(F.col("_e") * F.col("_v")) / F.sum("_e")).alias(out))
+    sc = sc.withColumn("_step", F.floor(F.col("_s") / SOFTMAX_STEP)).withColumn("_e", F.exp(F.col("_s") - F.col("_step") * SOFTMAX_STEP))
+    steps = sc.groupBy(*by, id_col, "_step").agg(F.sum("_e").alias("_z"), F.sum(F.col("_e") * F.col("_v")).alias("_zv"))
+    per_node = steps.groupBy(*by, id_col).agg(F.max("_step").alias("_top"), F.collect_list(F.struct("_step", "_z", "_zv")).alias("_parts"))
+    total = lambda what: F.aggregate("_parts", F.lit(0.0), lambda t, p: t + p[what] * F.exp(
+        (p["_step"] - F.col("_top")) * SOFTMAX_STEP))
+    agg = per_node.select(*by, id_col, (total("_zv") / total("_z")).alias(out))
     return nodes.join(agg, [*by, id_col], "left")
 
 
@@ -131,7 +145,7 @@ def normalised_adjacency(edges: DataFrame, by: Sequence[str] = ("cloud",)) -> Da
     und = edges.select(*by, "src", "dst").unionByName(
         edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     deg = und.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("_deg"))
-    return salted_join(und, deg, [*by, "src"], ["dst"]).withColumn("w", F.lit(1.0) / F.col("_deg")).drop("_deg")
+    return salted_join(und, deg, [*by, "src"], ["dst"], weight="_deg").withColumn("w", F.lit(1.0) / F.col("_deg")).drop("_deg")
 
 
 def graph_rollout(nodes: DataFrame, edges: DataFrame, message: MessageFn, aggr: str, update: UpdateFn,

@@ -498,10 +498,10 @@ def normalise_cloud(points: DataFrame, by: Sequence[str] = ("cloud",), x: str =
     Uses two aggregates joined back by salted joins (not a window), so a cloud is
     never one task."""
     by = list(by)
-    c = points.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    p = salted_join(points, c, by, [x, y]).withColumn(x, F.col(x) - F.col("_mx")).withColumn(y, F.col(y) - F.col("_my"))
-    m = p.groupBy(*by).agg(F.max(F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))).alias("_m"))
-    p = salted_join(p, m, by, [x, y])
+    c = points.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.count(F.lit(1)).alias("_rows"))
+    p = salted_join(points, c, by, [x, y], weight="_rows").drop("_rows").withColumn(x, F.col(x) - F.col("_mx")).withColumn(y, F.col(y) - F.col("_my"))
+    m = p.groupBy(*by).agg(F.max(F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))).alias("_m"), F.count(F.lit(1)).alias("_rows"))
+    p = salted_join(p, m, by, [x, y], weight="_rows").drop("_rows")
     safe = F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0))
     return p.withColumn(x, F.col(x) / safe).withColumn(y, F.col(y) / safe).drop("_mx", "_my", "_m")
 
