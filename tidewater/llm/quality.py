@@ -96,8 +96,8 @@ def template_lines(measured: DataFrame, min_docs: int = LINE_MIN_DOCS, min_share
     lines = measured.select("host", "h", F.explode("lines.line").alias("line"))
     per_line = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     per_line = per_line.filter(F.col("n") >= min_docs)
-    hosts = measured.select("host", "h").distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("all"))
-    both = per_line.join(hosts, per_line["host"].eqNullSafe(hosts["_host"]))
+    hosts = measured.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    both = salted_join(per_line, hosts, ["host"], ["line"], null_safe=True, weight="all")
     return both.filter(F.col("n") >= min_share * F.col("all")).select("host", "line")
 
 

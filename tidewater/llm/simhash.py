@@ -239,11 +239,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both, low, ["u"], ["v"], null_safe=True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", F.least("u", "m").alias("m"), "rows")
+        large = salted_join(both, low, ["u"], ["v"], null_safe=True, weight="rows").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u > v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, ["u"], ["v"], null_safe=True).select(
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
+        small = salted_join(large, least, ["u"], ["v"], null_safe=True, weight="rows").select(
             F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u > v").distinct()
         e = materialize(small, "links")
@@ -269,8 +269,8 @@ def groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: i
     prints, points, member = _rooted(docs, radius, size, blocks, depth)
     # root of each point: its own print where it has no link
     rooted = member.join(points, member["node"] == points["fp"]).select("node", "root", "first")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    linked = salted_join(rooted.select("node", "root"), smallest, ["root"], ["node"], null_safe=True).select(
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("rows"))
+    linked = salted_join(rooted.select("node", "root"), smallest, ["root"], ["node"], null_safe=True, weight="rows").select(
         F.col("node").alias("fp"), "component")
     alone = points.filter("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component"))
     out = salted_join(prints, linked.union(alone), ["fp"], ["doc_id"], how="left", null_safe=True)

@@ -121,7 +121,7 @@ def copies(texts: DataFrame) -> DataFrame:
     marks = texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("size"))
     firsts = marks.groupBy("th", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    later = salted_join(marks, firsts.drop("rows"), ["th", "size"], ["doc_id"], null_safe=True).filter("doc_id > first")
+    later = salted_join(marks, firsts, ["th", "size"], ["doc_id"], null_safe=True, weight="rows").filter("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set("th").alias("copied"))
 
 

@@ -83,8 +83,8 @@ def roles(pages: DataFrame, at_least: int = REVISIT_BYTES) -> DataFrame:
     key = ["sha2", "sha1", "size"]
     # written, so that its size is known before the payloads are planned
     shared = materialize(rows.groupBy(*key).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter(
-        (F.col("n") > 1) & (F.col("size") >= at_least)).drop("n"), "warc-shared")
-    met = salted_join(rows, shared, key, ["page_id", "url"], how="left")
+        (F.col("n") > 1) & (F.col("size") >= at_least)), "warc-shared")
+    met = salted_join(rows, shared, key, ["page_id", "url"], how="left", weight="n")
     return met.select("page_id", "url", "payload", "size", "sha1", F.when(
         F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
 
