@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import common as cm
 from tidewater.operators import graph as gr
+from tidewater.operators import neighbours as nb
 
 
 @contextlib.contextmanager
@@ -123,3 +124,90 @@ def test_sparse_scores_and_missing_ones(spark):
         "score": F.when(j("f") < 3, j("f") * 1000)}, "v").collect()}
     assert got[0] == pytest.approx(2.0) and got[1] is None and got[2] is None and got[3] is None
     assert np.isfinite(got[0])
+
+
+# ------------------------------------------------------------ nearest neighbours
+POINTS = "cloud int, point_id long, x double, y double"
+
+
+def cloud_of(spark, xy, cloud=0, first=0):
+    return spark.createDataFrame([(cloud, first + i, float(x), float(y)) for i, (x, y) in enumerate(xy)], POINTS)
+
+
+def brute_knn(q, p, k, include_self=True, periodic=False):
+    """(qid, rank) -> (nid, d2) of (id, x, y) rows."""
+    out = {}
+    ids, xy = np.array([i for i, _, _ in p]), np.array([(x, y) for _, x, y in p])
+    for qid, qx, qy in q:
+        d = np.abs(xy - (qx, qy))
+        if periodic:
+            d = np.minimum(d, 1 - d)
+        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]
+        order = [j for j in np.lexsort((ids, d2)) if include_self or ids[j] != qid][:k]
+        for rank, j in enumerate(order, 1):
+            out[qid, rank] = (int(ids[j]), float(d2[j]))
+    return out
+
+
+def found(df):
+    return {(r["qid"], r["rank"]): (r["nid"], r["d2"]) for r in df.collect()}
+
+
+def test_knn_dense_cluster_with_outliers_sees_few_points(spark):
+    """20,000 points within 1e-3 and 200 far ones: no query, in the cluster or
+    far from it, is compared with 50 points; nothing stays cached."""
+    rng = np.random.default_rng(3)
+    xy = np.vstack([rng.normal(0.5, 1e-4, (20_000, 2)), rng.uniform(0, 1, (200, 2))])
+    pts = cloud_of(spark, xy).repartition(8)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = nb.knn(pts, pts, 4, with_candidates=True)
+    stats = got.agg(F.max("candidates").alias("most"), F.avg("candidates").alias("mean"), F.count("*").alias("n")).first()
+    assert stats["n"] == 4 * 20_200 and stats["most"] < 50 and stats["mean"] < 15
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    rows = list(zip(range(len(xy)), xy[:, 0], xy[:, 1], strict=True))
+    some = {i for i in range(0, 20_000, 997)} | set(range(20_000, 20_200, 7))
+    assert found(got.where(F.col("qid").isin(sorted(some)))) == brute_knn([r for r in rows if r[0] in some], rows, 4)
+
+
+def test_knn_of_other_queries_several_clouds(spark):
+    """Queries that are no points, outside the cloud's box too; a cloud of one
+    point, one on a line, one without queries and one without points."""
+    rng = np.random.default_rng(8)
+    clouds = {1: rng.uniform(-5, 9, (300, 2)), 2: rng.normal(0, 1, (1, 2)), 3: np.column_stack([np.linspace(0, 1, 120), np.zeros(120)]),
+              4: rng.uniform(0, 1, (30, 2)), 6: np.vstack([rng.normal(c, 10.0 ** -c, (90, 2)) for c in range(1, 7)])}
+    asked = {1: rng.uniform(-20, 20, (80, 2)), 2: rng.uniform(-1, 1, (4, 2)), 3: rng.uniform(-1, 2, (40, 2)), 5: rng.uniform(0, 1, (3, 2)),
+             6: rng.uniform(0, 7, (60, 2))}
+    points = spark.createDataFrame([(c, i, float(x), float(y)) for c, xy in clouds.items() for i, (x, y) in enumerate(xy)], POINTS)
+    queries = spark.createDataFrame([(c, 1000 + i, float(x), float(y)) for c, xy in asked.items() for i, (x, y) in enumerate(xy)], POINTS)
+    got = nb.knn(queries, points, 7)
+    for c in (1, 2, 3, 6):
+        p = [(i, x, y) for i, (x, y) in enumerate(clouds[c])]
+        q = [(1000 + i, x, y) for i, (x, y) in enumerate(asked[c])]
+        assert found(got.where(F.col("cloud") == c)) == brute_knn(q, p, 7)
+    assert got.where("cloud IN (4, 5)").count() == 0
+
+
+@pytest.mark.parametrize("include_self", [True, False])
+def test_knn_on_the_torus(spark, include_self):
+    rng = np.random.default_rng(14)
+    xy = np.vstack([rng.uniform(0, 1, (150, 2)), rng.normal(0, 1e-3, (150, 2)) % 1.0, rng.uniform(0.999, 1, (20, 2))])
+    pts = cloud_of(spark, xy)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    got, want = found(nb.knn(pts, pts, 6, include_self=include_self, periodic=True)), brute_knn(rows, rows, 6, include_self, True)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+
+
+def test_knn_piles_and_missing_positions(spark):
+    """Piles of equal points beside others at the edge of what a double tells
+    apart; null and NaN positions take no part; an empty table."""
+    rng = np.random.default_rng(2)
+    xy = [(0.3, 0.3)] * 400 + [(np.nextafter(0.3, 1), 0.3)] * 300 + [(0.7, 0.7)] * 50 + [tuple(v) for v in rng.uniform(0, 1, (50, 2))]
+    ids = rng.permutation(len(xy))
+    rows = [(int(i), float(x), float(y)) for i, (x, y) in zip(ids, xy, strict=True)]
+    gone = [(0, 5000, None, 0.1), (0, 5001, float("nan"), 0.1), (0, 5002, 0.2, None)]
+    pts = spark.createDataFrame([(0, *r) for r in rows] + gone, POINTS)
+    for include_self in (True, False):
+        got = nb.knn(pts, pts, 5, include_self=include_self, with_candidates=True)
+        assert found(got) == brute_knn(rows, rows, 5, include_self)
+        assert got.agg(F.max("candidates")).first()[0] < 60
+    assert nb.knn(pts.limit(0), pts.limit(0), 3).count() == 0 and nb.knn(pts.limit(0), pts, 3).count() == 0

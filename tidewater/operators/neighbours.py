@@ -19,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators import quadtree as qt
 from tidewater.operators.common import BROADCAST_MAX_ROWS, salted_join
 from tidewater.operators.common import materialize as write_table
 
@@ -107,95 +108,38 @@ def _block(periodic: bool) -> Column:
 
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("cloud",),
         qid: str = "point_id", pid: str = "point_id", x: str = "x", y: str = "y",
-        include_self: bool = True, periodic: bool = False, with_round: bool = False) -> DataFrame:
+        include_self: bool = True, periodic: bool = False, with_candidates: bool = False) -> DataFrame:
     """JN5 / JN9: the ``k`` nearest points of every query in the same cloud.
 
     Returns ``(by..., qid, nid, rank, d2)`` with rank 1..k ordered by (squared
     distance, point id). ``include_self`` keeps the point with the query's own
     id (the reference's behaviour); ``periodic`` measures on the unit torus
-    (minimum image, cells wrap). Fewer than k rows only when the cloud has
-    fewer than k eligible points. ``with_round`` adds the round that settled
-    each query (for diagnostics).
-
-    Round L searches the 3 x 3 block of cells of side h 4^L around the query:
-    a query is settled once its k-th distance is below h 4^L (nothing outside
-    the block can be closer); the rest go to round L + 1. The last round's
-    block covers the whole cloud, so every query is settled exactly. Queries
-    in dense cells start at finer levels (L < 0, from a per-cell count), so
-    a tight cluster inside a wide cloud still sees about k candidates per
-    cell rather than the whole cluster. Only two tiny aggregates run while
-    the plan is built.
+    (minimum image, positions in [0, 1)). Fewer than k rows only when the cloud
+    has fewer than k eligible points; ids must be unique in a cloud and among
+    its queries. ``with_candidates`` adds the number of points a query was
+    compared with.
+
+    Exact, by a quadtree of counts (:mod:`tidewater.operators.quadtree`): a
+    group of queries descends the tree with an upper bound of its k-th distance
+    taken from the counts, and only points of cells below that bound are
+    compared. An outlier beside a dense cluster meets the cluster's nearest
+    cells, not the cluster.
     """
     by = list(by)
-    stats = cloud_stats(points, by, k, x, y, periodic, queries=queries).persist(StorageLevel.MEMORY_AND_DISK)
-    q0 = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
-    q0 = q0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by)
-    p0 = points.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
-    p0 = p0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by).persist(StorageLevel.MEMORY_AND_DISK)
-    # density per base cell: a query in a cell holding c points starts
-    # ceil(log_{STEP^2}(c / k)) levels finer, where its cells hold about k points
-    dens = (_level_cells(p0, "_nx", "_ny", 0, periodic, "_b").groupBy(*by, "_bcx", "_bcy")
-            .agg(F.count(F.lit(1)).alias("_cnt")))
-    refine = F.least(F.ceil(F.log(float(STEP * STEP), F.greatest(F.col("_cnt") / float(max(k, 1)), F.lit(1.0)))),
-                     F.lit(MAX_REFINE)).cast("int")
-    dens = dens.select(*by, "_bcx", "_bcy", refine.alias("_ref"))
-    # loop bounds and the largest location multiplicity, from one small job
-    mult = _max_multiplicity(points, by, x, y)
-    bounds = (stats.select(F.lit(0).alias("_w"), _levels_expr(periodic).cast("long").alias("_v"))
-                   .unionByName(dens.select(F.lit(1).alias("_w"), F.col("_ref").cast("long").alias("_v")))
-                   .unionByName(mult.select(F.lit(2).alias("_w"), F.col("_m").cast("long").alias("_v")))
-                   .groupBy("_w").agg(F.max("_v").alias("_v")).collect())
-    got = {r["_w"]: int(r["_v"] or 0) for r in bounds}
-    levels, down = got.get(0, 0), got.get(1, 0)
-    keep = k + (0 if include_self else 1)
-    if got.get(2, 0) > keep:
-        # many points at one location: only the lowest ids there can be returned
-        thin = thin_coincident(points.select(*by, pid, x, y), keep, by, pid, x, y)
-        p0 = thin.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
-        p0 = p0.join(stats.select(*by, "_x0", "_y0", "_h", "_g"), by).persist(StorageLevel.MEMORY_AND_DISK)
-        dens = (_level_cells(p0, "_nx", "_ny", 0, periodic, "_b").groupBy(*by, "_bcx", "_bcy")
-                .agg(F.count(F.lit(1)).alias("_cnt")))
-        dens = dens.select(*by, "_bcx", "_bcy", refine.alias("_ref"))
-        down = int(dens.agg(F.max("_ref")).first()[0] or 0)
-    qb = _level_cells(q0, "_qx", "_qy", 0, periodic, "_b")
-    q0 = qb.join(dens, [*by, "_bcx", "_bcy"], "left").select(
-        *q0.columns, (-F.coalesce(F.col("_ref"), F.lit(0))).alias("_start"))
-    # read by every round (active and waiting queries): keep it
-    q0 = q0.persist(StorageLevel.MEMORY_AND_DISK)
-    qcols = [*by, "_qid", "_qx", "_qy", "_x0", "_y0", "_h", "_g", "_start"]
-    pending = q0
-    done: list[DataFrame] = []
-    wq = Window.partitionBy(*by, "_qid")
-    block = _block(periodic)
-    for level in range(-down, levels + 1):
-        active = pending.where(F.col("_start") <= level) if level < 0 else pending
-        waiting = pending.where(F.col("_start") > level) if level < 0 else None
-        q = _level_cells(active.select(*qcols), "_qx", "_qy", level, periodic, "_q")
-        q = q.select(*qcols, "_qhl", "_qgl", "_qcx", "_qcy", F.explode(block).alias("_t"))
-        p = _level_cells(p0, "_nx", "_ny", level, periodic, "_p").select(*by, "_nid", "_nx", "_ny", "_pcx", "_pcy")
-        cond = [q[b] == p[b] for b in by] + [q["_t.tx"] == p["_pcx"], q["_t.ty"] == p["_pcy"]]
-        if not include_self:
-            cond.append(q["_qid"] != p["_nid"])
-        j = q.join(p, cond, "left").select(*[q[c] for c in qcols], "_qhl", "_nid", "_nx", "_ny")
-        j = j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"), periodic))
-        r = j.withColumn("_rank", F.row_number().over(wq.orderBy(F.col("_d2").asc_nulls_last(), "_nid")))
-        r = r.where(F.col("_rank") <= k)
-        r = r.withColumn("_kept", F.count("_nid").over(wq)).withColumn("_dk", F.max("_d2").over(wq))
-        last = level == levels
-        settled = F.lit(True) if last else (F.col("_kept") == k) & (F.col("_dk") < F.col("_qhl") * F.col("_qhl"))
-        # referenced by this round's answer and by every later round: keep it
-        r = r.withColumn("_ok", settled).persist(StorageLevel.MEMORY_AND_DISK)
-        done.append(r.where(F.col("_ok") & F.col("_nid").isNotNull()).withColumn("_round", F.lit(level)))
-        if not last:
-            pending = r.where(~F.col("_ok") & (F.col("_rank") == 1)).select(*qcols)
-            if waiting is not None:
-                pending = pending.unionByName(waiting)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    extra = ["_round"] if with_round else []
-    return out.select(*by, F.col("_qid").alias("qid"), F.col("_nid").alias("nid"),
-                      F.col("_rank").cast("bigint").alias("rank"), F.col("_d2").alias("d2"), *extra)
+    need = k + (0 if include_self else 1)
+    tree = qt.build(points, by, pid, x, y, max(need, 4), need, periodic)
+    q = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy"))
+    j = qt.nearest_candidates(tree, q, need)
+    if not include_self:
+        j = j.where(F.col("_qid") != F.col("_nid"))
+    j = j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"), periodic))
+    w = Window.partitionBy(*by, "_qid")
+    r = j.withColumn("_rank", F.row_number().over(w.orderBy("_d2", "_nid")))
+    if with_candidates:
+        r = r.withColumn("candidates", F.count(F.lit(1)).over(w).cast("bigint"))
+    r = r.where(F.col("_rank") <= k)
+    return r.select(*by, F.col("_qid").alias("qid"), F.col("_nid").alias("nid"), F.col("_rank").cast("bigint").alias("rank"),
+                    F.col("_d2").alias("d2"), *(["candidates"] if with_candidates else []))
 
 
 def lowest_ids(df: DataFrame, keep: int, group: Sequence[str], pid: str = "point_id",
