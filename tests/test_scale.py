@@ -211,3 +211,63 @@ def test_knn_piles_and_missing_positions(spark):
         assert found(got) == brute_knn(rows, rows, 5, include_self)
         assert got.agg(F.max("candidates")).first()[0] < 60
     assert nb.knn(pts.limit(0), pts.limit(0), 3).count() == 0 and nb.knn(pts.limit(0), pts, 3).count() == 0
+
+
+# ------------------------------------------------------------ balls and pairs
+def brute_balls(q, p, radius, n):
+    out = {}
+    for qid, qx, qy in q:
+        hits = sorted(i for i, x, y in p if (x - qx) * (x - qx) + (y - qy) * (y - qy) <= radius ** 2)[:n]
+        for slot in range(n if hits else 1):
+            out[qid, slot] = (hits[slot] if slot < len(hits) else hits[0]) if hits else None
+    return out
+
+
+def test_balls_with_a_cluster_on_the_rim(spark):
+    """5,000 points in a cluster that the circles run through, and as many whole
+    inside others: equal to brute force at both scales, and no query meets more
+    than a few hundred of them."""
+    from tidewater.operators import quadtree as qt
+    rng = np.random.default_rng(6)
+    xy = np.vstack([rng.normal(0.5, 0.004, (5_000, 2)), rng.uniform(0, 1, (200, 2))])
+    ids = rng.permutation(len(xy))
+    rows = [(int(i), float(x), float(y)) for i, (x, y) in zip(ids, xy, strict=True)]
+    pts = spark.createDataFrame([(0, *r) for r in rows], POINTS).repartition(8)
+    asked = [(10_000 + i, 0.5 + 0.1 * math.cos(i), 0.5 + 0.1 * math.sin(i)) for i in range(60)] + [
+        (20_000 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.2, 1.2, (60, 2)))] + [(30_000, None, 0.5)]
+    queries = spark.createDataFrame([(0, *r) for r in asked], POINTS)
+    scales = [(0.1, 16), (0.25, 5)]
+    got = nb.multi_scale_group(queries, pts, scales).collect()
+    placed = [r for r in asked if r[1] is not None]
+    for i, (radius, n) in enumerate(scales):
+        mine = {(r["qid"], r["slot"]): r["nid"] for r in got if r["scale"] == i}
+        assert mine == brute_balls(placed, rows, radius, n) | {(30_000, 0): None}
+    tree = qt.build(pts, ["cloud"], "point_id", "x", "y", nb.BALL_CAPACITY, 16)
+    q = queries.selectExpr("cloud", "point_id AS _qid", "x AS _qx", "y AS _qy")
+    most = qt.candidates(tree, q, qt.lowest_in_balls(scales[:1]), "t").groupBy("_qid").count().agg(F.max("count")).first()[0]
+    assert most < 300
+
+
+def test_balls_on_piles(spark):
+    rows = [(i, 0.25, 0.25) for i in range(0, 900, 3)] + [(i, 0.25 + i * 1e-5, 0.25) for i in range(1, 900, 3)]
+    pts = spark.createDataFrame([(0, *r) for r in rows], POINTS)
+    got = {(r["qid"], r["slot"]): r["nid"] for r in nb.ball_query(pts.where("point_id < 30"), pts, 0.004, 6).collect()}
+    assert got == brute_balls([r for r in rows if r[0] < 30], rows, 0.004, 6)
+    assert nb.ball_query(pts.limit(0), pts, 0.1, 2).count() == 0
+    assert [tuple(r) for r in nb.ball_query(pts.where("point_id = 0"), pts.limit(0), 0.1, 2).collect()] == [(0, 0, 0, None)]
+
+
+def test_pairs_of_a_crowded_cell_are_dealt(spark):
+    """Half of the points in one cell: the same pairs as brute force, and no task
+    makes more than a few percent of them."""
+    rng = np.random.default_rng(10)
+    xy = np.vstack([rng.uniform(0.51, 0.54, (1_200, 2)), rng.uniform(0, 1, (1_200, 2))])
+    pts = cloud_of(spark, xy).repartition(4)
+    d = xy[:, None, :] - xy[None, :, :]
+    want = int(((d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1]) <= 0.05 ** 2).sum())
+    with no_broadcast(spark):
+        j = nb.radius_pairs(pts, pts, 0.05, block=100)
+        tasks = per_task(j)
+        assert sum(tasks) == want > 1_200 ** 2 * 0.9 and max(tasks) < 0.08 * want
+        assert j.select("qid", "nid").distinct().count() == want
+    assert nb.radius_pairs(pts, pts, 0.05).count() == want

@@ -2,13 +2,10 @@
 pairs, farthest-point sampling and the compositions built on them.
 
 Points are rows ``(by..., id, x, y, ...)``. No search compares all pairs of a
-cloud: points are bucketed into square cells per cloud (cell side chosen so
-that a cell holds about ``k`` points) and a query is joined only with the
-3 x 3 block of cells around its own cell (equi-join on ``(by, cell)``). A
-kNN answer is exact once its k-th distance is below the cell side; queries
-that are not settled go to the next round with cells four times as wide,
-until a block spans the cloud. Candidate groups are per query, so a large cloud is
-spread over all tasks.
+cloud: kNN and ball queries descend a quadtree
+(:mod:`tidewater.operators.quadtree`), radius pairs meet in cells of that
+radius. Candidates are keyed by cell and query, so a large cloud is spread over
+all tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +20,11 @@ from tidewater.operators import quadtree as qt
 from tidewater.operators.common import BROADCAST_MAX_ROWS, salted_join
 from tidewater.operators.common import materialize as write_table
 
+#: Points of one leaf in the tree of a ball query.
+BALL_CAPACITY = 8
+#: Rows of one side of a block pair in a crowded cell of a radius join.
+PAIR_BLOCK = 4096
+
 
 def _sqdist(ax: Column, ay: Column, bx: Column, by_: Column, periodic: bool = False) -> Column:
     dx, dy = F.abs(ax - bx), F.abs(ay - by_)
@@ -36,76 +38,6 @@ def pairwise_sqdist(a: Column, b: Column, ax: str = "x", ay: str = "y", bx: str
     return _sqdist(a[ax], a[ay], b[bx], b[by_])
 
 
-def cloud_stats(points: DataFrame, by: Sequence[str], k: int, x: str = "x", y: str = "y",
-                periodic: bool = False, queries: DataFrame | None = None) -> DataFrame:
-    """Per cloud: bounding box (of points and queries), point count and the
-    base cell side ``_h`` (about ``k`` points per cell). On the unit torus
-    the side divides 1 exactly (``_g`` cells per axis)."""
-    by = list(by)
-    pos = points.select(*by, F.col(x).alias("_px"), F.col(y).alias("_py"), F.lit(1).alias("_isp"))
-    if queries is not None:
-        pos = pos.unionByName(queries.select(*by, F.col(x).alias("_px"), F.col(y).alias("_py"),
-                                             F.lit(0).alias("_isp")))
-    s = pos.groupBy(*by).agg(F.min("_px").alias("_x0"), F.max("_px").alias("_x1"),
-                             F.min("_py").alias("_y0"), F.max("_py").alias("_y1"),
-                             F.sum("_isp").alias("_n"))
-    ex = F.greatest(F.col("_x1") - F.col("_x0"), F.lit(1e-9))
-    ey = F.greatest(F.col("_y1") - F.col("_y0"), F.lit(1e-9))
-    n = F.greatest(F.col("_n"), F.lit(1))
-    h = F.sqrt(ex * ey * F.lit(float(max(k, 1))) / n)
-    h = F.greatest(h, F.greatest(ex, ey) * F.lit(float(max(k, 1))) / n / 8, F.lit(1e-9))
-    if periodic:
-        g = F.greatest(F.floor(F.lit(1.0) / h), F.lit(1))
-        return s.select(*by, F.lit(0.0).alias("_x0"), F.lit(0.0).alias("_y0"), "_n",
-                        (F.lit(1.0) / g).alias("_h"), g.cast("bigint").alias("_g"), F.lit(1.0).alias("_ext"))
-    return s.select(*by, "_x0", "_y0", "_n", h.alias("_h"), F.lit(None).cast("bigint").alias("_g"),
-                    F.greatest(ex, ey).alias("_ext"))
-
-
-def _levels_expr(periodic: bool) -> Column:
-    """Coarsening levels until a 3 x 3 block of cells covers the cloud."""
-    if periodic:
-        return F.ceil(F.log(float(STEP), F.greatest(F.col("_g") / 3.0, F.lit(1.0))))
-    return F.ceil(F.log(float(STEP), F.greatest(F.col("_ext") / F.col("_h"), F.lit(1.0))))
-
-
-def _level_cells(df: DataFrame, x: str, y: str, level: int, periodic: bool, prefix: str) -> DataFrame:
-    """Cell side ``h * STEP^level`` (on the torus: ``1 / floor(g /
-    STEP^level)``), ``level`` may be negative (finer cells), and the cell of
-    (x, y) at that side."""
-    if periodic:
-        if level >= 0:
-            g = F.greatest(F.floor(F.col("_g") / F.lit(float(STEP ** level))), F.lit(1)).cast("bigint")
-        else:
-            g = (F.col("_g") * F.lit(STEP ** -level)).cast("bigint")
-        hl = F.lit(1.0) / g
-    else:
-        g = F.lit(None).cast("bigint")
-        hl = F.col("_h") * F.lit(float(STEP) ** level)
-    df = df.withColumn(f"{prefix}gl", g).withColumn(f"{prefix}hl", hl)
-    cx = F.floor((F.col(x) - F.col("_x0")) / F.col(f"{prefix}hl")).cast("bigint")
-    cy = F.floor((F.col(y) - F.col("_y0")) / F.col(f"{prefix}hl")).cast("bigint")
-    if periodic:
-        cx, cy = F.pmod(cx, F.col(f"{prefix}gl")), F.pmod(cy, F.col(f"{prefix}gl"))
-    return df.withColumn(f"{prefix}cx", cx).withColumn(f"{prefix}cy", cy)
-
-
-_RING = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-STEP = 4         # cell side grows (or shrinks) by this factor per level
-MAX_REFINE = 6   # at most STEP^6 finer than the average-density cell side
-
-
-def _block(periodic: bool) -> Column:
-    """Target cells of the 3 x 3 block around the query cell (distinct, so a
-    torus with fewer than 3 cells per axis is not visited twice)."""
-    cells = [F.struct(F.col("_qcx") + dx, F.col("_qcy") + dy) for dx, dy in _RING]
-    if periodic:
-        cells = [F.struct(F.pmod(F.col("_qcx") + dx, F.col("_qgl")), F.pmod(F.col("_qcy") + dy, F.col("_qgl")))
-                 for dx, dy in _RING]
-    arr = F.array(*[F.struct(c.getField("col1").alias("tx"), c.getField("col2").alias("ty")) for c in cells])
-    return F.array_distinct(arr) if periodic else arr
-
-
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("cloud",),
         qid: str = "point_id", pid: str = "point_id", x: str = "x", y: str = "y",
         include_self: bool = True, periodic: bool = False, with_candidates: bool = False) -> DataFrame:
@@ -129,7 +61,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = ("clo
     need = k + (0 if include_self else 1)
     tree = qt.build(points, by, pid, x, y, max(need, 4), need, periodic)
     q = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy"))
-    j = qt.nearest_candidates(tree, q, need)
+    j = qt.candidates(tree, q, qt.within_kth(need, periodic), "knn")
     if not include_self:
         j = j.where(F.col("_qid") != F.col("_nid"))
     j = j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"), periodic))
@@ -159,164 +91,80 @@ def lowest_ids(df: DataFrame, keep: int, group: Sequence[str], pid: str = "point
     return s2.where(F.col("_r") <= keep).drop("_salt", "_r")
 
 
-def thin_coincident(points: DataFrame, keep: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",
-                    x: str = "x", y: str = "y", salts: int = 64) -> DataFrame:
-    """Keep only the ``keep`` lowest ids at every exact location: points at
-    one location are equidistant from any query and ties are broken by id,
-    so no neighbour search can return more than those."""
-    return lowest_ids(points, keep, [*by, x, y], pid, salts)
-
-
-def _max_multiplicity(points: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Points per exact location (partial + final aggregate)."""
-    return points.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_m"))
-
-
-def _prepare(queries: DataFrame, points: DataFrame, by: list[str], qid: str, pid: str,
-             x: str, y: str, stats: DataFrame):
-    pts = points.select(*by, F.col(pid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"))
-    pts = pts.join(stats, by)
-    pts = pts.select(*by, "_nid", "_nx", "_ny",
-                     F.floor((F.col("_nx") - F.col("_x0")) / F.col("_h")).cast("bigint").alias("_cx"),
-                     F.floor((F.col("_ny") - F.col("_y0")) / F.col("_h")).cast("bigint").alias("_cy"))
-    q = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).alias("_qx"), F.col(y).alias("_qy"))
-    q = q.join(stats, by)
-    q = q.select(*by, "_qid", "_qx", "_qy",
-                 F.floor((F.col("_qx") - F.col("_x0")) / F.col("_h")).cast("bigint").alias("_qcx"),
-                 F.floor((F.col("_qy") - F.col("_y0")) / F.col("_h")).cast("bigint").alias("_qcy"))
-    return q, pts
-
-
-def _radius_candidates(q: DataFrame, pts: DataFrame, by: list[str], radius: float) -> DataFrame:
-    """Pairs within ``radius``: cells of side ``radius``, 3 x 3 block."""
-    ex = q.select("*", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                                           for dx, dy in _RING])).alias("_o"))
-    ex = ex.select(*by, "_qid", "_qx", "_qy", (F.col("_qcx") + F.col("_o.dx")).alias("_tcx"),
-                   (F.col("_qcy") + F.col("_o.dy")).alias("_tcy"))
-    j = ex.join(pts, [*[ex[b] == pts[b] for b in by], ex["_tcx"] == pts["_cx"], ex["_tcy"] == pts["_cy"]])
-    j = j.select(*[ex[b] for b in by], "_qid", "_qx", "_qy", "_nid", "_nx", "_ny")
+def multi_scale_group(queries: DataFrame, points: DataFrame, scales: Sequence[tuple[float, int]],
+                      by: Sequence[str] = ("cloud",), qid: str = "point_id", pid: str = "point_id",
+                      x: str = "x", y: str = "y") -> DataFrame:
+    """JN7: for each (radius, nsample) scale the points with squared distance <=
+    radius^2, the ``nsample`` lowest ids, short lists padded with the first
+    (lowest-id) hit. Returns ``(by..., qid, slot, nid, scale)`` with slot
+    0..nsample-1 and the scale's place; a query with no hit gets one row with NULL
+    ``nid`` and slot 0. Query ids must be unique in a cloud.
+
+    All scales in one descent of a quadtree (:mod:`tidewater.operators.quadtree`)
+    that follows the lowest ids: cells out of reach are dropped, and so is a cell
+    whose lowest id is above enough ids that lie inside for sure. A cluster,
+    whole in the ball or across its rim, therefore costs a few cells."""
+    by = list(by)
+    tree = qt.build(points, by, pid, x, y, BALL_CAPACITY, max(n for _, n in scales))
+    q = queries.select(*by, F.col(qid).alias("_qid"), F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy"))
+    j = qt.candidates(tree, q, qt.lowest_in_balls(scales), "ball")
     j = j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny")))
-    return j.where(F.col("_d2") <= F.lit(float(radius) ** 2))
-
-
-DENSE_FACTOR = 8   # a radius-sized cell with more than DENSE_FACTOR * nsample points is dense
-FINE = 4           # sub-cell side = radius / FINE on the dense path
-
-
-def _fine_ball_candidates(q: DataFrame, pts: DataFrame, by: list[str], radius: float, nsample: int) -> DataFrame:
-    """Ball candidates for queries in dense neighbourhoods.
-
-    Sub-cells of side radius / FINE cover the ball's bounding square. A
-    sub-cell lying inside the ball (its farthest corner within the radius,
-    with a small margin against rounding) contributes only its ``nsample``
-    lowest ids, precomputed per sub-cell with a salted two-stage top-k; a
-    sub-cell crossing the circle contributes its points for an exact
-    distance test; sub-cells outside are skipped. Expects ``q`` with (by,
-    _qid, _qx, _qy, _x0, _y0) and ``pts`` with (by, _nid, _nx, _ny, _x0, _y0).
-    """
-    side = float(radius) / FINE
-    r2 = float(radius) ** 2
-    cell = lambda c, o: F.floor((F.col(c) - F.col(o)) / F.lit(side)).cast("bigint")
-    fp = pts.select(*by, "_nid", "_nx", "_ny", cell("_nx", "_x0").alias("_fx"), cell("_ny", "_y0").alias("_fy"))
-    top = lowest_ids(fp, nsample, [*by, "_fx", "_fy"], "_nid")  # nsample lowest ids per sub-cell
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                     for dx in range(-FINE, FINE + 1) for dy in range(-FINE, FINE + 1)])
-    ex = q.select(*by, "_qid", "_qx", "_qy", "_x0", "_y0",
-                  cell("_qx", "_x0").alias("_qfx"), cell("_qy", "_y0").alias("_qfy"), F.explode(offs).alias("_o"))
-    ex = ex.select(*by, "_qid", "_qx", "_qy", (F.col("_qfx") + F.col("_o.dx")).alias("_tx"),
-                   (F.col("_qfy") + F.col("_o.dy")).alias("_ty"),
-                   (F.col("_x0") + (F.col("_qfx") + F.col("_o.dx")) * side).alias("_lx"),
-                   (F.col("_y0") + (F.col("_qfy") + F.col("_o.dy")) * side).alias("_ly"))
-    near_x = F.greatest(F.col("_lx") - F.col("_qx"), F.lit(0.0), F.col("_qx") - F.col("_lx") - side)
-    near_y = F.greatest(F.col("_ly") - F.col("_qy"), F.lit(0.0), F.col("_qy") - F.col("_ly") - side)
-    far_x = F.greatest(F.col("_qx") - F.col("_lx"), F.col("_lx") + side - F.col("_qx"))
-    far_y = F.greatest(F.col("_qy") - F.col("_ly"), F.col("_ly") + side - F.col("_qy"))
-    ex = ex.where(near_x * near_x + near_y * near_y <= F.lit(r2 * (1 + 1e-9)))
-    ex = ex.withColumn("_in", far_x * far_x + far_y * far_y <= F.lit(r2 * (1 - 1e-9)))
-
-    def hits(cells: DataFrame, table: DataFrame) -> DataFrame:
-        j = cells.join(table, [*[cells[b] == table[b] for b in by], cells["_tx"] == table["_fx"],
-                               cells["_ty"] == table["_fy"]])
-        j = j.select(*[cells[b] for b in by], "_qid", "_qx", "_qy", "_nid", "_nx", "_ny")
-        d2 = _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"))
-        return j.withColumn("_d2", d2).where(F.col("_d2") <= F.lit(r2))
-
-    return hits(ex.where("_in"), top).unionByName(hits(ex.where(~F.col("_in")), fp))
+    table = F.array(*[F.struct(F.lit(i).cast("bigint").alias("scale"), F.lit(float(r) ** 2).alias("r2"), F.lit(n).alias("n"))
+                      for i, (r, n) in enumerate(scales)])
+    j = j.select(*by, "_qid", "_nid", F.explode(F.filter(table, lambda s: F.col("_d2") <= s["r2"])).alias("_s"))
+    w = Window.partitionBy(*by, "_qid", "_s.scale").orderBy("_nid")
+    j = j.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_s.n"))
+    lists = j.groupBy(*by, "_qid", F.col("_s.scale").alias("scale")).agg(F.array_sort(F.collect_list("_nid")).alias("_ids"))
+    every = q.select(*by, "_qid", F.explode(table).alias("_s")).select(*by, "_qid", F.col("_s.scale").alias("scale"), F.col("_s.n").alias("_ns"))
+    full = every.join(lists, [*by, "_qid", "scale"], "left")
+    slots = F.transform(F.sequence(F.lit(0), F.col("_ns") - 1), lambda i: F.coalesce(F.get("_ids", i), F.get("_ids", F.lit(0))))
+    none = F.array(F.lit(None).cast(points.schema[pid].dataType))
+    out = full.select(*by, F.col("_qid").alias("qid"), "scale", F.posexplode(F.when(F.col("_ids").isNull(), none).otherwise(slots)).alias("slot", "nid"))
+    return out.select(*by, "qid", F.col("slot").cast("bigint").alias("slot"), "nid", "scale")
 
 
 def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: int,
                by: Sequence[str] = ("cloud",), qid: str = "point_id", pid: str = "point_id",
                x: str = "x", y: str = "y") -> DataFrame:
-    """JN6: points with squared distance <= radius^2, the ``nsample`` lowest
-    ids, short lists padded with the first (lowest-id) hit. Returns
-    ``(by..., qid, slot, nid)`` with slot 0..nsample-1; a query with no hit
-    gets one row with NULL ``nid`` and slot 0.
-
-    Cells have side ``radius`` so the 3 x 3 ring holds the whole ball: one
-    exact round. Queries next to a dense cell (more than DENSE_FACTOR *
-    nsample points, from a per-cell count) take the sub-cell path of
-    :func:`_fine_ball_candidates`, where sub-cells inside the ball contribute
-    only their nsample lowest ids; coincident points are thinned first."""
-    by = list(by)
-    # only the nsample lowest ids at one location can enter a ball's list
-    if (_max_multiplicity(points, by, x, y).agg(F.max("_m")).first()[0] or 0) > nsample:
-        points = thin_coincident(points.select(*by, pid, x, y), nsample, by, pid, x, y)
-    stats = cloud_stats(points, by, 1, x, y).withColumn("_h", F.lit(float(radius)))
-    q, pts = _prepare(queries, points, by, qid, pid, x, y, stats)
-    # cells next to a dense cell: the 3 x 3 dilation of the dense cells
-    dense = (pts.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") > DENSE_FACTOR * nsample))
-    near = (dense.select(*by, F.explode(F.array(*[F.struct((F.col("_cx") + dx).alias("_qcx"),
-                                                             (F.col("_cy") + dy).alias("_qcy"))
-                                                   for dx, dy in _RING])).alias("_c"))
-                 .select(*by, "_c._qcx", "_c._qcy").distinct().withColumn("_dense", F.lit(True)))
-    if dense.isEmpty():
-        # no dense cell anywhere: every query takes the plain 3 x 3 path
-        cand = _radius_candidates(q, pts, by, radius).select(*by, "_qid", "_nid")
-    else:
-        q = q.join(near, [*by, "_qcx", "_qcy"], "left")
-        sparse_q = q.where(F.col("_dense").isNull()).drop("_dense")
-        dense_q = q.where(F.col("_dense")).drop("_dense")
-        cand = _radius_candidates(sparse_q, pts, by, radius)
-        xy0 = stats.select(*by, "_x0", "_y0")
-        fine = _fine_ball_candidates(dense_q.join(xy0, by), pts.join(xy0, by), by, radius, nsample)
-        cand = cand.select(*by, "_qid", "_nid").unionByName(fine.select(*by, "_qid", "_nid"))
-    w = Window.partitionBy(*by, "_qid")
-    hits = (cand.withColumn("_rank", F.row_number().over(w.orderBy("_nid"))).where(F.col("_rank") <= nsample)
-                .withColumn("_cnt", F.count(F.lit(1)).over(w))
-                .withColumn("_first", F.min("_nid").over(w)))
-    # pad: slots cnt..nsample-1 repeat the first hit
-    pads = (hits.where(F.col("_rank") == 1)
-                .select(*by, "_qid", "_first", F.explode(F.sequence(F.col("_cnt"), F.lit(nsample - 1))).alias("_slot"))
-                .where((F.col("_slot") >= F.col("_cnt")) & (F.col("_slot") < nsample))
-                .select(*by, "_qid", F.col("_slot").cast("bigint").alias("slot"), F.col("_first").alias("nid")))
-    real = hits.select(*by, "_qid", (F.col("_rank") - 1).cast("bigint").alias("slot"), F.col("_nid").alias("nid"))
-    empty = (q.select(*by, "_qid").join(hits.select(*by, "_qid"), [*by, "_qid"], "left_anti")
-              .select(*by, "_qid", F.lit(0).cast("bigint").alias("slot"), F.lit(None).cast("bigint").alias("nid")))
-    out = real.unionByName(pads).unionByName(empty)
-    return out.withColumnRenamed("_qid", "qid")
+    """JN6: :func:`multi_scale_group` of one scale -> ``(by..., qid, slot, nid)``."""
+    return multi_scale_group(queries, points, [(radius, nsample)], by, qid, pid, x, y).drop("scale")
 
 
 def radius_pairs(a: DataFrame, b: DataFrame, radius: float, by: Sequence[str] = ("cloud",),
-                 aid: str = "point_id", bid: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
+                 aid: str = "point_id", bid: str = "point_id", x: str = "x", y: str = "y",
+                 block: int = PAIR_BLOCK) -> DataFrame:
     """JN4: squared distance of every (a, b) pair in the same cloud within
-    ``radius`` -> (by..., qid, nid, d2). Bounded by the radius, never all pairs."""
-    by = list(by)
-    stats = cloud_stats(b, by, 1, x, y).withColumn("_h", F.lit(float(radius)))
-    q, pts = _prepare(a, b, by, aid, bid, x, y, stats)
-    cand = _radius_candidates(q, pts, by, radius)
-    return cand.select(*by, F.col("_qid").alias("qid"), F.col("_nid").alias("nid"), F.col("_d2").alias("d2"))
+    ``radius`` -> (by..., qid, nid, d2). Bounded by the radius, never all pairs.
 
-
-def multi_scale_group(queries: DataFrame, points: DataFrame, scales: Sequence[tuple[float, int]],
-                      by: Sequence[str] = ("cloud",), **kw) -> DataFrame:
-    """JN7: ball query for each (radius, nsample) scale; adds ``scale`` (0-based)."""
-    parts = [ball_query(queries, points, r, n, by, **kw).withColumn("scale", F.lit(i).cast("bigint"))
-             for i, (r, n) in enumerate(scales)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    Cells of side ``radius``, a 3 x 3 block of them around each ``a``. The pairs
+    of a crowded cell are their own size (n^2), so they are dealt: its points
+    and the queries that look into it are cut into blocks of about ``block``
+    rows by a hash of the id, and each pair of blocks is a key of its own. Only
+    the few crowded cells are counted into a table; others have one block."""
+    by = list(by)
+    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(radius))).cast("bigint")
+    ring = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    q = a.select(*by, F.col(aid).alias("_qid"), F.col(x).alias("_qx"), F.col(y).alias("_qy"), cell(x).alias("_hx"), cell(y).alias("_hy"))
+    q = q.select("*", F.explode(ring).alias("_o")).select(
+        *by, "_qid", "_qx", "_qy", (F.col("_hx") + F.col("_o.dx")).alias("_cx"), (F.col("_hy") + F.col("_o.dy")).alias("_cy"))
+    p = b.select(*by, F.col(bid).alias("_nid"), F.col(x).alias("_nx"), F.col(y).alias("_ny"), cell(x).alias("_cx"), cell(y).alias("_cy"))
+    key = [*by, "_cx", "_cy"]
+    counts = q.select(*key, F.lit(1).alias("_q"), F.lit(0).alias("_p")).unionByName(
+        p.select(*key, F.lit(0).alias("_q"), F.lit(1).alias("_p"))).groupBy(*key).agg(F.sum("_q").alias("_q"), F.sum("_p").alias("_p"))
+    # written, so that the joins know its size
+    crowded = write_table(counts.where((F.least("_q", "_p") > 0) & (F.greatest("_q", "_p") > block)).select(
+        *key, (F.col("_q") + F.col("_p")).alias("_rows"), F.ceil(F.col("_q") / block).cast("int").alias("_qs"),
+        F.ceil(F.col("_p") / block).cast("int").alias("_ps")), "crowded-cells")
+
+    def dealt(rows: DataFrame, own: str, other: str, row_id: str, out_own: str, out_other: str) -> DataFrame:
+        r = salted_join(rows, crowded, key, [row_id], how="left", weight="_rows")
+        r = r.withColumn(out_own, F.coalesce(F.pmod(F.xxhash64(row_id), F.col(own)), F.lit(0)).cast("int"))
+        r = r.withColumn(out_other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
+        return r.drop("_rows", "_qs", "_ps")
+
+    j = dealt(q, "_qs", "_ps", "_qid", "_qb", "_pb").join(dealt(p, "_ps", "_qs", "_nid", "_pb", "_qb"), [*key, "_qb", "_pb"])
+    j = j.withColumn("_d2", _sqdist(F.col("_qx"), F.col("_qy"), F.col("_nx"), F.col("_ny"))).where(F.col("_d2") <= F.lit(float(radius) ** 2))
+    return j.select(*by, F.col("_qid").alias("qid"), F.col("_nid").alias("nid"), F.col("_d2").alias("d2"))
 
 
 def multi_scale_knn(queries: DataFrame, points: DataFrame, sizes: Sequence[int],

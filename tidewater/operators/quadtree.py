@@ -1,8 +1,8 @@
 """Quadtree of counts over point clouds, and searches that descend it.
 
 Every cloud gets a tree of square cells, each a 4 x 4 split of the one above. A
-node holds how many points it has and their tight bounding box, so distance
-bounds are exact doubles of point coordinates. The tree is as deep as the points
+node holds how many points it has, their lowest id and their tight bounding box,
+so distance bounds are exact doubles of point coordinates. The tree is as deep as the points
 need: a cell with more than ``capacity`` points that are not all at one place is
 split again, down to the resolution of a double. A base level with a few points
 a cell comes from one aggregate; cells above it add those up, and only the
@@ -37,7 +37,7 @@ STEP = 2
 #: Deepest level that a search may start from: 256 cells a cloud.
 START = 4
 
-_NODE = ["_lvl", "_cx", "_cy", "_n", "_inner", "_x0", "_x1", "_y0", "_y1"]
+_NODE = ["_lvl", "_cx", "_cy", "_n", "_least", "_inner", "_x0", "_x1", "_y0", "_y1"]
 _KEY = ["_lvl", "_cx", "_cy"]
 
 
@@ -106,7 +106,8 @@ def build(points: DataFrame, by: Sequence[str], pid: str, x: str, y: str, capaci
     counted, leaves, depth = [], [], 0
     while True:
         here = _cells(pending, F.col("_base") + STEP * depth)
-        cells = here.groupBy(*by, *_KEY).agg(F.count(F.lit(1)).alias("_n"), *_boxes("_nx", "_nx", "_ny", "_ny"))
+        cells = here.groupBy(*by, *_KEY).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_nid").alias("_least"), *_boxes("_nx", "_nx", "_ny", "_ny"))
         spread = (F.col("_x0") < F.col("_x1")) | (F.col("_y0") < F.col("_y1"))
         crowded = F.col("_n") > capacity
         inner = crowded & spread & (F.col("_lvl") + STEP <= BITS)
@@ -153,8 +154,8 @@ def _above(cells: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     up = cells.join(stats.select(*by, "_base", "_first"), by).where("_base > _first")
     up = up.withColumn("_up", F.explode(F.expr(f"sequence({STEP}, _base - _first, {STEP})")))
     up = up.select(*by, (F.col("_lvl") - F.col("_up")).cast("int").alias("_lvl"), _shift("_cx", "_up").alias("_cx"),
-                   _shift("_cy", "_up").alias("_cy"), "_n", "_x0", "_x1", "_y0", "_y1")
-    return up.groupBy(*by, *_KEY).agg(F.sum("_n").alias("_n"), *_boxes()).withColumn("_inner", F.lit(True)).select(*by, *_NODE)
+                   _shift("_cy", "_up").alias("_cy"), "_n", "_least", "_x0", "_x1", "_y0", "_y1")
+    return up.groupBy(*by, *_KEY).agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), *_boxes()).withColumn("_inner", F.lit(True)).select(*by, *_NODE)
 
 
 # ---- distances between boxes
@@ -259,11 +260,31 @@ def within_kth(need: int, periodic: bool) -> Prune:
     return prune
 
 
-def nearest_candidates(tree: Quadtree, queries: DataFrame, need: int) -> DataFrame:
-    """(by..., queries' columns, _nid, _nx, _ny): for every query all points
-    that can be among its ``need`` nearest ones, the true ones included."""
-    prune = within_kth(need, tree.periodic)
-    found = prune(descend(tree, queries, prune, "knn"), POINT)
+def lowest_in_balls(scales: Sequence[tuple[float, int]]) -> Prune:
+    """Keeps the nodes that can hold one of the lowest ids inside a ball of one
+    of the (radius, number of ids) scales. Every node that lies inside for sure
+    puts its lowest id forward; a node whose own lowest id is above the wanted
+    number of those has nothing to add, wherever it lies."""
+    def prune(df: DataFrame, box: Sequence[str]) -> DataFrame:
+        def of_scale(radius: float, n: int) -> Callable[[Column], Column]:
+            r2 = float(radius) ** 2
+
+            def kept(c: Column) -> Column:
+                sure = F.array_sort(F.transform(F.filter(c, lambda v: v["hi"] <= r2), lambda v: v["least"]))
+                return _let(F.struct(F.get(sure, F.lit(n - 1)).alias("id")), lambda b: F.filter(
+                    c, lambda v: (v["lo"] <= r2) & (b["id"].isNull() | (v["least"] <= b["id"]))))
+            return kept
+
+        near = with_distances(F.col("_cand"), box, False)
+        kept = _let(near, lambda c: F.array_distinct(F.concat(*[of_scale(r, n)(c) for r, n in scales])))
+        return df.withColumn("_cand", F.transform(kept, lambda n: n.dropFields("lo", "hi").withField("open", n["inner"])))
+    return prune
+
+
+def candidates(tree: Quadtree, queries: DataFrame, prune: Prune, name: str) -> DataFrame:
+    """(by..., queries' columns, _nid, _nx, _ny): for every query the points of
+    the leaves that ``prune`` leaves it."""
+    found = prune(descend(tree, queries, prune, name), POINT)
     cells = found.select(*queries.columns, F.explode("_cand").alias("_c")).select(
         *queries.columns, F.col("_c.lvl").alias("_lvl"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
     return cells.join(tree.leaves, [*tree.by, *_KEY]).drop(*_KEY)
