@@ -23,10 +23,10 @@ def test_no_cartesian_or_nested_loop(spark, name):
 
 
 def test_leaderboard_scan_is_pruned_and_filtered(spark):
-    df = QUERIES["agg3_pivot_metric"](spark, SF_SMALL)
+    df = QUERIES["agg7_domain_gap"](spark, SF_SMALL)
     text = df._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,A)" in text
-    assert "ReadSchema: struct<l_partkey:bigint,l_discount:double,l_returnflag:string,l_linestatus:string>" in text
+    assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,N)" in text
+    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_returnflag:string,l_linestatus:string>" in text
 
 
 def test_windows_are_assembled_per_block_not_per_trajectory(spark):

@@ -30,6 +30,33 @@ def test_null_nan_and_value_ranks(spark):
     assert r == {"a": 1000, "b": 1000, "c": 0}
 
 
+def test_missing_cells_get_the_sentinel_in_every_table(spark):
+    """A (model, domain) without a run in one column: ranked last there, counted
+    in its mean rank, listed by the audit."""
+    rows = [(m, "grid", e, "low", v) for m, e, v in [("a", "E", 1.0), ("b", "E", 2.0), ("a", "F", 5.0), ("c", "F", 4.0), ("c", "E", 1.0)]]
+    df = spark.createDataFrame(rows, "model string, domain string, equation string, resolution string, v double")
+    ranks = {(x.model, x.equation): x.rank for x in lb.rank_cells(df, "v").collect()}
+    assert ranks == {("a", "E"): 0, ("c", "E"): 0, ("b", "E"): 2, ("c", "F"): 0, ("a", "F"): 1, ("b", "F"): 1000}
+    mean = {x.model: x.mean_rank for x in lb.mean_rank(lb.rank_cells(df, "v")).collect()}
+    assert mean == {"a": 0.5, "b": 501.0, "c": 0.0}
+    gone = lb.missing_combinations(df, ["grid"], ["low"], ["a", "b", "c"], ["E", "F"], F.lit(False))
+    assert [(r.model, r.equation) for r in gone.collect()] == [("b", "F")]
+
+
+def test_patch_offset_counts_match_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, 0, i, *map(int, rng.integers(0, 40, 3))) for i in range(300)] + [(0, 1, i, 5, 5, i) for i in range(30)] + [(1, 0, 0, 1, 2, 3)]
+    p = spark.createDataFrame(rows, "batch int, patch long, pos long, ix int, iy int, iz int")
+    for bound in (0, 1, 4):
+        want = {}
+        for b, c, *_ in {(r[0], r[1]) for r in rows}:
+            pts = np.array([r[3:] for r in rows if r[:2] == (b, c)])
+            for a, axis in enumerate(("ix", "iy", "iz")):
+                d = np.clip(pts[:, None, a] - pts[None, :, a], -bound, bound) + bound
+                want.update({(b, c, axis, int(i)): int(n) for i, n in zip(*np.unique(d, return_counts=True), strict=True)})
+        assert {tuple(r)[:4]: r["pairs"] for r in pl.patch_offset_counts(p, bound).collect()} == want
+
+
 def test_tied_minimum_both_flagged_and_all_diverged(spark):
     df = spark.createDataFrame([("a", "grid", "E", "low", 0.5), ("b", "grid", "E", "low", 0.5),
                                 ("c", "grid", "E", "low", 0.7), ("d", "grid", "F", "low", 3.0),

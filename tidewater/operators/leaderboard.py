@@ -182,12 +182,13 @@ def best_mask(df: DataFrame, metric: str, by_domain: bool = True, limit: float =
 
 
 def ordered_sort(df: DataFrame, model_order: Sequence[str] = dims.MODEL_ORDER,
-                 domain_order: Sequence[str] = dims.DOMAIN_ORDER) -> DataFrame:
+                 domain_order: Sequence[str] = dims.DOMAIN_ORDER, by: Sequence[str] = ()) -> DataFrame:
     """WIN7: fixed category order (unlisted values last, then by name); adds
-    a 1-based ``position``. Meant for a finished leaderboard (bounded size)."""
+    a 1-based ``position``, within each ``by`` group if given. Meant for a
+    finished leaderboard (bounded size)."""
     dpos = dims.order_position("domain", list(domain_order))
     mpos = dims.order_position("model", list(model_order))
-    w = Window.orderBy(dpos, mpos, "domain", "model")
+    w = Window.partitionBy(*by).orderBy(dpos, mpos, "domain", "model")
     return df.withColumn("position", F.row_number().over(w).cast("bigint"))
 
 

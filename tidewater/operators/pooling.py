@@ -252,6 +252,35 @@ def patch_rel_pos(patched: DataFrame, bound: int, batch: str = "batch") -> DataF
                     clamp(F.col("ay") - F.col("by")).alias("ry"), clamp(F.col("az") - F.col("bz")).alias("rz"))
 
 
+def patch_offset_counts(patched: DataFrame, bound: int, batch: str = "batch",
+                        axes: Sequence[str] = ("ix", "iy", "iz")) -> DataFrame:
+    """JN12, as counts: how many ordered pairs of a patch have each clamped
+    offset on each axis -> (batch, patch, axis, index, pairs), index 0..2 bound
+    as in :func:`patch_rel_pos`: at most (2 bound + 1) rows for a patch and axis.
+
+    No pairs are made. A patch's coordinates on an axis are counted, and the
+    offsets inside the bound are the correlation of those counts with
+    themselves: each distinct coordinate meets only the 2 bound - 1 next to it.
+    What is left of the K^2 pairs is clamped, half of it on either side, since
+    every pair is there in both orders. Expects (batch, patch, axes...); a null
+    coordinate takes part in no pair of its axis."""
+    by = [batch, "patch", "axis"]
+    points = patched.select(batch, "patch", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("axis"), F.col(a).cast("bigint").alias("v")) for a in axes])).alias("_a"))
+    points = points.select(batch, "patch", F.col("_a.axis").alias("axis"), F.col("_a.v").alias("v")).where(F.col("v").isNotNull())
+    counts = points.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("h"))
+    total = points.groupBy(*by).agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("_all"))
+    near = counts.select(*by, "h", "v", F.explode(F.sequence(F.lit(1 - bound), F.lit(bound - 1))).alias("d")) if bound > 0 else None
+    if near is None:
+        return total.select(*by, F.lit(0).cast("bigint").alias("index"), F.col("_all").alias("pairs"))
+    other = counts.select(*by, F.col("v").alias("w"), F.col("h").alias("g"))
+    inside = near.withColumn("w", F.col("v") - F.col("d")).join(other, [*by, "w"]).groupBy(*by, "d").agg(F.sum(F.col("h") * F.col("g")).alias("pairs"))
+    clamped = inside.groupBy(*by).agg(F.sum("pairs").alias("_in")).join(total, by).withColumn(
+        "pairs", ((F.col("_all") - F.col("_in")) / 2).cast("bigint")).where("pairs > 0")
+    ends = clamped.select(*by, F.explode(F.array(F.lit(-bound), F.lit(bound))).alias("d"), "pairs")
+    return inside.unionByName(ends).select(*by, (F.col("d") + bound).cast("bigint").alias("index"), F.col("pairs").cast("bigint").alias("pairs"))
+
+
 def octree_rollup(coded: DataFrame, level: int, feats: Sequence[str], key: str = "key",
                   by: Sequence[str] = ("batch",)) -> DataFrame:
     """PC4: group points by the key prefix ``key >> 3 level``; count and mean

@@ -294,6 +294,20 @@ def relpos_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.patch_rel_pos(pt.join(vox_at, ["batch", "src_pos"]), 2)
 
 
+@register("jn12_patch_offset_counts", _sql("""
+SELECT batch, patch, axis, CAST(GREATEST(LEAST(d, 3), -3) + 3 AS BIGINT) AS index, CAST(COUNT(*) AS BIGINT) AS pairs FROM (
+  SELECT a.batch, a.patch, unnest(['ix', 'iy', 'iz']) AS axis, unnest([va.ix - vb.ix, va.iy - vb.iy, va.iz - vb.iz]) AS d
+  FROM pk a JOIN pk b ON a.batch = b.batch AND a.patch = b.patch
+  JOIN o va ON va.batch = a.batch AND va.pos = a.src_pos JOIN o vb ON vb.batch = b.batch AND vb.pos = b.src_pos) t
+GROUP BY 1, 2, 3, 4""", **_patch_sql(64)), ops=("JN12", "WIN15"))
+def relpos_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each patch of 64 points by clamped offset and axis, without the pairs."""
+    o = pl.serial_order(zcoded(spark, sf_dir), "code", ["batch"])
+    pt = pl.patches(o, 64)
+    vox_at = o.select("batch", F.col("pos").alias("src_pos"), "ix", "iy", "iz")
+    return pl.patch_offset_counts(pt.join(vox_at, ["batch", "src_pos"]), 3)
+
+
 # ------------------------------------------------------------ JN10
 _W = {(dx, dy, dz): 1.0 / (1 + abs(dx) + abs(dy) + abs(dz))
       for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)}

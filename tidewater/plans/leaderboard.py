@@ -10,7 +10,7 @@ from tidewater.functions import dims
 from tidewater.functions.numeric import fixed, fixed_sql
 from tidewater.operators import leaderboard as lb
 from tidewater.plans.registry import register
-from tidewater.plans.sql_views import GAP, with_views
+from tidewater.plans.sql_views import with_views
 from tidewater.sources.views import v_runs
 
 RES = dims.RUN_RESOLUTIONS
@@ -116,12 +116,13 @@ _PIVOT_COLS = ", ".join(
 
 
 @register("agg3_pivot_metric", _sql(f"""
-SELECT model, domain, {_PIVOT_COLS} FROM v_runs WHERE resolution = 'A' GROUP BY model, domain"""),
+SELECT resolution, model, domain, {_PIVOT_COLS} FROM v_runs GROUP BY resolution, model, domain"""),
           ops=("AGG3",))
 def pivot_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = v_runs(spark, sf_dir).where(F.col("resolution") == "A")
-    p = lb.pivot_metric(r, "loss1", EQS)
-    return p.select("model", "domain", *[fixed(e).alias(e) for e in EQS])
+    """The pivoted table of every resolution."""
+    index = ["resolution", "model", "domain"]
+    p = lb.pivot_metric(v_runs(spark, sf_dir), "loss1", EQS, index)
+    return p.select(*index, *[fixed(e).alias(e) for e in EQS])
 
 
 # ------------------------------------------------------------ AGG4
@@ -193,12 +194,11 @@ def limits_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ WIN1 / WIN2 / JN2 / WIN3 / WIN4
 _RANK_SQL = {
-    "got": f"SELECT * FROM v_runs WHERE NOT ({GAP})",
-    "rws": "SELECT DISTINCT resolution, model, domain FROM got",
-    "cls": "SELECT DISTINCT resolution, equation FROM got",
+    "rws": "SELECT DISTINCT resolution, model, domain FROM v_runs",
+    "cls": "SELECT DISTINCT resolution, equation FROM v_runs",
     "cells": """SELECT g.resolution, g.model, g.domain, g.equation, v.loss1 AS value
                 FROM (SELECT * FROM rws JOIN cls USING (resolution)) g
-                LEFT JOIN got v USING (resolution, model, domain, equation)""",
+                LEFT JOIN v_runs v USING (resolution, model, domain, equation)""",
     "rk": """SELECT *, CAST(CASE WHEN value IS NULL THEN 1000 ELSE
                  RANK() OVER (PARTITION BY resolution, equation ORDER BY value ASC NULLS LAST) - 1 END AS BIGINT) AS rank
              FROM cells""",
@@ -207,7 +207,7 @@ _RANK_SQL = {
 
 
 def _ranks(spark, sf_dir):
-    return lb.rank_cells(v_runs(spark, sf_dir).where(f"NOT ({GAP})"), "loss1")
+    return lb.rank_cells(v_runs(spark, sf_dir), "loss1")
 
 
 @register("win1_rank_cells", _sql(f"""
@@ -301,14 +301,15 @@ def _pos_sql(expr, order):
 
 
 @register("win7_ordered_sort", _sql(f"""
-SELECT model, domain, CAST(ROW_NUMBER() OVER (ORDER BY {_pos_sql('domain', dims.DOMAIN_ORDER)},
-                                                {_pos_sql('model', ORDER)}, domain, model) AS BIGINT) AS position
-FROM (SELECT DISTINCT model, CASE WHEN model IN ({_q(BASELINES)}) THEN 'baseline' ELSE domain END AS domain
-      FROM v_runs WHERE resolution = 'A') t"""), ops=("WIN7",))
+SELECT resolution, model, domain, CAST(ROW_NUMBER() OVER (PARTITION BY resolution ORDER BY {_pos_sql('domain', dims.DOMAIN_ORDER)},
+                                                          {_pos_sql('model', ORDER)}, domain, model) AS BIGINT) AS position
+FROM (SELECT DISTINCT resolution, model, CASE WHEN model IN ({_q(BASELINES)}) THEN 'baseline' ELSE domain END AS domain
+      FROM v_runs) t"""), ops=("WIN7",))
 def ordered_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lb.relabel_baseline(v_runs(spark, sf_dir).where(F.col("resolution") == "A"), BASELINES)
-    rows = r.select("model", "domain").distinct()
-    return lb.ordered_sort(rows, ORDER, dims.DOMAIN_ORDER).select("model", "domain", "position")
+    """The ordered table of every resolution."""
+    r = lb.relabel_baseline(v_runs(spark, sf_dir), BASELINES)
+    rows = r.select("resolution", "model", "domain").distinct()
+    return lb.ordered_sort(rows, ORDER, dims.DOMAIN_ORDER, by=["resolution"]).select("resolution", "model", "domain", "position")
 
 
 # ------------------------------------------------------------ JN1 / SET2
@@ -321,12 +322,12 @@ SELECT e.domain, e.resolution, e.model, e.equation FROM (
   SELECT d.domain, r.resolution, m.model, q.equation FROM
   {_values('domain', dims.RUN_DOMAINS)} d CROSS JOIN {_values('resolution', RES)} r
   CROSS JOIN {_values('model', dims.RUN_MODELS)} m CROSS JOIN {_values('equation', EQS)} q) e
-WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM v_runs WHERE NOT ({GAP})) v WHERE v.domain = e.domain AND v.resolution = e.resolution
+WHERE NOT EXISTS (SELECT 1 FROM v_runs v WHERE v.domain = e.domain AND v.resolution = e.resolution
                   AND v.model = e.model AND v.equation = e.equation)
   AND NOT (e.domain = 'cloud' AND e.model IN ({_q(GRID_ONLY)}))
   AND NOT (e.domain = 'cloud' AND e.resolution = 'R')"""), ops=("JN1", "SET2"))
 def missing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     impossible = ((F.col("domain") == "cloud") & F.col("model").isin(GRID_ONLY)) | \
                  ((F.col("domain") == "cloud") & (F.col("resolution") == "R"))
-    return lb.missing_combinations(v_runs(spark, sf_dir).where(f"NOT ({GAP})"), dims.RUN_DOMAINS, RES, dims.RUN_MODELS,
+    return lb.missing_combinations(v_runs(spark, sf_dir), dims.RUN_DOMAINS, RES, dims.RUN_MODELS,
                                    EQS, impossible)

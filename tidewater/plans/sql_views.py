@@ -17,7 +17,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY 1, 2, 3, 4
 """
 
-# Cells that the queries about missing results leave out, by key alone.
+# Cells whose value the wide-log query blanks, by key alone.
 GAP = "model LIKE '%5' AND equation = 'PROMO' AND domain = 'cloud'"
 
 V_FRAMES = """
