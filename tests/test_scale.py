@@ -271,3 +271,43 @@ def test_pairs_of_a_crowded_cell_are_dealt(spark):
         assert sum(tasks) == want > 1_200 ** 2 * 0.9 and max(tasks) < 0.08 * want
         assert j.select("qid", "nid").distinct().count() == want
     assert nb.radius_pairs(pts, pts, 0.05).count() == want
+
+
+# ------------------------------------------------------------ farthest points
+def brute_farthest(rows, n):
+    ids, xy = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    d, out = np.full(len(ids), np.inf), []
+    pick = int(ids.argmin())
+    for _ in range(n):
+        out.append(int(ids[pick]))
+        step = xy - xy[pick]
+        d = np.minimum(d, step[:, 0] * step[:, 0] + step[:, 1] * step[:, 1])
+        pick = int(min(np.flatnonzero(d == d.max()), key=lambda j: ids[j]))
+    return out
+
+
+def test_farthest_points_take_fewer_passes_than_picks(spark, monkeypatch):
+    """300 picks of three clouds (even, clustered, a lattice full of ties): equal
+    to one pick after the other, in a small part of as many passes."""
+    rng = np.random.default_rng(17)
+    clouds = {0: rng.uniform(0, 1, (3_000, 2)), 1: np.vstack([rng.normal(c, 0.01, (400, 2)) for c in range(5)]),
+              2: np.array([(i, j) for i in range(25) for j in range(25)], float)}
+    rows = {c: [(int(i), float(x), float(y)) for i, (x, y) in zip(rng.permutation(len(xy)), xy, strict=True)] for c, xy in clouds.items()}
+    pts = spark.createDataFrame([(c, *r) for c, rs in rows.items() for r in rs], POINTS).repartition(4)
+    passes = []
+    plain = nb.write_table
+    monkeypatch.setattr(nb, "write_table", lambda df, name: passes.append(name) or plain(df, name))
+    got = nb.farthest_points(pts, 300).collect()
+    for c, rs in rows.items():
+        mine = [r["point_id"] for r in sorted((r for r in got if r["cloud"] == c), key=lambda r: r["pick"])]
+        assert mine == brute_farthest(rs, 300)
+    assert passes.count("farthest-state") < 300 / 8
+
+
+def test_farthest_points_of_few_points(spark):
+    """Fewer places than picks: the lowest id again, as every distance is zero."""
+    rows = [(0, 5, 0.1, 0.1), (0, 3, 0.1, 0.1), (0, 9, 0.7, 0.1), (1, 2, 0.0, 0.0), (1, 1, None, 0.0)]
+    pts = spark.createDataFrame(rows, POINTS)
+    got = nb.farthest_points(pts, 4).orderBy("cloud", "pick").collect()
+    assert [(r["cloud"], r["point_id"]) for r in got] == [(0, 3), (0, 9), (0, 3), (0, 3), (1, 2), (1, 2), (1, 2), (1, 2)]
+    assert nb.farthest_points(pts.limit(0), 3).count() == 0

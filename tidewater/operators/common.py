@@ -44,6 +44,12 @@ def heavy_keys(rows: DataFrame, keys: list[str], weight: str | None = None) -> C
     return w.where(F.col("_w") * HEAVY > total).agg(F.collect_list("_h").alias("_h")).scalar()
 
 
+def _is_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of the table's size lets it broadcast it."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
                 null_safe: bool = False, salts: int = SALTS, weight: str | None = None,
                 counted: DataFrame | None = None) -> DataFrame:
@@ -58,7 +64,12 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
     (known where ``small`` is an aggregate of it, and then exact); otherwise the
     keys of ``counted`` are sketched, by default those of ``big``, which then is
     read for its keys once more. Which keys are heavy changes where rows go,
-    never the result. With ``null_safe`` a null key finds the null row."""
+    never the result. A small side that Spark's size estimate lets it broadcast
+    is joined as it is. With ``null_safe`` a null key finds the null row."""
+    if _is_broadcast(small):
+        right = small.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+        on = [big[k].eqNullSafe(right[f"_r_{k}"]) if null_safe else big[k] == right[f"_r_{k}"] for k in keys]
+        return big.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
     heavy = heavy_keys(small if weight else big if counted is None else counted, keys, weight)
     is_heavy = F.array_contains(heavy, F.xxhash64(*keys))
     salted = big.withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
@@ -70,10 +81,6 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
     return joined.drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
-# row limit under which a table whose size was just checked may be broadcast
-BROADCAST_MAX_ROWS = 1_000_000
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df`` by writing it as a Parquet table in a fresh
     folder under the shared checkpoint folder and reading it back. One write

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import quadtree as qt
-from tidewater.operators.common import BROADCAST_MAX_ROWS, salted_join
+from tidewater.operators.common import salted_join
 from tidewater.operators.common import materialize as write_table
 
 #: Points of one leaf in the tree of a ball query.
@@ -199,54 +200,95 @@ def edge_list(points: DataFrame, k: int = 16, by: Sequence[str] = ("cloud",), pi
     return write_table(edges, "edges") if materialize else edges
 
 
+def _pick_batch(cells: pd.DataFrame, n: int) -> list[tuple[int, int]]:
+    """(pick number, row) of as many next picks as the cells of one cloud decide.
+
+    A row is a cell: its best point (largest squared distance ``d`` to the picks
+    so far, then lowest id) and the box of its points; points in no cell have a
+    ``d`` below ``floor``. A pick lowers distances. As long
+    as it leaves a cell's best point alone, that point stays the best, for the
+    others can only have fallen; otherwise only a bound is known, the lesser of
+    what it was and of the farthest corner from the pick. The batch ends when a
+    cell that is only bounded, or a point in no cell, could be the next pick."""
+    d, ids = cells["d"].to_numpy().copy(), cells["id"].to_numpy()
+    bx, by_ = cells["bx"].to_numpy(), cells["by"].to_numpy()
+    x0, x1, y0, y1 = (cells[c].to_numpy() for c in ("x0", "x1", "y0", "y1"))
+    bound, exact = d.copy(), np.ones(len(d), bool)
+    out = []
+    for pick in range(int(cells["have"].iloc[0]), n):
+        known = np.flatnonzero(exact)
+        if not len(known):
+            break
+        top = known[d[known] == d[known].max()]
+        i = top[ids[top].argmin()]
+        if d[i] < cells["floor"].iloc[0] or not exact.all() and bound[~exact].max() >= d[i]:
+            break
+        out.append((pick, int(i)))
+        px, py = bx[i], by_[i]
+        near = (bx - px) * (bx - px) + (by_ - py) * (by_ - py)
+        exact &= near >= d
+        d = np.minimum(d, near)
+        fx, fy = np.maximum(x1 - px, px - x0), np.maximum(y1 - py, py - y0)
+        bound = np.where(exact, d, np.minimum(bound, fx * fx + fy * fy))
+    return out
+
+
 def farthest_points(points: DataFrame, n: int, by: Sequence[str] = ("cloud",), pid: str = "point_id",
-                    x: str = "x", y: str = "y", checkpoint_every: int = 8) -> DataFrame:
-    """WIN17: ``n`` farthest-point picks per cloud, starting at the lowest id.
-
-    Each round updates every point's distance to the pick set and takes the
-    arg-max per cloud (ties: lowest id) with a partial aggregate, so a large
-    cloud is spread over all tasks; picks are sequential by nature, so there is
-    one round per pick. The per-cloud pick (one row per cloud) is checkpointed
-    every round, which keeps the plan linear; the per-point state is persisted
-    and its lineage cut with a reliable checkpoint every ``checkpoint_every``
-    rounds. Returns (by..., pick, point_id, x, y).
-    """
+                    x: str = "x", y: str = "y") -> DataFrame:
+    """WIN17: ``n`` farthest-point picks per cloud, starting at the lowest id;
+    each next pick has the largest distance to the picks before it (ties: lowest
+    id). Returns (by..., pick, point_id, x, y). Rows with a null or NaN position
+    take no part.
+
+    Several picks a job. A pass over the points updates their distances with the
+    picks found last and reduces those at least half as far as the farthest one
+    to a table of grid cells, their side an eighth of that distance: after s
+    picks at most some 200 s cells, whatever the number and the spread of the
+    points. A cell is its best point and its box, and picks are read off the
+    table as long as it decides them (:func:`_pick_batch`); they are exact. Picks
+    far from each other do not disturb one another, so a batch grows with the
+    number of picks there are. State and picks are written tables."""
     by = list(by)
-    state = points.select(*by, F.col(pid).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y"),
-                          F.lit(float("inf")).alias("_dist"))
-    pick_of = lambda df, order: df.groupBy(*by).agg(
-        F.max_by(F.struct("_id", "_x", "_y"), order).alias("_p")).select(
-        *by, F.col("_p._id").alias("_lid"), F.col("_p._x").alias("_lx"), F.col("_p._y").alias("_ly"))
-    last = pick_of(state, F.struct(F.lit(0.0), -F.col("_id"))).checkpoint(eager=True)
-    # one row per cloud, the same count every round: check the size once and
-    # broadcast the picks to the point table only when it is small
-    small = last.count() <= BROADCAST_MAX_ROWS
-    if small:
-        last = F.broadcast(last)
-    picks = [last.withColumn("pick", F.lit(0))]
-    cached = None
-    for i in range(1, n):
-        nxt = state.join(last, by).select(
-            *by, "_id", "_x", "_y",
-            F.least(F.col("_dist"), _sqdist(F.col("_x"), F.col("_y"), F.col("_lx"), F.col("_ly"))).alias("_dist"))
-        if checkpoint_every and i % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        last = pick_of(nxt, F.struct(F.col("_dist"), -F.col("_id"))).checkpoint(eager=True)
-        last = F.broadcast(last) if small else last
-        if cached is not None:
-            cached.unpersist(blocking=False)
-        cached = nxt if nxt.storageLevel.useMemory or nxt.storageLevel.useDisk else None
-        state = nxt
-        picks.append(last.withColumn("pick", F.lit(i)))
-    if cached is not None:
-        cached.unpersist(blocking=False)
+    pts = points.select(*by, F.col(pid).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    pts = pts.where(~(F.isnan("_x") | F.isnan("_y")) & F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    types = {c: points.schema[c].dataType.simpleString() for c in [*by, pid]}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), f"pick bigint, _id {types[pid]}, _x double, _y double"])
+    first = write_table(pts.groupBy(*by).agg(
+        F.min_by(F.struct("_id", "_x", "_y"), "_id").alias("p"), F.count(F.lit(1)).alias("_rows")), "farthest-first")
+    sizes = first.select(*by, "_rows")
+    fresh = first.select(*by, F.lit(0).cast("bigint").alias("pick"), "p._id", "p._x", "p._y")
+    picks, state = [fresh], pts.withColumn("_d", F.lit(float("inf")))
+
+    def batch(cells: pd.DataFrame) -> pd.DataFrame:
+        got = _pick_batch(cells, n)
+        rows = cells.iloc[[i for _, i in got]]
+        return pd.DataFrame({**{c: rows[c].to_numpy() for c in by}, "pick": [p for p, _ in got], "_id": rows["id"].to_numpy(),
+                             "_x": rows["bx"].to_numpy(), "_y": rows["by"].to_numpy()})
+
+    while True:
+        # every cloud that wants more gets at least one pick a batch
+        news = fresh.groupBy(*by).agg(F.collect_list(F.struct("_x", "_y")).alias("_new"), (F.max("pick") + 1).alias("have")).where(F.col("have") < n)
+        if news.isEmpty():
+            break
+        nearest = F.array_min(F.transform("_new", lambda p: _sqdist(F.col("_x"), F.col("_y"), p["_x"], p["_y"])))
+        state = write_table(salted_join(state, news.join(sizes, by), by, ["_id"], weight="_rows").select(
+            *by, "_id", "_x", "_y", F.least("_d", nearest).alias("_d"), "have"), "farthest-state")
+        top = state.groupBy(*by).agg(F.max("_d").alias("_top"), F.count(F.lit(1)).alias("_rows"))
+        far = salted_join(state, top, by, ["_id"], weight="_rows").where(F.col("_d") >= F.col("_top") / 4)
+        side = F.when(F.col("_top") > 0, F.sqrt("_top") / 8).otherwise(F.lit(1.0))
+        cells = far.groupBy(*by, F.floor(F.col("_x") / side).alias("_cx"), F.floor(F.col("_y") / side).alias("_cy")).agg(
+            F.max_by(F.struct("_id", "_x", "_y"), F.struct("_d", -F.col("_id"))).alias("b"), F.max("_d").alias("d"),
+            F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"),
+            F.first("have").alias("have"), (F.first("_top") / 4).alias("floor"))
+        cells = cells.select(*by, F.col("b._id").alias("id"), F.col("b._x").alias("bx"), F.col("b._y").alias("by"), "d", "x0", "x1", "y0", "y1",
+                             "have", "floor")
+        state = state.drop("have")
+        fresh = write_table(cells.groupBy(*by).applyInPandas(batch, schema), "farthest-picks")
+        picks.append(fresh)
     out = picks[0]
     for p in picks[1:]:
         out = out.unionByName(p)
-    return out.select(*by, F.col("pick").cast("bigint").alias("pick"), F.col("_lid").alias(pid),
-                      F.col("_lx").alias(x), F.col("_ly").alias(y))
+    return out.select(*by, "pick", F.col("_id").alias(pid), F.col("_x").alias(x), F.col("_y").alias(y))
 
 
 def sample_and_group(points: DataFrame, npoint: int, nsample: int, feats: Sequence[str],
