@@ -41,6 +41,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Never text.
 SILENT = frozenset("script style noscript template iframe object svg math canvas head title select option "
                    "textarea button audio video map datalist".split())
+#: What may stand in a head; anything else ends it, as its end tag may be missing.
+HEAD_PARTS = frozenset("base basefont bgsound command link meta noframes noscript script style template title".split())
+#: Elements of other languages, which a slash before the bracket closes.
+FOREIGN = frozenset(("svg", "math"))
 #: Page furniture by element. header and footer count as article parts inside
 #: an article that has its own headline there, so only headers without one go.
 FURNITURE = frozenset("nav footer aside form dialog menu".split())
@@ -151,7 +155,12 @@ class Builder(HTMLParser):
         self.silent: list[str] = []
 
     def handle_starttag(self, tag, attrs):
+        if self.silent == ["head"] and tag not in HEAD_PARTS and tag not in ("head", "html"):
+            self.silent.clear()
         if self.silent:
+            if self.silent[-1] == "head" and tag in SILENT:
+                self.silent.append(tag)
+                return
             if tag == self.silent[-1]:
                 self.silent.append(tag)
             return
@@ -171,8 +180,11 @@ class Builder(HTMLParser):
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
-        # a slash means nothing on an element that is not void
+        # a slash means nothing on an element that is not void, but for those of
+        # other languages and what is in them
         self.handle_starttag(tag, attrs)
+        if tag in FOREIGN and self.silent and self.silent[-1] == tag:
+            self.silent.pop()
 
     def _close_implied(self, tag):
         node = self.at
@@ -199,7 +211,19 @@ class Builder(HTMLParser):
                 return
             node = node.parent
 
+    # a page is fed whole, so a comment or an instruction without an end runs to
+    # the end of the page; looking for more of the kind in it would be quadratic
+    def parse_comment(self, i, report=True):
+        k = super().parse_comment(i, report)
+        return len(self.rawdata) if k < 0 else k
+
+    def parse_pi(self, i):
+        k = super().parse_pi(i)
+        return len(self.rawdata) if k < 0 else k
+
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.silent.clear()
         if not self.silent:
             self.at.parts.append(data)
 
