@@ -384,3 +384,44 @@ def test_language_spans_and_odd_rows(spark, odd, none):
     assert langid.predict(none, counts).count() == 0
     empty = langid.learn(none, F.lit(True))
     assert {r["lang_pred"] for r in langid.predict(odd, empty).collect()} == {"und"}
+
+
+@pytest.mark.parametrize(("head", "open_"), [("<head><title>T</title><script>var a='<p>';</script>", "<body>"), ("<head><meta charset=utf-8><title>T</title>", ""),
+                                             ("", ""), ("<head><style>p{}</style></head>", "<body>"), ("<head><title>T</title><svg/>", "<body><svg viewBox='0 0'/>")])
+def test_html_without_the_end_of_the_head(head, open_):
+    """The end tag of a head may be missing, and a foreign element may close
+    itself, before and inside the article."""
+    body = prose("Body", 5)
+    inner = paragraphs(body[:2]) + "<svg/><math/>" + paragraphs(body[2:])
+    assert html.main_text(f"<!DOCTYPE html><html>{head}{open_}<article><h1>Head</h1>{inner}</article>") == " ".join(" ".join(["Head", *body]).split())
+
+
+@pytest.mark.parametrize("flood", ["<!--", "<?", "<a ", "<![CDATA[", "</", "<!x", "<", "<p title='", "<!-- -->", "<svg>"])
+def test_html_floods_take_linear_time(flood):
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        html.main_text("<article><p>Some text here.</p>" + flood * (n // len(flood)) + "</article>")
+        return time.perf_counter() - t
+    assert seconds(400_000) < 20 * seconds(100_000) + 1
+
+
+def test_html_pages_without_head_tags_give_the_same_text(spark, sf_dir):
+    for (page_,) in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        assert html.main_text(page_.replace("</head>", "").replace("<body>", "")) == html.main_text(page_) != ""
+
+
+def test_substrings_many_texts_of_one_id(spark):
+    """Texts of one id are told apart: one that repeats nothing keeps all its
+    words however many others, of the same id, hold repeats."""
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(1, shared)] + [(2, f"{shared} own{i} " + " ".join(f"o{i}x{j}" for j in range(5))) for i in range(1500)]
+    rows += [(2, " ".join(f"u{j}" for j in range(30)))] + [(None, f"{shared} n{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = substrings.prune(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(1, 20, 0, 1), (2, 26, 20, 1500), (2, 30, 0, 1), (None, 21, 0, 300)}
+
+
+def test_language_letters_and_marks():
+    assert langid.words("½ ² ① 12 Ⅳ _") == [] and langid.words("हिन्दी x²y Naïve") == ["हिन्दी", "x", "y", "naïve"]

@@ -20,6 +20,7 @@ result; an empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,28 @@ SCRIPTS = {"latin": (0x41, 0x24F), "latin+": (0x1E00, 0x1EFF), "greek": (0x370,
            "armenian": (0x530, 0x58F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x77F), "devanagari": (0x900, 0x97F),
            "bengali": (0x980, 0x9FF), "tamil": (0xB80, 0xBFF), "thai": (0xE00, 0xE7F), "georgian": (0x10A0, 0x10FF),
            "hangul": (0xAC00, 0xD7AF), "kana": (0x3040, 0x30FF), "han": (0x4E00, 0x9FFF)}
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _patterns() -> tuple[re.Pattern, frozenset]:
+    """Runs of letters with the marks on them, and what makes them needed: marks,
+    and signs that count as alphanumeric but are no letters (fractions, raised and
+    circled digits), by category."""
+    every = [(chr(c), unicodedata.category(chr(c))) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    signs = "".join(c for c, kind in every if kind in ("Nl", "No"))
+    marks = "".join(c for c, kind in every if kind[0] == "M")
+    return re.compile(rf"[^\W\d_{signs}]+(?:[{marks}]+[^\W\d_{signs}]*)*"), frozenset(signs + marks)
+
+
+_PLAIN = re.compile(r"[^\W\d_]+")
+_MARKED, _RARE = _patterns()
+
+
+def _word(low: str) -> re.Pattern:
+    """The pattern of words for a text: the plain one, many times faster, unless
+    the text has marks or such signs."""
+    return _PLAIN if low.isascii() or _RARE.isdisjoint(low) else _MARKED
+
+
 _KEEP = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWS = np.array([a for a, _ in SCRIPTS.values()])
@@ -54,8 +76,9 @@ UNKNOWN = "und"
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, with the marks on them, lower-cased."""
+    low = (text or "").lower()
+    return _word(low).findall(low)
 
 
 def scripts(batch: list[str]) -> np.ndarray:
@@ -206,7 +229,7 @@ def one_language(e: np.ndarray, switch: float = SWITCH) -> int | None:
 def spans(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     """(start, stop, language) of the stretches of a text, by its words."""
     low = (text or "").lower()
-    places = list(_WORD.finditer(low))
+    places = list(_word(low).finditer(low))
     if not places or not model.langs:
         return []
     path = viterbi(model.emissions([m[0] for m in places]))

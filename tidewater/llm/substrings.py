@@ -42,8 +42,6 @@ from tidewater.llm.registry import register
 from tidewater.operators.common import salted_join
 
 WINDOW = 13
-#: Low bits of a place: the word; the bits above tell texts of one id apart.
-_WORD_BITS = 40
 
 
 def word_lists(texts: pa.Array) -> list[list[bytes]]:
@@ -62,11 +60,11 @@ def word_ids(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((digest(w) for ws in lists for w in ws), np.uint64, lengths.sum()), lengths
 
 
-def _base(texts: pa.Array) -> np.ndarray:
-    """What the places of each text start from."""
-    digest = xxhash.xxh32_intdigest
-    return np.fromiter(((digest(t or b"") & 0xFFFFF) << _WORD_BITS for t in texts.cast(pa.binary()).to_pylist()),
-                       np.int64, len(texts))
+def _hashes(texts: pa.Array) -> np.ndarray:
+    """XXH64 of each text as Spark's function gives it: with the id, the key of
+    a text."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(t or b"", 42) for t in texts.cast(pa.binary()).to_pylist()), np.uint64, len(texts)).view(np.int64)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -104,11 +102,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
         offsets = np.concatenate((first, [len(names)])).astype(np.int32)
         doc = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         begins = np.cumsum(lengths) - lengths
-        place = _base(b.column("text"))[seq] + start - begins[seq]
+        place = start - begins[seq]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor[first].view(np.int64)), pa.array(doc[seq[first]]), pa.array(place[first]),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(names))],
-            names=["anchor", "doc_id", "place", "names"])
+            [pa.array(anchor[first].view(np.int64)), pa.array(doc[seq[first]]), pa.array(_hashes(b.column("text"))[seq[first]]),
+             pa.array(place[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(names))],
+            names=["anchor", "doc_id", "th", "place", "names"])
 
 
 def _paired(seq: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -132,27 +130,28 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     of theirs goes, and their windows start in the first of them as well."""
     short_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    dealt = texts.repartition("doc_id").join(copies(texts).hint("shuffle_hash"), "doc_id", "left").select(
-        "doc_id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
+    # a text without an id is dealt by its hash
+    texts = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    dealt = texts.repartition("key").join(copies(texts).withColumnRenamed("doc_id", "key").hint("shuffle_hash"), "key", "left").select(
+        "key", "doc_id", "text", F.xxhash64("text").alias("th"), F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
     # no filter and no inner join on these: they would be pushed below the deal,
     # and the texts dealt once more for each
-    pairs = dealt.mapInArrow(lambda b: _anchor_rows(b, window), "anchor bigint, doc_id bigint")
+    pairs = dealt.select("doc_id", "text", "copy").mapInArrow(lambda b: _anchor_rows(b, window), "anchor bigint, doc_id bigint")
     w = Window.partitionBy("anchor")
     shared = pairs.withColumns({"a": F.min("doc_id").over(w), "b": F.max("doc_id").over(w)}).filter("a < b")
-    lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    met = dealt.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "anchors")
-    rows = met.mapInArrow(lambda b: _window_rows(b, window), "anchor bigint, doc_id bigint, place bigint, names array<bigint>")
-    rows = rows.repartition("anchor").select("anchor", "doc_id", "place", F.posexplode("names").alias("i", "name"))
+    lists = shared.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("anchor").alias("anchors"))
+    met = dealt.join(lists.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "copy", "anchors")
+    rows = met.mapInArrow(lambda b: _window_rows(b, window), "anchor bigint, doc_id bigint, th bigint, place bigint, names array<bigint>")
+    rows = rows.repartition("anchor").select("anchor", "doc_id", "th", "place", F.posexplode("names").alias("i", "name"))
     w = Window.partitionBy("anchor", "name")
     found = rows.withColumn("a", F.min("doc_id").over(w)).filter("a < doc_id")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.col("place") + F.col("i")).alias("places"))
+    found = found.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list(F.col("place") + F.col("i")).alias("places"))
     return dealt, found
 
 
-def covered(places: np.ndarray, base: int, n: int, window: int) -> np.ndarray:
+def covered(places: np.ndarray, n: int, window: int) -> np.ndarray:
     """Which of ``n`` words lie under a window that starts at these places."""
-    at = places[(places >> _WORD_BITS) == (base >> _WORD_BITS)] - base
-    step = np.bincount(at, minlength=n + window) - np.bincount(at + window, minlength=n + window)[:n + window]
+    step = np.bincount(places, minlength=n + window) - np.bincount(places + window, minlength=n + window)[:n + window]
     return np.cumsum(step)[:n] > 0
 
 
@@ -163,14 +162,14 @@ def prune(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, bases = word_lists(b.column("text")), _base(b.column("text"))
+            lists = word_lists(b.column("text"))
             places, copy = b.column("places"), b.column("copy").to_pylist()
             n_removed, kept = [], []
             for i, words in enumerate(lists):
                 if copy[i]:
                     words = words if len(words) < window else []
                 elif places[i].is_valid and words:
-                    gone = covered(np.asarray(places[i].values, np.int64), int(bases[i]), len(words), window)
+                    gone = covered(np.asarray(places[i].values, np.int64), len(words), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 n_removed.append(len(lists[i]) - len(words))
                 kept.append(b" ".join(words))
@@ -178,7 +177,7 @@ def prune(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [b.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    met = dealt.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "places")
+    met = dealt.join(found.hint("shuffle_hash"), ["key", "th"], "left").select("doc_id", "text", "copy", "places")
     return met.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
