@@ -145,9 +145,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     rows = rows.repartition("anchor").select("anchor", "doc_id", "th", "place", F.posexplode("names").alias("i", "name"))
     w = Window.partitionBy("anchor", "name")
     found = rows.withColumn("a", F.min("doc_id").over(w)).filter("a < doc_id")
-    found = found.groupBy(F.col("doc_id").alias("key")).agg(
-        F.collect_list(F.struct("th", (F.col("place") + F.col("i")).alias("place"))).alias("starts"))
-    return dealt, found
+    # plain lists of numbers for each text, then the few texts of a key
+    found = found.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list(F.col("place") + F.col("i")).alias("places"))
+    return dealt, found.groupBy("key").agg(F.collect_list(F.struct("th", "places")).alias("starts"))
 
 
 def covered(places: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -179,7 +179,7 @@ def prune(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                  pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     # joined by the key that the texts are dealt by; a text takes its own starts
-    own = F.transform(F.filter("starts", lambda x: x["th"] == F.col("th")), lambda x: x["place"])
+    own = F.get(F.filter("starts", lambda x: x["th"] == F.col("th")), F.lit(0))["places"]
     met = dealt.join(found.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "copy", own.alias("places"))
     return met.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
