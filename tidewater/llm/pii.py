@@ -10,7 +10,8 @@ side, raise or lower it. The base kinds (email, ip, card, phone) stay whatever
 their score; the others stay at THRESHOLD or more.
 
 All of it is column expressions: the pieces that ``split`` leaves between the
-matches give the positions, so a text is never compared with itself.
+matches give the positions, so a text is never compared with itself. Time is
+linear in the text and in its spans.
 
 Defined results: null text counts as empty (no spans); a null id stays null;
 each row gets its own result, repeated rows included; an empty table gives an
@@ -19,6 +20,7 @@ empty table; extra columns pass through ``redact`` whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +35,10 @@ CONTEXT = 48
 THRESHOLD = 60
 #: What one supporting or opposing context adds or takes (percent).
 BOOST = 20
-#: Matches whose running offset is summed in one step.
-_BLOCK = 128
+#: Elements of an array that are summed in one step.
+_BLOCK = 32
+#: Code points of the pieces that a text is cut into to be read off.
+_PIECE = 1024
 
 
 #: Characters of an IBAN by country (ISO 13616).
@@ -131,38 +135,51 @@ def _valid(kind: str, match: Column) -> Column:
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint,score:int>>"
 
 
-def _offsets(parts: Column, total: Column) -> Column:
-    """Running sum before each element, in blocks: linear up to a constant."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.get(total, F.floor(i / _BLOCK).cast("int")) + F.aggregate(
-            F.slice(parts, (F.floor(i / _BLOCK) * _BLOCK + 1).cast("int"), (i % _BLOCK).cast("int")),
-            F.lit(0).cast("bigint"), lambda a, x: a + x))
+def _scan_before(d: DataFrame, column: str, add: Callable[[Column, Column], Column]) -> DataFrame:
+    """Each array of longs (none below zero) in an array of such arrays becomes
+    that of what ``add`` makes of the elements before each one, zero at first.
+    Elements meet in blocks, blocks in blocks of blocks, so the work is linear
+    up to a constant."""
+    zero = F.lit(0).cast("bigint")
 
+    def cut(c):
+        last = F.floor((F.size(c) - 1) / _BLOCK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(c, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.when(F.size(c) > 0, parts).otherwise(F.array().cast("array<array<bigint>>"))
 
-def _blocks(parts: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(parts, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    def before(part, base):
+        return F.transform(part, lambda _, i: F.aggregate(F.slice(part, F.lit(1), i), base, add))
 
+    def sums(parts):
+        return F.transform(parts, lambda x: F.aggregate(x, zero, add))
 
-def _advances(matches: str, gaps: str) -> Column:
-    """Code points of each gap and the match that ends it."""
-    return F.transform(matches, lambda x, i: (F.length(x) + F.length(F.get(gaps, i))).cast("bigint"))
+    kept = d.columns
+    d = d.withColumn("_cut0", F.transform(column, cut))
+    for level in (1, 2):
+        d = d.withColumn("_sums", F.transform(f"_cut{level - 1}", sums)).withColumn(f"_cut{level}", F.transform("_sums", cut))
+    # blocks of blocks of blocks are few: one for 32,768 elements
+    d = d.withColumn("_base", F.transform("_cut2", lambda parts: before(sums(parts), zero)))
+    for level in (2, 1, 0):
+        # both arrays are arguments, not parts of the lambda: Spark would put an
+        # array that is named once into it and work it out for every element
+        d = d.withColumn("_base", F.zip_with(
+            f"_cut{level}", "_base", lambda parts, base: F.flatten(F.zip_with(parts, base, before))))
+    return d.select(*[F.col("_base").alias(c) if c == column else F.col(f"`{c}`") for c in kept])
 
 
-def _sums_before(sums: str) -> Column:
-    return F.transform(sums, lambda x, i: F.aggregate(
-        F.slice(sums, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y))
+def _advances(matches: str, gaps: str) -> Column:
+    """Code points of each gap and the match that ends it."""
+    return F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda x, g: (F.length(x) + F.length(g)).cast("bigint"))
 
 
 def _spans(rank: int, kind: Kind) -> Column:
-    """Confirmed spans of one kind from its matches, gaps and offsets."""
-    m, g, at = f"m{rank}", f"g{rank}", f"o{rank}"
+    """Confirmed spans of one kind from its matches, the gaps on both sides and
+    their offsets."""
+    m, g = F.col(f"m{rank}"), F.col(f"g{rank}")
 
-    def span(x, i):
-        start = F.get(at, i) + F.length(F.get(g, i))
-        around = F.lower(F.concat(F.right(F.get(g, i), F.lit(CONTEXT)), F.lit(" "), F.left(F.get(g, i + 1), F.lit(CONTEXT))))
+    def span(c):
+        x, start = c["match"], c["at"] + F.length(c["left"])
+        around = F.lower(F.concat(F.right(c["left"], F.lit(CONTEXT)), F.lit(" "), F.left(c["right"], F.lit(CONTEXT))))
         score = (F.lit(kind.score) + F.when(around.rlike(kind.support), BOOST).otherwise(0)
                  - F.when(around.rlike(kind.against), BOOST).otherwise(0))
         ok = _valid(kind.name, x)
@@ -171,8 +188,11 @@ def _spans(rank: int, kind: Kind) -> Column:
         return F.when(ok, F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("stop"), score.alias("score")))
 
-    found = F.filter(F.transform(m, span), lambda s: s.isNotNull())
-    return F.when(F.size(m) > 0, found).otherwise(F.array().cast(_SPAN))
+    n = F.size(m)
+    beside = F.arrays_zip(m.alias("match"), F.slice(g, F.lit(1), n).alias("left"), F.slice(g, F.lit(2), n).alias("right"),
+                          F.get("_at", F.lit(rank)).alias("at"))
+    found = F.filter(F.transform(beside, span), lambda s: s.isNotNull())
+    return F.when(n > 0, found).otherwise(F.array().cast(_SPAN))
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -186,12 +206,8 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumns({f"g{r}": F.when(F.size(f"m{r}") > 0, F.split(t, k.pattern, -1)).otherwise(empty)
                        for r, k in enumerate(KINDS)})
     ranks = range(len(KINDS))
-    d = d.withColumns({f"p{r}": _advances(f"m{r}", f"g{r}") for r in ranks})
-    longs = F.array().cast("array<bigint>")
-    d = d.withColumns({f"b{r}": F.when(F.size(f"p{r}") > 0, _blocks(F.col(f"p{r}"))).otherwise(longs) for r in ranks})
-    d = d.withColumns({f"b{r}": _sums_before(f"b{r}") for r in ranks})
-    d = d.withColumns({f"o{r}": F.when(F.size(f"p{r}") > 0, _offsets(F.col(f"p{r}"), F.col(f"b{r}"))).otherwise(longs)
-                       for r in ranks})
+    d = d.withColumn("_at", F.array(*[_advances(f"m{r}", f"g{r}") for r in ranks]))
+    d = _scan_before(d, "_at", lambda a, x: a + x)
     d = d.withColumns({f"s{r}": _spans(r, k) for r, k in enumerate(KINDS)})
     return d.select(*[F.col(f"`{c}`") for c in docs.columns],
                     F.sort_array(F.concat(*[F.col(f"s{r}") for r in ranks])).alias("_spans"))
@@ -209,18 +225,27 @@ def redact(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").alias("_text"))
     found = spans(packed, "_text")
 
-    def step(acc, s):
-        gap = F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(
-            s["stop"].alias("at"),
-            F.concat(acc["out"], gap, F.lit("["), F.upper(F.get(_names(), s["rank"])), F.lit("]")).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(inside)
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    folded = F.aggregate("_spans", start, step, lambda acc: F.concat(
-        acc["out"], F.substr("_text", (acc["at"] + 1).cast("int"))))
-    found = found.withColumn("_new", F.when(F.size("_spans") > 0, folded).otherwise(F.col("_text")))
+    # what ends before each span, and with one more element before the rest
+    ends = F.transform("_spans", lambda s: s["stop"])
+    found = found.withColumn("_done", F.array(F.when(F.size("_spans") > 0, F.concat(ends, F.array(F.lit(0).cast("bigint")))).otherwise(
+        F.array().cast("array<bigint>"))))
+    found = _scan_before(found, "_done", lambda a, x: F.greatest(a, x))
+    found = found.withColumn("_pieces", F.when(F.size("_spans") > 0, F.regexp_extract_all(
+        "_text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+    def between(a, b):
+        """Text from a to b, read off the pieces that hold it."""
+        first = F.floor(a / _PIECE)
+        held = F.slice("_pieces", (first + 1).cast("int"), (F.ceil(b / _PIECE) - first).cast("int"))
+        return F.substring(F.array_join(held, ""), (a - first * _PIECE + 1).cast("int"), (b - a).cast("int"))
+
+    def replaced(s, at):
+        rest = between(at, F.length("_text").cast("bigint"))
+        new = F.concat(between(at, s["start"]), F.lit("["), F.upper(F.get(_names(), s["rank"])), F.lit("]"))
+        return F.when(s.isNull(), rest).when(s["start"] >= at, new).otherwise("")
+
+    whole = F.array_join(F.zip_with("_spans", F.get("_done", F.lit(0)), replaced), "")
+    found = found.withColumn("_new", F.when(F.size("_spans") > 0, whole).otherwise(F.col("_text")))
     out = {c: F.col(f"_row.`{c}`").alias(c) for c in columns}
     out["text"] = F.col("_new").alias("text")
     if "n_chars" in out:
