@@ -180,7 +180,7 @@ def test_simhash_query_matches_brute_force(spark, sf_dir, documents):
     assert {r["doc_id"]: r["component_id"] for r in got} == grouped(want)
 
 
-@pytest.mark.parametrize(("blocks", "depth"), [(1, 3), (2, 4), (3, 6), (5, 10)])
+@pytest.mark.parametrize(("blocks", "depth"), [(1, 3), (2, 4), (3, 6), (5, 10), (simhash.BLOCKS, None)])
 def test_simhash_trees_find_every_link(spark, blocks, depth):
     """Chains and clusters at the radius, and fingerprints far apart; the full
     metric and the bit ranges alike."""
@@ -203,6 +203,56 @@ def test_simhash_trees_find_every_link(spark, blocks, depth):
     assert {i: roots.get(i, i) for i in ids} == want
 
 
+def crowd(n, seed):
+    """Random fingerprints, and one near copy within four bits of each 50th."""
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+    near = fp[::50].copy()
+    for k in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)
+    return np.unique(np.concatenate((fp, near))), np.stack((fp[::50], near), axis=1)
+
+
+def test_simhash_shipped_trees_cross_borders_and_cost_stays_low():
+    """In the shipped setting fingerprints stand on both sides of borders, each
+    planted pair meets in a leaf, and eight times the fingerprints
+    take far less than eight times the distances each."""
+    inner, masks = simhash.RADIUS // simhash.BLOCKS, simhash.view_masks(simhash.BLOCKS)
+    assert inner >= 1
+    cost = {}
+    for n in (8_000, 64_000):
+        fp, pairs = crowd(n, 3)
+        depth = simhash.depth_for(len(fp))
+        trees = simhash.fit_trees(fp[:: max(1, len(fp) // simhash.TREE_SAMPLE)][:simhash.TREE_SAMPLE], simhash.BLOCKS, depth, inner)
+        met, total, stands, edges = set(), 0, 0, set()
+        for mask, tree in zip(masks, trees, strict=True):
+            who, leaf = simhash.route(fp, mask, tree, depth, inner)
+            assert len(who) > len(fp) and len(np.unique(who)) == len(fp)
+            stands += len(who)
+            order = np.argsort(leaf, kind="stable")
+            for shard in np.split(who[order], np.flatnonzero(np.diff(leaf[order])) + 1):
+                spaces = [(mask, inner), ((1 << 64) - 1, simhash.RADIUS)]
+                total += sum(len(p) ** 2 for p in simhash._parts(fp[shard], spaces))
+                if n == 8_000:
+                    edges |= {tuple(sorted(e)) for e in simhash.link_shard(fp[shard], simhash.RADIUS, spaces)}
+        cost[n] = total / len(fp)
+        if n == 8_000:
+            want = {tuple(sorted(p)) for p in pairs.view(np.int64).tolist() if p[0] != p[1]}
+            assert want <= edges
+    assert cost[64_000] < 3 * cost[8_000] < 9_000
+
+
+def test_simhash_clusters_that_a_view_cannot_split():
+    """Many fingerprints equal in one view: parted by the full distance."""
+    rng = np.random.default_rng(1)
+    mask = simhash.view_masks(simhash.BLOCKS)[0]
+    fp = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & ~np.uint64(mask))
+    fp = np.unique(np.concatenate((fp, fp[:200] ^ np.uint64(1 << 40), fp[:200] ^ np.uint64(1 << 41 | 1 << 50))))
+    got = dict(simhash.link_shard(fp, 4, [(mask, 1), ((1 << 64) - 1, 4)]))
+    want = grouped({int(x): int(x) % (1 << 64) for x in fp.view(np.int64)})
+    assert {int(x): got.get(int(x), int(x)) for x in fp.view(np.int64)} == want
+
+
 def test_simhash_keeps_one_of_each_group_not_of_each_id(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (0, c), (None, d)]

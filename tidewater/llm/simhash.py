@@ -3,19 +3,28 @@
 Two documents link when their 64-bit fingerprints differ in at most ``radius``
 bits; groups are the connected components of the links.
 
-Fingerprints are cut into ``blocks`` bit ranges. If two of them differ in at
-most ``radius`` bits, some range differs in at most ``radius // blocks``: that
-range is a Hamming space of its own, with a far smaller radius. Each range has
-a vantage-point tree. A node sends a fingerprint to its near or far side by the
-distance from a vantage point; the triangle bound tells when a neighbour within
-the range's radius could stand on the other side, and then the fingerprint goes
-to both. So any linked pair meets in one shard (view, leaf) at least, where the
-full distance decides. Nothing else is compared. With one block this is a tree
-over the full distance; the production setting of five blocks leaves radius 0,
-where no boundary overlaps and each fingerprint stands in five shards.
-
-The trees are fitted on a bounded sample of fingerprints (TREE_SAMPLE, a stated
-parameter): they steer the balance of the shards, never which pairs are found.
+Fingerprints are cut into ``blocks`` bit ranges (views). If two of them differ
+in at most ``radius`` bits, some view differs in at most ``radius // blocks``:
+each view is a Hamming space of its own, with a smaller radius. Each has a
+vantage-point tree. A node sends a fingerprint to its near or far side by the
+distance from a vantage point; by the triangle bound a neighbour on the far side
+is at most the view's radius beyond the border, so a fingerprint that close to
+the border goes to both. Any linked pair so meets in one shard (view, leaf) at
+least. Three views and a radius of four bits leave one bit a view: a fingerprint
+crosses about one border in six. One view would leave the full radius, where
+most fingerprints cross each border.
+
+A shard goes on as a tree in memory, by the same rule, until its leaves are
+small; leaves that the view cannot split are split by the full distance. There
+the full distance of each pair decides.
+
+Depth follows the number of points, so shards hold about SHARD of them. The
+trees are fitted on a bounded sample of fingerprints (TREE_SAMPLE, a stated
+parameter, which bounds their depth as well): they steer the balance of the
+shards, never which pairs are found. A node takes of some candidates the vantage
+point whose distances spread most, and the border that fewest stand at among
+those that part its sample well.
+
 Equal fingerprints are one point. A shard yields a spanning star of each of its
 linked groups, not its pairs; stars merge by large-star and small-star rounds,
 each written to the shared folder.
@@ -43,12 +52,21 @@ from tidewater.operators.common import materialize, salted_join
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-BLOCKS = 5
-DEPTH = 10
-TREE_SAMPLE = 8192
+BLOCKS = 3
+#: Points that a shard should hold, before copies at its borders.
+SHARD = 1024
+#: Points that a leaf of the tree inside a shard should hold.
+LEAF = 128
+TREE_SAMPLE = 65536
+#: Sample points that the deepest nodes need at least, on average.
+_FITTED = 4
+#: Vantage points tried at a node, and the share of its points that each side of
+#: a border needs.
+_TRIED, _SIDE = 8, 0.3
 #: Shingles whose bits are unpacked in one step.
 _CHUNK = 1 << 18
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
+_ALL = (1 << 64) - 1
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -112,60 +130,119 @@ def view_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def fit_trees(sample: np.ndarray, blocks: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A tree for each view: vantage points and medians, in heap order. A node
-    takes a point of its sample as vantage and splits at the median distance."""
+def _distance(fp: np.ndarray, vantage: np.ndarray, mask: int) -> np.ndarray:
+    return np.bitwise_count((fp ^ vantage) & np.uint64(mask)).astype(np.int64)
+
+
+def _border(d: np.ndarray, radius: int) -> int:
+    """The distance that parts near from far: of those that leave each side its
+    share, that with the fewest points so close that they go to both; the median
+    where none does. Below the largest distance where there are two."""
+    at = np.bincount(d)
+    below = np.cumsum(at)
+    if len(d) == at[-1]:
+        return len(at) - 1
+    middle = min(int(np.searchsorted(below, len(d) / 2)), len(at) - 2)
+    fair = np.flatnonzero((below >= _SIDE * len(d)) & (below <= (1 - _SIDE) * len(d)))
+    if not len(fair):
+        return middle
+    from_ = np.concatenate((np.zeros(radius + 1, np.int64), below))
+    return int(fair[np.argmin(below[fair] - from_[fair + 1])])
+
+
+def _vantage(fp: np.ndarray, mask: int, seed: int) -> np.uint64:
+    """Of some points, that with the widest spread of distances."""
+    tried = fp[(np.uint64(seed) + np.arange(_TRIED, dtype=np.uint64)) * _FIRST % np.uint64(len(fp))]
+    spread = [float(_distance(fp, v, mask).var()) for v in tried]
+    return tried[int(np.argmax(spread))]
+
+
+def fit_trees(sample: np.ndarray, blocks: int, depth: int, radius: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A tree for each view: vantage points and borders, in heap order."""
     trees = []
     for mask in view_masks(blocks):
         size = (1 << depth) - 1
         vantage, middle = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
         at = np.zeros(len(sample), np.int64)
-        m = np.uint64(mask)
         for level in range(depth):
             first = (1 << level) - 1
             order = np.argsort(at, kind="stable")
             nodes, begin, count = np.unique(at[order], return_index=True, return_counts=True)
-            for node, b, c in zip(nodes, begin, count, strict=True):
+            for node, b, c in zip(nodes.tolist(), begin, count, strict=True):
                 members = sample[order[b:b + c]]
-                vantage[node] = members[int(node) * int(_FIRST) % int(c)]
-                d = np.bitwise_count((members ^ vantage[node]) & m)
-                middle[node] = int(np.median(d)) if c > 1 else 0
+                vantage[node] = _vantage(members, mask, node)
+                middle[node] = _border(_distance(members, vantage[node], mask), radius)
             unseen = np.setdiff1d(np.arange(first, 2 * first + 1), nodes)
             vantage[unseen] = (unseen.astype(np.uint64) + np.uint64(1)) * _FIRST
-            middle[unseen] = bin(mask).count("1") // 2
-            far = np.bitwise_count((sample ^ vantage[at]) & m).astype(np.int64) > middle[at]
-            at = 2 * at + 1 + far
+            middle[unseen] = mask.bit_count() // 2
+            at = 2 * at + 1 + (_distance(sample, vantage[at], mask) > middle[at])
         trees.append((vantage, middle))
     return trees
 
 
 def route(fp: np.ndarray, mask: int, tree: tuple[np.ndarray, np.ndarray], depth: int,
           radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position of a fingerprint, leaf) pairs: its own leaf and each leaf that
-    could hold a neighbour within ``radius`` in this view."""
+    """(position of a fingerprint, leaf) pairs: its own leaf and each leaf beyond
+    a border that a neighbour within ``radius`` in this view could stand behind.
+    Of two neighbours on both sides of a border the near one goes to the far side."""
     vantage, middle = tree
     who, at = np.arange(len(fp)), np.zeros(len(fp), np.int64)
     for _ in range(depth):
-        d = np.bitwise_count((fp[who] ^ vantage[at]) & np.uint64(mask)).astype(np.int64)
-        near, far = d - radius <= middle[at], d + radius > middle[at]
-        own_near = d <= middle[at]
-        near |= own_near
-        far |= ~own_near
+        d = _distance(fp[who], vantage[at], mask)
+        near, far = d <= middle[at], d + radius > middle[at]
         who = np.concatenate((who[near], who[far]))
         at = np.concatenate((2 * at[near] + 1, 2 * at[far] + 2))
     return who, at - ((1 << depth) - 1)
 
 
-def link_shard(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(member, smallest member) for each group of linked fingerprints in a
-    shard. Points without a neighbour go first, in blocks of distances; the
-    rest is walked breadth first, so a dense group is met once, not in pairs."""
+def _parts(fp: np.ndarray, spaces: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """Leaves of a vantage-point tree over a shard; of each linked pair both stand
+    in one of them. ``spaces`` are the (mask, radius) to split by, in turn: the
+    next one where no border of the one before leaves both sides smaller."""
+    stack = [(fp, 0)]
+    while stack:
+        part, s = stack.pop()
+        if len(part) <= LEAF or s == len(spaces):
+            yield part
+            continue
+        mask, radius = spaces[s]
+        d = _distance(part, part[len(part) // 2], mask)
+        border = _border(d, radius)
+        near, far = part[d <= border], part[d + radius > border]
+        if max(len(near), len(far)) > 0.9 * len(part):
+            stack.append((part, s + 1))
+        else:
+            stack += [(near, s), (far, s)]
+
+
+def link_shard(fp: np.ndarray, radius: int, spaces: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """(member, smallest member) for each group of linked fingerprints in a shard."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for part in _parts(fp, list(spaces)):
+        for a, b in _walk(part, radius):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in list(parent) if root(x) != x]
+
+
+def _walk(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """The same for one leaf. Points without a neighbour go first, in blocks of
+    distances; the rest is walked breadth first, so a dense group is met once,
+    not in pairs."""
     n = len(fp)
     linked = np.zeros(n, bool)
     step = max(1, (1 << 20) // max(n, 1))
     for a in range(0, n, step):
         near = np.bitwise_count(fp[a:a + step, None] ^ fp[None, :]) <= radius
         linked[a:a + step] = near.sum(axis=1) > 1
+    if not linked.any():
+        return []
     left = np.sort(fp[linked].view(np.int64)).view(np.uint64)
     edges = []
     while len(left):
@@ -183,15 +260,21 @@ def link_shard(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, depth: int = DEPTH) -> DataFrame:
+def depth_for(points: int) -> int:
+    """Levels of a tree over so many points; no deeper than its sample can fit."""
+    return max(1, min((max(points, 1) - 1) // SHARD, TREE_SAMPLE // _FITTED - 1).bit_length())
+
+
+def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, depth: int | None = None) -> DataFrame:
     """Spanning edges (fp, other) of the links among distinct fingerprints."""
     spark = points.sparkSession
+    depth = depth_for(points.count()) if depth is None else depth
     chosen = points.select("fp").orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).toPandas()["fp"]
     sample = chosen.to_numpy(np.int64).view(np.uint64)
     if not len(sample):
         return spark.createDataFrame([], "fp bigint, other bigint")
-    trees = spark.sparkContext.broadcast(fit_trees(sample, blocks, depth))
     masks, inner = view_masks(blocks), radius // blocks
+    trees = spark.sparkContext.broadcast(fit_trees(sample, blocks, depth, inner))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -207,26 +290,23 @@ def links(points: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, depth:
             # the last shard of a batch may go on in the next one
             cut = np.searchsorted(rows[:, 0], rows[-1, 0])
             rest = rows[cut:]
-            yield from _linked(rows[:cut], radius)
-        yield from _linked(rest, radius)
+            yield from linked(rows[:cut])
+        yield from linked(rest)
+
+    def linked(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        edges = []
+        for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+            if len(part) > 1:
+                mask = masks[int(part[0, 0]) >> depth]
+                edges += link_shard(np.ascontiguousarray(part[:, 1]).view(np.uint64), radius, [(mask, inner), (_ALL, radius)])
+        if edges:
+            yield pd.DataFrame(edges, columns=["fp", "other"])
 
     shards = points.select("fp").mapInPandas(deal, "shard bigint, fp bigint")
     shards = shards.repartition("shard").sortWithinPartitions("shard")
     return shards.mapInPandas(join, "fp bigint, other bigint").distinct()
 
 
-def _linked(rows: np.ndarray, radius: int) -> Iterator[pd.DataFrame]:
-    if not len(rows):
-        return
-    cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-    edges = []
-    for part in np.split(np.ascontiguousarray(rows[:, 1]).view(np.uint64), cuts):
-        if len(part) > 1:
-            edges += link_shard(part, radius)
-    if edges:
-        yield pd.DataFrame(edges, columns=["fp", "other"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node can reach.
 
@@ -253,7 +333,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def _rooted(docs: DataFrame, radius: int, size: int, blocks: int, depth: int,
+def _rooted(docs: DataFrame, radius: int, size: int, blocks: int, depth: int | None,
             hashed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fingerprints of all rows, the distinct ones (points), and the root of
     each linked point."""
@@ -264,7 +344,7 @@ def _rooted(docs: DataFrame, radius: int, size: int, blocks: int, depth: int,
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: int = BLOCKS,
-           depth: int = DEPTH) -> DataFrame:
+           depth: int | None = None) -> DataFrame:
     """doc_id, fp and component (smallest id that links reach) for every row."""
     prints, points, member = _rooted(docs, radius, size, blocks, depth)
     # root of each point: its own print where it has no link
@@ -278,7 +358,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: i
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, blocks: int = BLOCKS,
-             depth: int = DEPTH) -> DataFrame:
+             depth: int | None = None) -> DataFrame:
     """One row of each group, that with the smallest id (of equal ids, the
     smallest text hash; one of them where rows repeat); the columns of ``docs``.
     Groups are told apart by their links, so ids may be null or repeat."""
