@@ -66,6 +66,22 @@ def test_best_so_far_resumes_from_checkpoint(spark):
     assert second == {1: (2, 0.7), 2: (5, 0.3)}   # ties keep the earliest seq; state carried over
 
 
+def test_best_so_far_writes_only_the_runs_that_a_trigger_touches(spark):
+    base = tempfile.mkdtemp(prefix="tw-stream-")
+    src, sink, ckpt = (os.path.join(base, p) for p in ("src", "sink", "ckpt"))
+    kind = "run int, epoch int, seq bigint, val_loss double, train_step_ms double"
+    schema = spark.createDataFrame([], kind).schema
+    spark.createDataFrame([(i, 0, i, 1.0, 1.0) for i in range(400)], kind).coalesce(1).write.mode("append").parquet(src)
+    assert run_best_so_far(spark, src, schema, sink, ckpt).count() == 400
+    for k in range(3):   # each call is a restarted query
+        rows = [(7, 1, 1000 + k, 0.5 - k / 10, 2.0), (8, 1, 1000 + k, 2.0, 2.0), (400 + k, 1, 5, 0.1, 2.0)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        best = {r.run: (r.seq, r.val_loss) for r in run_best_so_far(spark, src, schema, sink, ckpt).collect()}
+        assert best[7] == (1000 + k, 0.5 - k / 10) and best[8] == (8, 1.0) and len(best) == 401 + k
+    log = spark.read.parquet(sink).groupBy("_trigger").count().orderBy("_trigger")
+    assert [r["count"] for r in log.collect()] == [400, 3, 3, 3]
+
+
 def test_log_scan_takes_text_quoted_commas_and_splits(spark):
     root = tempfile.mkdtemp(prefix="tw-logs-")
     rows = "\n".join(f'{i},"ok, fine",{i / 4},' for i in range(500))
