@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import math
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.operators import runs as rn
+from tidewater.plans.runlogs import stream_q
 from tidewater.sources import runlogs as rl
 from tidewater.streaming.best_so_far import run_best_so_far
 
@@ -82,6 +86,26 @@ def test_best_so_far_writes_only_the_runs_that_a_trigger_touches(spark):
     assert [r["count"] for r in log.collect()] == [400, 3, 3, 3]
 
 
+def test_stream_query_triggers_do_not_grow_with_the_files(spark):
+    sf = tempfile.mkdtemp(prefix="tw-orders-")
+    rows = [(i, i % 60, "FOP"[i % 3], float(i * 7919 % 1000), datetime.date(1992 + i % 7, 1, 1)) for i in range(1500)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+                                "o_orderdate date").write.parquet(f"{sf}/orders.parquet")
+    want = {}
+    for key, cust, status, price, day in rows:
+        if status != "P":
+            want[cust % 50] = min(want.get(cust % 50, (math.inf,)), (price, key, day.year - 1994))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "18")
+        best = stream_q(spark, sf)
+        got = {r.run: (float(r.val_loss), r.seq, r.epoch) for r in best.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == want
+    assert {re.search(r"_trigger=(\d+)", f)[1] for f in best.inputFiles()} == {"0", "1", "2", "3"}
+
+
 def test_log_scan_takes_text_quoted_commas_and_splits(spark):
     root = tempfile.mkdtemp(prefix="tw-logs-")
     rows = "\n".join(f'{i},"ok, fine",{i / 4},' for i in range(500))
